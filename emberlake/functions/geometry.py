@@ -17,6 +17,11 @@ POINT, POLYGON, MULTIPOLYGON = "Point", "Polygon", "MultiPolygon"
 DBL_RING = "array<array<double>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def vertex(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -35,19 +40,25 @@ def point(lon: Column, lat: Column) -> Column:
 
 def from_parts(kind: Column, parts: Column) -> Column:
     """Geometry with its bounding box; NULL when there is no vertex at all."""
-    flat = F.flatten(F.flatten(parts))
-    xs, ys = F.transform(flat, lambda v: v["x"]), F.transform(flat, lambda v: v["y"])
-    return F.when(
-        F.size(flat) > 0,
-        F.struct(
-            kind.alias("kind"),
-            parts.alias("parts"),
-            F.array_min(xs).alias("minx"),
-            F.array_min(ys).alias("miny"),
-            F.array_max(xs).alias("maxx"),
-            F.array_max(ys).alias("maxy"),
-        ),
-    )
+
+    def shape(p):
+        def boxed(flat):
+            xs, ys = F.transform(flat, lambda v: v["x"]), F.transform(flat, lambda v: v["y"])
+            return F.when(
+                F.size(flat) > 0,
+                F.struct(
+                    kind.alias("kind"),
+                    p.alias("parts"),
+                    F.array_min(xs).alias("minx"),
+                    F.array_min(ys).alias("miny"),
+                    F.array_max(xs).alias("maxx"),
+                    F.array_max(ys).alias("maxy"),
+                ),
+            )
+
+        return let(F.flatten(F.flatten(p)), boxed)
+
+    return let(parts, shape)
 
 
 def vertices(geom: Column) -> Column:
@@ -141,15 +152,16 @@ def intersects_box(geom: Column, box: tuple[float, float, float, float]) -> Colu
     segments are looked at only for shapes that straddle the envelope.
     """
     minx, miny, maxx, maxy = box
-    segs = edges(geom)
     inside = (
         (geom["minx"] >= F.lit(minx))
         & (geom["maxx"] <= F.lit(maxx))
         & (geom["miny"] >= F.lit(miny))
         & (geom["maxy"] <= F.lit(maxy))
     )
-    straddles = F.exists(segs, lambda e: _segment_meets_box(e, box)) | odd_crossings(
-        segs, F.lit(float(minx)), F.lit(float(miny))
+    straddles = let(
+        edges(geom),
+        lambda segs: F.exists(segs, lambda e: _segment_meets_box(e, box))
+        | odd_crossings(segs, F.lit(float(minx)), F.lit(float(miny))),
     )
     return boxes_overlap(geom, box) & (is_point(geom) | inside | straddles)
 
@@ -209,10 +221,10 @@ def moments_of_parts(parts: Column) -> Column:
 def centroid(geom: Column) -> Column:
     """struct<x, y>: the point itself, or the area-weighted centre of the polygons."""
     first = geom["parts"][0][0][0]
-    of_polygon = F.transform(
-        F.array(moments_of_parts(geom["parts"])),
+    of_polygon = let(
+        moments_of_parts(geom["parts"]),
         lambda m: vertex(F.try_divide(m["mx"], m["a"]), F.try_divide(m["my"], m["a"])),
-    )[0]
+    )
     return F.when(is_point(geom), vertex(first["x"], first["y"])).otherwise(of_polygon)
 
 
@@ -242,8 +254,14 @@ def segment_distance2(e: Column, px: Column, py: Column) -> Column:
 
 def edges_distance(edge_array: Column, px: Column, py: Column) -> Column:
     """Distance to a polygonal shape given by its segments; 0 inside or on the boundary."""
-    nearest = F.array_min(F.transform(edge_array, lambda e: segment_distance2(e, px, py)))
-    return F.when(odd_crossings(edge_array, px, py), F.lit(0.0)).otherwise(F.sqrt(nearest))
+
+    def nearest(segs):
+        return F.sqrt(F.array_min(F.transform(segs, lambda e: segment_distance2(e, px, py))))
+
+    return let(
+        edge_array,
+        lambda segs: F.when(odd_crossings(segs, px, py), F.lit(0.0)).otherwise(nearest(segs)),
+    )
 
 
 def point_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -322,15 +340,21 @@ def parse_latlon_ring(text: Column) -> Column:
     """"lat,lon lat,lon ..." to a ring of (lon, lat) vertices; NULL when a vertex is malformed
     or fewer than four are given."""
     pairs = F.filter(F.split(F.trim(text), r"\s+"), lambda p: F.length(p) > 0)
-    ring = F.transform(
+    vertices_read = F.transform(
         pairs,
         lambda p: F.struct(
             F.regexp_extract(p, r"^[^,]*,(.+)$", 1).try_cast("double").alias("x"),
             F.regexp_extract(p, r"^([^,]*),", 1).try_cast("double").alias("y"),
         ),
     )
-    sound = (F.size(ring) >= 4) & F.forall(ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull())
-    return F.when(sound, ring)
+    return let(
+        vertices_read,
+        lambda ring: F.when(
+            (F.size(ring) >= 4)
+            & F.forall(ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull()),
+            ring,
+        ),
+    )
 
 
 def close_ring(ring: Column) -> Column:
@@ -343,8 +367,12 @@ def close_ring(ring: Column) -> Column:
 
 def latlon_polygon(text: Column) -> Column:
     """Polygon geometry of a "lat,lon ..." text, NULL when it is malformed."""
-    ring = parse_latlon_ring(text)
-    return F.when(ring.isNotNull(), from_parts(F.lit(POLYGON), F.array(F.array(close_ring(ring)))))
+    return let(
+        parse_latlon_ring(text),
+        lambda ring: F.when(
+            ring.isNotNull(), from_parts(F.lit(POLYGON), F.array(F.array(close_ring(ring))))
+        ),
+    )
 
 
 def _swapped(pair: Column) -> Column:

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 CROWDED_ROWS = 1_000_000
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    A plain projection lets the optimizer copy an expensive expression into every filter and
+    inferred null check above it. Nothing is pushed below a generator, so each value is computed
+    once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def cell_of(x: Column, y: Column, side: float) -> list[Column]:
     """Integer cell columns (cx, cy) of a position."""
     return [

@@ -40,12 +40,12 @@ def near(
     checks.limit(limit)
     cx, cy = projection.forward(math, lon, lat)
     box = projection.circle_bounds(lon, lat, radius_m)
-    hits = (
-        apply_filters(events, **filters)
-        .where(geometry.boxes_overlap(F.col("geom"), box))
-        .withColumn("distance_m", metric_distance(F.col("geom"), F.lit(cx), F.lit(cy)))
-        .where(F.col("distance_m") <= radius_m)
+    candidates = apply_filters(events, **filters).where(
+        geometry.boxes_overlap(F.col("geom"), box)
     )
+    hits = grid.computed(
+        candidates, distance_m=metric_distance(F.col("geom"), F.lit(cx), F.lit(cy))
+    ).where(F.col("distance_m") <= radius_m)
     return hits.orderBy("distance_m", "id").limit(limit)
 
 
@@ -61,37 +61,35 @@ def near_join(
     checks.metres(radius_m, "radius_m")
     checks.limit(limit)
     r = F.lit(float(radius_m))
-    placed = centres.select(
-        "centre_id", projection.to_metres(F.col("lon"), F.col("lat")).alias("p")
+    placed = grid.computed(
+        centres, p=projection.to_metres(F.col("lon"), F.col("lat"))
     ).select("centre_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     reach = grid.explode_cells(
         placed, F.col("px") - r, F.col("py") - r, F.col("px") + r, F.col("py") + r, radius_m
     )
     events = apply_filters(events, **filters)
-    shapes = F.when(
-        ~geometry.is_point(F.col("geom")), geometry.metric_parts(F.col("geom"))
-    ).alias("shape")
+    on_point = geometry.is_point(F.col("geom"))
     first = F.col("geom")["parts"][0][0][0]
-    metric = events.select(
-        "id", projection.to_metres(first["x"], first["y"]).alias("m"), shapes
-    ).select(
-        "id",
-        F.col("m.x").alias("mx"),
-        F.col("m.y").alias("my"),
-        geometry.edges_of_parts(F.col("shape")).alias("segs"),
+    points = (
+        grid.computed(
+            events.where(on_point).select("id", "geom"),
+            m=projection.to_metres(first["x"], first["y"]),
+        )
+        .select("id", F.col("m.x").alias("mx"), F.col("m.y").alias("my"))
+        .select("id", "mx", "my", *grid.cell_of(F.col("mx"), F.col("my"), radius_m))
     )
-    points = metric.where(F.col("segs").isNull()).select(
-        "id", "mx", "my", *grid.cell_of(F.col("mx"), F.col("my"), radius_m)
+    shapes = grid.computed(
+        events.where(~on_point).select("id", "geom"),
+        segs=geometry.edges_of_parts(geometry.metric_parts(F.col("geom"))),
     )
     xs = F.flatten(F.transform("segs", lambda e: F.array(e["x1"], e["x2"])))
     ys = F.flatten(F.transform("segs", lambda e: F.array(e["y1"], e["y2"])))
-    areas = metric.where(F.col("segs").isNotNull()).select(
-        "id",
-        "segs",
-        F.array_min(xs).alias("x0"),
-        F.array_min(ys).alias("y0"),
-        F.array_max(xs).alias("x1"),
-        F.array_max(ys).alias("y1"),
+    areas = grid.computed(
+        shapes.select("id", "segs"),
+        x0=F.array_min(xs),
+        y0=F.array_min(ys),
+        x1=F.array_max(xs),
+        y1=F.array_max(ys),
     )
     # Areas are filed under every cell of their box grown by the radius, centres under their own
     # cell, so each pair meets once. The side has a floor to bound the cells of a wide area.

@@ -36,8 +36,9 @@ def area_cells(areas: DataFrame, key_columns: list[str], side: float = CELL_DEG)
         & (F.least(e["y1"], e["y2"]) <= y1 + slack)
         & (F.greatest(e["x1"], e["x2"]) >= x0 - slack),
     )
-    cells = cells.select(*key_columns, "cx", "cy", band.alias("band"), x0.alias("x0"),
-                         y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    cells = grid.computed(
+        cells.select(*key_columns, "geom", "cx", "cy"), band=band, x0=x0, y0=y0, x1=x1, y1=y1
+    )
     touched = F.exists("band", lambda e: F.least(e["x1"], e["x2"]) <= F.col("x1") + slack)
     centre_in = geometry.odd_crossings(
         F.col("band"), (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
@@ -60,8 +61,8 @@ def join_within(
     """
     keep = keep or []
     area_columns = [c for c in areas.columns if c != "geom"]
-    located = events.select("id", *keep, geometry.centroid(F.col("geom")).alias("c")).where(
-        F.col("c.x").isNotNull() & F.col("c.y").isNotNull()
+    located = grid.computed(
+        events.select("id", *keep, "geom"), c=geometry.centroid(F.col("geom"))
     )
     located = located.select("id", *keep, "c", *grid.cell_of(F.col("c.x"), F.col("c.y"), side))
     pairs = grid.join_on_cell(located, area_cells(areas, area_columns, side), F.col("id"))

@@ -12,8 +12,11 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from emberlake.functions import geometry, severity, values
-from emberlake.session import apply_runtime_conf
+from emberlake.session import apply_runtime_conf, shared_folder
+from emberlake.sources import snapshot
 
 # Attribute vocabularies of the derived events.
 PHENOMENA = ("AT;Temperaturas máximas", "VI;Viento", "PP;Lluvias", "NE;Nevadas")
@@ -44,7 +47,21 @@ def _square(x: Column, y: Column, h: Column) -> Column:
     return _ring((x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h))
 
 
+_SNAPSHOTS: dict[tuple[str, str, bool], str] = {}
+
+
 def hazards(spark: SparkSession, sf_dir: str, clumped: bool = False) -> DataFrame:
+    """The derived events as a stored snapshot, written once per application and table folder."""
+    slot = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), clumped)
+    if slot not in _SNAPSHOTS:
+        root = shared_folder(spark, "hazards")
+        snapshot.write_snapshot(derive_hazards(spark, sf_dir, clumped), root, version=0)
+        _SNAPSHOTS[slot] = root
+    extra = [T.StructField("key", T.LongType()), T.StructField("custkey", T.LongType())]
+    return snapshot.read_snapshot(apply_runtime_conf(spark), _SNAPSHOTS[slot], extra=extra)
+
+
+def derive_hazards(spark: SparkSession, sf_dir: str, clumped: bool = False) -> DataFrame:
     """Events with the snapshot columns plus ``key`` and ``custkey``.
 
     ``clumped`` places them around fifty centres instead of on an even lattice.
