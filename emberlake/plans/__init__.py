@@ -1,5 +1,5 @@
 """Registered queries and their SQL counterparts, by theme."""
 
-from emberlake.plans import tabular
+from emberlake.plans import history, tabular
 
-MODULES = (tabular,)
+MODULES = (tabular, history)

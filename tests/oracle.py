@@ -49,7 +49,7 @@ def compare(spark, con, sf_dir: str, name: str) -> str | None:
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
     a, b = normal_rows(df.columns, got), normal_rows(names, want)
     if a == b:
-        return None
+        return None if a else "no rows on either side"
     only_a = sorted(set(a) - set(b))[:3]
     only_b = sorted(set(b) - set(a))[:3]
     return f"{len(a)} rows vs {len(b)}; spark only {only_a}; sql only {only_b}"
