@@ -53,17 +53,19 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(size)) <= threshold
 
 
-def join_on_cell(
-    many: DataFrame, few: DataFrame, spread: Column, crowded_rows: int = CROWDED_ROWS
+def spread_join(
+    many: DataFrame,
+    few: DataFrame,
+    keys: list[str],
+    spread: Column,
+    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
-    """Inner equi-join on (cx, cy).
+    """Inner equi-join that keeps a crowded key from landing in one task.
 
-    A small ``few`` side is broadcast and nothing is shuffled. Otherwise each crowded cell of
-    ``many`` is split into salts by ``spread`` and its ``few`` rows are repeated once per salt, so
-    a cell holding a large share of all rows is worked on by many tasks. The table of crowded
-    cells has at most rows / crowded_rows entries.
+    A small ``few`` side is broadcast and nothing is shuffled. Otherwise each crowded key of
+    ``many`` is split into salts by ``spread`` and its ``few`` rows are repeated once per salt.
+    The table of crowded keys has at most rows / crowded_rows entries.
     """
-    keys = ["cx", "cy"]
     if fits_broadcast(few):
         return many.join(F.broadcast(few), keys)
     crowded = (
@@ -80,3 +82,10 @@ def join_on_cell(
         "_salt", F.explode(F.sequence(F.lit(0), one - 1))
     )
     return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"]).drop("_salt")
+
+
+def join_on_cell(
+    many: DataFrame, few: DataFrame, spread: Column, crowded_rows: int = CROWDED_ROWS
+) -> DataFrame:
+    """``spread_join`` on (cx, cy): a cell with a large share of all rows is split."""
+    return spread_join(many, few, ["cx", "cy"], spread, crowded_rows)

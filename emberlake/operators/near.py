@@ -49,6 +49,22 @@ def near(
     return hits.orderBy("distance_m", "id").limit(limit)
 
 
+def _first_per_place(events: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` events per distinct geometry, smallest ids first.
+
+    Equal geometries are equally far from any centre and ties go to the smaller id, so the others
+    can never be among the ``limit`` nearest. The rank filter runs per task before the shuffle.
+    """
+    parts = F.col("geom")["parts"]
+    place = Window.partitionBy(F.xxhash64(parts), parts).orderBy("id")
+    return (
+        events.select("id", "geom")
+        .withColumn("_turn", F.row_number().over(place))
+        .where(F.col("_turn") <= limit)
+        .drop("_turn")
+    )
+
+
 def near_join(
     events: DataFrame, centres: DataFrame, *, radius_m: float, limit: int = 100, **filters
 ) -> DataFrame:
@@ -67,7 +83,7 @@ def near_join(
     reach = grid.explode_cells(
         placed, F.col("px") - r, F.col("py") - r, F.col("px") + r, F.col("py") + r, radius_m
     )
-    events = apply_filters(events, **filters)
+    events = _first_per_place(apply_filters(events, **filters), limit)
     on_point = geometry.is_point(F.col("geom"))
     first = F.col("geom")["parts"][0][0][0]
     points = (

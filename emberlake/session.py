@@ -58,7 +58,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor costs nothing but a re-read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def materialised(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    This cuts the lineage of iterative operators on reliable storage: a lost executor costs a
+    re-read, and the planner sees the real size.
+    """
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
