@@ -1,5 +1,5 @@
 """Registered queries and their SQL counterparts, by theme."""
 
-from emberlake.plans import history, tabular
+from emberlake.plans import feeds, history, spatial, tabular
 
-MODULES = (tabular, history)
+MODULES = (tabular, history, spatial, feeds)

@@ -318,3 +318,81 @@ polls AS (
          CAST(CAST(ts AS DATE) AS TIMESTAMP) AS poll_ts, 'ba-' || user_id AS external_id,
          event_id AS ordinal, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type
   FROM events)"""
+
+
+# Corner coordinates of the audited rings: small integers, distinct along the ring.
+_CORNERS = ((7, 31, 3, 0), (13, 5, 17, 1), (29, 11, 41, 2), (37, 23, 53, 3))
+
+
+def derive_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One closed ring of four corners per line item: plain, twisted or flat."""
+    li = table(spark, sf_dir, "lineitem")
+    p, q = F.col("l_partkey"), F.col("l_orderkey") + F.col("l_linenumber")
+
+    def corner(a, b, c, i):
+        x = 4 * ((p * a + q * b) % 9) + i
+        y = (p * c + q * a) % 11
+        return geometry.vertex(x, y)
+
+    corners = [corner(*k) for k in _CORNERS]
+    return li.select(
+        F.concat_ws(
+            "-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+        ).alias("key"),
+        F.array(*corners, corners[0]).alias("ring"),
+    ).dropDuplicates(["key"])
+
+
+def _rings_sql() -> str:
+    cols = ", ".join(
+        f"4 * ((p * {a} + q * {b}) % 9) + {i} AS x{i}, (p * {c} + q * {a}) % 11 AS y{i}"
+        for a, b, c, i in _CORNERS
+    )
+
+    def side(p, q, r):
+        return f"sign((x{q} - x{p}) * (y{r} - y{p}) - (y{q} - y{p}) * (x{r} - x{p}))"
+
+    def meet(a, b, c, d):
+        boxes = " AND ".join(
+            f"least({v}{a}, {v}{b}) <= greatest({v}{c}, {v}{d}) "
+            f"AND least({v}{c}, {v}{d}) <= greatest({v}{a}, {v}{b})"
+            for v in "xy"
+        )
+        return (
+            f"({boxes} AND {side(a, b, c)} * {side(a, b, d)} <= 0 "
+            f"AND {side(c, d, a)} * {side(c, d, b)} <= 0)"
+        )
+
+    def fold(a, b, c):
+        return (
+            f"((x{b} - x{a}) * (y{c} - y{b}) = (y{b} - y{a}) * (x{c} - x{b}) AND "
+            f"(x{b} - x{a}) * (x{c} - x{b}) + (y{b} - y{a}) * (y{c} - y{b}) < 0)"
+        )
+
+    def lobes(a, b, c, d):
+        den = f"((x{b} - x{a}) * (y{d} - y{c}) - (y{b} - y{a}) * (x{d} - x{c}))"
+        t = f"((x{c} - x{a}) * (y{d} - y{c}) - (y{c} - y{a}) * (x{d} - x{c})) / CAST({den} AS DOUBLE)"
+        px, py = f"(x{a} + {t} * (x{b} - x{a}))", f"(y{a} + {t} * (y{b} - y{a}))"
+
+        def tri(i, j):
+            return (
+                f"abs((x{i} - {px}) * (y{j} - {py}) - (y{i} - {py}) * (x{j} - {px})) / 2"
+            )
+
+        return f"CASE WHEN {den} = 0 THEN 0 ELSE {tri(b, c)} + {tri(d, a)} END"
+
+    shoelace = " + ".join(f"x{i} * y{j} - x{j} * y{i}" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)))
+    first, second = meet(0, 1, 2, 3), meet(1, 2, 3, 0)
+    folds = " + ".join(f"CAST({fold(*k)} AS INTEGER)" for k in ((0, 1, 2), (1, 2, 3), (2, 3, 0), (3, 0, 1)))
+    return f"""WITH k AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  l_partkey AS p, l_orderkey + l_linenumber AS q FROM lineitem),
+c AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS key,
+  {cols} FROM k),
+f AS (SELECT *, {first} AS m1, {second} AS m2, {folds} AS nf FROM c),
+g AS (SELECT key, CAST(m1 AS INTEGER) + CAST(m2 AS INTEGER) + nf AS crossings,
+  CASE WHEN m1 THEN {lobes(0, 1, 2, 3)} WHEN m2 THEN {lobes(1, 2, 3, 0)}
+       ELSE abs({shoelace}) / 2.0 END AS area FROM f)
+SELECT key, crossings, crossings > 0 AS crossing, round(area + 1.3e-7, 6) AS area FROM g"""
+
+
+RINGS_SQL = _rings_sql()
