@@ -1,5 +1,5 @@
 """Registered queries and their SQL counterparts, by theme."""
 
-from emberlake.plans import feeds, history, spatial, tabular
+from emberlake.plans import feeds, history, spatial, streams, tabular
 
-MODULES = (tabular, history, spatial, feeds)
+MODULES = (tabular, history, spatial, feeds, streams)

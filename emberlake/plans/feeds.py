@@ -367,7 +367,7 @@ r AS (SELECT CAST(key // 300 AS VARCHAR) AS poll_id, 'cap-' || key AS external_i
 f AS (SELECT poll_id, external_id, msg_type, sent, refs, odd,
   CASE WHEN has_info THEN 'Aviso de viento' END AS event,
   CASE WHEN has_info THEN 'VI;Viento' END AS phenomenon,
-  CASE WHEN has_info AND odd <> 7 THEN ['verde', 'amarillo', 'Naranja', 'rojo'][n % 4 + 1] END AS level,
+  CASE WHEN has_info AND odd <> 7 THEN ['verde', 'amarillo', ' Naranja ', 'rojo'][n % 4 + 1] END AS level,
   CASE WHEN has_info AND odd <> 6 THEN t0 - INTERVAL 2 HOUR END AS onset,
   CASE WHEN has_info THEN t0 + to_hours(CAST(key % 48 + 1 AS INTEGER)) END AS expires,
   CASE WHEN has_info THEN lpad(CAST(n % 9 AS VARCHAR), 6, '7') END AS zone,
@@ -389,7 +389,7 @@ def warning_events(spark, d):
 
 FIT = "level IS NOT NULL AND level <> 'verde' AND onset IS NOT NULL AND odd <> 8 AND msg_type <> 'Cancel'"
 WARNING_EVENTS_SQL = f"""WITH {WARNINGS}
-SELECT external_id, CAST(CASE level WHEN 'amarillo' THEN 2 WHEN 'Naranja' THEN 3 ELSE 4 END AS SMALLINT)
+SELECT external_id, CAST(CASE level WHEN 'amarillo' THEN 2 WHEN ' Naranja ' THEN 3 ELSE 4 END AS SMALLINT)
     AS severity, onset AS starts_at, expires AS ends_at,
   '{{"event":"Aviso de viento","phenomenon":"VI;Viento","level":"' || level || '","zone":"' || zone
   || '","area_desc":"' || area_desc
