@@ -98,12 +98,14 @@ def _point_bounds(x: Column, y: Column) -> tuple[Column, Column]:
     return near, far
 
 
-def _shape_bounds() -> tuple[Column, Column]:
+def _shape_bounds(pairs: DataFrame) -> DataFrame:
     """Bounds for the row's segments: distance to the box centre, give or take half a diagonal."""
     cx, cy = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
     half = geometry.point_distance(F.col("minx"), F.col("miny"), cx, cy)
-    middle = geometry.edges_distance(F.col("segs"), cx, cy)
-    return middle - half, middle + half
+    measured = grid.computed(pairs, mid=geometry.edges_distance(F.col("segs"), cx, cy), half=half)
+    return measured.withColumn("near", F.col("mid") - F.col("half")).withColumn(
+        "far", F.col("mid") + F.col("half")
+    )
 
 
 # --- a site or shape against the cells around it -----------------------------------------------
@@ -124,10 +126,11 @@ def _weigh(
     bits = 0
     while True:
         if left == ["segs"]:
-            near, far = _shape_bounds()
+            judged = _shape_bounds(pairs)
         else:
             near, far = _point_bounds(F.col("lx"), F.col("ly"))
-        judged = grid.computed(pairs, near=near, far=far).where(F.col("near") <= reach)
+            judged = grid.computed(pairs, near=near, far=far)
+        judged = judged.where(F.col("near") <= reach)
         settled.append(judged.where(F.col("far") <= reach).select("lid", "cx", "cy", "n"))
         opened = judged.where(F.col("far") > reach)
         last = longest <= SHORT or bits + STEP_BITS > MAX_BITS

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from emberlake.functions import geometry
 from emberlake.operators import grid
 
-EDGE = ("x1", "y1", "x2", "y2")
+# Rings of up to this many segments are judged within their row, longer ones by a grid join.
+SHORT_RING = 24
 
 
 def _sound_edges(ring: Column) -> Column:
@@ -19,70 +20,83 @@ def _sound_edges(ring: Column) -> Column:
     )
 
 
-def _crossings(shapes: DataFrame) -> DataFrame:
-    """(key, y) per pair of segments of one ring that share more than their common corner.
+def _conflict(a: Column, b: Column, i: Column, j: Column, n: Column) -> Column:
+    """Segments i < j of a ring of n share more than their common corner."""
+    ax, ay = a["x2"] - a["x1"], a["y2"] - a["y1"]
+    bx, by = b["x2"] - b["x1"], b["y2"] - b["y1"]
+    folds = (ax * by == ay * bx) & (ax * bx + ay * by < 0)
+    neighbours = (j == i + 1) | ((i == 0) & (j == n - 1))
+    return F.when(neighbours, folds).otherwise(geometry.segments_cross(a, b))
+
+
+def _height(a: Column, b: Column) -> Column:
+    """Height at which the lines of two segments meet; NULL for parallel ones."""
+    ax, ay = a["x2"] - a["x1"], a["y2"] - a["y1"]
+    bx, by = b["x2"] - b["x1"], b["y2"] - b["y1"]
+    along = F.try_divide((b["x1"] - a["x1"]) * by - (b["y1"] - a["y1"]) * bx, ax * by - ay * bx)
+    return a["y1"] + along * ay
+
+
+def _short_crossings(segs: Column) -> Column:
+    """Crossing heights of a short ring, pair by pair within the row."""
+    n = F.size(segs)
+
+    def with_later(a, i):
+        later = F.filter(segs, lambda b, j: (j > i) & _conflict(a, b, i, j, n))
+        return F.transform(later, lambda b: _height(a, b))
+
+    return F.flatten(F.transform(segs, with_later))
+
+
+def _long_crossings(shapes: DataFrame) -> DataFrame:
+    """(key, y) per crossing of the rings of many segments.
 
     Segments meet in the cells of a grid laid over their own ring, sized to its segment count, so
-    a long ring is spread over its cells and only near segments are compared. ``y`` is the height
-    of a proper crossing.
+    a long ring is spread over its cells and only near segments are compared.
     """
-    sized = shapes.select(
-        "key",
-        "segs",
-        F.size("segs").alias("n"),
-        F.array_min(F.transform("segs", lambda e: F.least(e["x1"], e["x2"]))).alias("ox"),
-        F.array_min(F.transform("segs", lambda e: F.least(e["y1"], e["y2"]))).alias("oy"),
-        F.greatest(
-            F.array_max(F.transform("segs", lambda e: F.greatest(e["x1"], e["x2"])))
-            - F.array_min(F.transform("segs", lambda e: F.least(e["x1"], e["x2"]))),
-            F.array_max(F.transform("segs", lambda e: F.greatest(e["y1"], e["y2"])))
-            - F.array_min(F.transform("segs", lambda e: F.least(e["y1"], e["y2"]))),
-        ).alias("extent"),
+    xs = F.transform("segs", lambda e: e["x1"])
+    ys = F.transform("segs", lambda e: e["y1"])
+    sized = grid.computed(
+        shapes.select("key", "segs"),
+        n=F.size("segs"),
+        ox=F.array_min(xs),
+        oy=F.array_min(ys),
+        extent=F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys)),
     )
     side = F.col("extent") / F.ceil(F.sqrt(F.col("n").cast("double")))
-    segs = (
-        sized.where(F.col("n") > 1)
-        .select("key", "n", "ox", "oy", side.alias("side"), F.posexplode("segs").alias("i", "e"))
-        .select("key", "n", "i", *[F.col(f"e.{c}").alias(c) for c in EDGE], "ox", "oy", "side")
+    segs = sized.select(
+        "key", "n", "ox", "oy", side.alias("side"), F.posexplode("segs").alias("i", "e")
     )
 
-    def cell(value, origin):
-        return F.floor((value - F.col(origin)) / F.col("side")).cast("bigint")
+    def cell(pick, axis):
+        end = pick(F.col(f"e.{axis}1"), F.col(f"e.{axis}2"))
+        return F.floor((end - F.col(f"o{axis}")) / F.col("side")).cast("bigint")
 
-    segs = grid.computed(
+    placed = grid.computed(
         segs,
-        lx=cell(F.least("x1", "x2"), "ox"),
-        hx=cell(F.greatest("x1", "x2"), "ox"),
-        ly=cell(F.least("y1", "y2"), "oy"),
-        hy=cell(F.greatest("y1", "y2"), "oy"),
+        lx=cell(F.least, "x"),
+        hx=cell(F.greatest, "x"),
+        ly=cell(F.least, "y"),
+        hy=cell(F.greatest, "y"),
     )
     filed = (
-        segs.withColumn("cx", F.explode(F.sequence("lx", "hx")))
+        placed.withColumn("cx", F.explode(F.sequence("lx", "hx")))
         .withColumn("cy", F.explode(F.sequence("ly", "hy")))
-        .select("key", "n", "i", *EDGE, "lx", "ly", "cx", "cy")
+        .select("key", "n", "i", "e", "lx", "ly", "cx", "cy")
     )
     other = filed.select(
-        "key", "cx", "cy", F.col("i").alias("j"), F.col("lx").alias("olx"), F.col("ly").alias("oly"),
-        *[F.col(c).alias(f"o{c}") for c in EDGE],
+        "key", "cx", "cy", F.col("i").alias("j"), F.col("e").alias("f"),
+        F.col("lx").alias("fx"), F.col("ly").alias("fy"),
     )
     pairs = filed.join(other, ["key", "cx", "cy"]).where(
         (F.col("i") < F.col("j"))
-        & (F.col("cx") == F.greatest("lx", "olx"))
-        & (F.col("cy") == F.greatest("ly", "oly"))
+        & (F.col("cx") == F.greatest("lx", "fx"))
+        & (F.col("cy") == F.greatest("ly", "fy"))
     )
-    a = F.struct(*EDGE)
-    b = F.struct(*[F.col(f"o{c}").alias(c) for c in EDGE])
-    wraps = (F.col("i") == 0) & (F.col("j") == F.col("n") - 1)
-    follows = F.col("j") == F.col("i") + 1
-    ax, ay = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    bx, by = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
-    folds = (ax * by == ay * bx) & (ax * bx + ay * by < 0)
-    # Position along the first segment where the two lines meet; none for parallel ones.
-    meet = F.try_divide(
-        (F.col("ox1") - F.col("x1")) * by - (F.col("oy1") - F.col("y1")) * bx, ax * by - ay * bx
+    a, b = F.col("e"), F.col("f")
+    return pairs.where(_conflict(a, b, F.col("i"), F.col("j"), F.col("n"))).select(
+        "key", _height(a, b).alias("y")
     )
-    bad = F.when(follows | wraps, folds).otherwise(geometry.segments_cross(a, b))
-    return pairs.where(bad).select("key", (F.col("y1") + meet * ay).alias("y"))
 
 
 def _even_odd_moments(segs: Column, heights: Column) -> Column:
@@ -102,7 +116,7 @@ def _even_odd_moments(segs: Column, heights: Column) -> Column:
             slope = F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"])
             return F.struct((e["x1"] + slope * (ym - e["y1"])).alias("x"), slope.alias("k"))
 
-        lines = F.array_sort(F.transform(spanning, line))
+        lines = F.sort_array(F.transform(spanning, line))
         signed = F.transform(
             lines,
             lambda l, i: F.struct(
@@ -140,32 +154,36 @@ def audit_rings(rings: DataFrame) -> DataFrame:
     and belong in quarantine.
     """
     shapes = grid.computed(rings.select("key", "ring"), segs=_sound_edges(F.col("ring")))
-    found = (
-        _crossings(shapes)
-        .groupBy("key")
-        .agg(F.count("*").alias("crossings"), F.collect_set("y").alias("cross_y"))
+    is_short = F.size("segs") <= SHORT_RING
+    short = grid.computed(shapes.where(is_short), found=_short_crossings(F.col("segs")))
+    long = shapes.where(~is_short)
+    crossed = _long_crossings(long).groupBy("key").agg(
+        F.count("*").alias("crossings"), F.collect_set("y").alias("heights")
     )
-    joined = shapes.join(found, "key", "left")
-    heights = F.array_sort(
-        F.array_distinct(
-            F.concat(F.transform("segs", lambda e: e["y1"]), F.coalesce("cross_y", F.array().cast("array<double>")))
+    judged = short.select(
+        "key", "ring", "segs", F.size("found").cast("bigint").alias("crossings"),
+        F.array_compact("found").alias("heights"),
+    ).unionByName(
+        long.join(crossed, "key", "left").select(
+            "key", "ring", "segs", F.coalesce("crossings", F.lit(0)).alias("crossings"),
+            F.coalesce("heights", F.array().cast("array<double>")).alias("heights"),
         )
     )
-    twice = geometry.moments_of_parts(F.array(F.array(F.col("ring"))))
+    levels = F.sort_array(
+        F.array_distinct(F.concat(F.transform("segs", lambda e: e["y1"]), F.col("heights")))
+    )
     plain = geometry.let(
-        twice,
+        geometry.moments_of_parts(F.array(F.array(F.col("ring")))),
         lambda m: F.struct(
             (m["a"] / 2).alias("a"), (m["mx"] / 2).alias("mx"), (m["my"] / 2).alias("my")
         ),
     )
-    crossed = F.col("crossings").isNotNull()
-    measured = grid.computed(
-        joined, m=F.when(crossed, _even_odd_moments(F.col("segs"), heights)).otherwise(plain)
-    )
-    return measured.select(
+    crossing = F.col("crossings") > 0
+    region = F.when(crossing, _even_odd_moments(F.col("segs"), levels)).otherwise(plain)
+    return grid.computed(judged, m=region).select(
         "key",
-        F.coalesce("crossings", F.lit(0)).alias("crossings"),
-        crossed.alias("crossing"),
+        "crossings",
+        crossing.alias("crossing"),
         F.col("m.a").alias("area"),
         F.try_divide("m.mx", "m.a").alias("x"),
         F.try_divide("m.my", "m.a").alias("y"),

@@ -50,15 +50,22 @@ def _square(x: Column, y: Column, h: Column) -> Column:
 _SNAPSHOTS: dict[tuple[str, str, bool], str] = {}
 
 
-def hazards(spark: SparkSession, sf_dir: str, clumped: bool = False) -> DataFrame:
-    """The derived events as a stored snapshot, written once per application and table folder."""
+def hazards(
+    spark: SparkSession, sf_dir: str, clumped: bool = False, **pruning
+) -> DataFrame:
+    """The derived events as a stored snapshot, written once per application and table folder.
+
+    ``source`` and ``years`` prune its folders.
+    """
     slot = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), clumped)
     if slot not in _SNAPSHOTS:
         root = shared_folder(spark, "hazards")
         snapshot.write_snapshot(derive_hazards(spark, sf_dir, clumped), root, version=0)
         _SNAPSHOTS[slot] = root
     extra = [T.StructField("key", T.LongType()), T.StructField("custkey", T.LongType())]
-    return snapshot.read_snapshot(apply_runtime_conf(spark), _SNAPSHOTS[slot], extra=extra)
+    return snapshot.read_snapshot(
+        apply_runtime_conf(spark), _SNAPSHOTS[slot], extra=extra, **pruning
+    )
 
 
 def derive_hazards(spark: SparkSession, sf_dir: str, clumped: bool = False) -> DataFrame:

@@ -16,7 +16,10 @@ BROKEN, EMPTY = 11, 13
 
 
 def _orders(spark, d):
-    return table(spark, d, "orders").select(
+    """Keys and moments, spread over all tasks: rendering and parsing text is the costly part."""
+    return table(spark, d, "orders").repartition(
+        spark.sparkContext.defaultParallelism, "o_orderkey"
+    ).select(
         F.col("o_orderkey").alias("key"),
         (
             F.col("o_orderdate").cast("timestamp")
@@ -52,7 +55,7 @@ def _documents(rows, head: str, glue: str, tail: str):
     """One document per PER_DOC orders, its pieces in key order; some are cut short or empty."""
     n = F.col("doc")
     body = F.when(n % EMPTY == 0, F.lit("")).otherwise(
-        F.array_join(F.transform(F.array_sort("pieces"), lambda p: p["piece"]), glue)
+        F.array_join(F.transform(F.sort_array("pieces"), lambda p: p["piece"]), glue)
     )
     whole = F.concat(F.lit(head), body, F.lit(tail))
     return (

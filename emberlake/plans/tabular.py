@@ -32,13 +32,20 @@ def provinces(spark, d):
     return prepare_provinces(national_areas(spark, d))
 
 
+def _of_year(spark, d, source):
+    """The report's slice of the snapshot: one source, one year."""
+    return hazards(spark, d, source=source, years=(YEAR, YEAR))
+
+
 def burned_area_by_month(spark, d):
-    return reports.burned_area_by_month(hazards(spark, d), provinces(spark, d), year=YEAR)
+    return reports.burned_area_by_month(
+        _of_year(spark, d, "effis"), provinces(spark, d), year=YEAR
+    )
 
 
 def burned_area_one_province(spark, d):
     return reports.burned_area_by_month(
-        hazards(spark, d), provinces(spark, d), year=YEAR, province_code="42"
+        _of_year(spark, d, "effis"), provinces(spark, d), year=YEAR, province_code="42"
     )
 
 
@@ -69,11 +76,11 @@ SELECT operational_ha, analytical_ha, operational_ha = analytical_ha AS agree FR
 
 
 def quake_frequency(spark, d):
-    return reports.quake_frequency(hazards(spark, d), year=YEAR)
+    return reports.quake_frequency(_of_year(spark, d, "ign"), year=YEAR)
 
 
 def quake_frequency_min(spark, d):
-    return reports.quake_frequency(hazards(spark, d), year=YEAR, min_magnitude=4.5)
+    return reports.quake_frequency(_of_year(spark, d, "ign"), year=YEAR, min_magnitude=4.5)
 
 
 def _quake_sql(minimum: float) -> str:
@@ -86,11 +93,11 @@ GROUP BY 1 ORDER BY 1"""
 
 
 def warnings_summary(spark, d):
-    return reports.warnings_summary(hazards(spark, d), year=YEAR)
+    return reports.warnings_summary(_of_year(spark, d, "aemet"), year=YEAR)
 
 
 def warnings_summary_code(spark, d):
-    return reports.warnings_summary(hazards(spark, d), year=YEAR, phenomenon_code="AT")
+    return reports.warnings_summary(_of_year(spark, d, "aemet"), year=YEAR, phenomenon_code="AT")
 
 
 def _warnings_sql(extra: str) -> str:

@@ -8,7 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Geometry and parsing cost far more per byte than AQE assumes, so small stages keep more tasks.
 RUNTIME_CONF = {
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

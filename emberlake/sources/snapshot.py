@@ -58,9 +58,14 @@ def read_snapshot(
     spark: SparkSession,
     root: str,
     version: int | None = None,
+    source: str | None = None,
+    years: tuple[int, int] | None = None,
     extra: list[T.StructField] | None = None,
 ) -> DataFrame:
-    """The newest (or given) snapshot under its fixed schema; empty when there is none."""
+    """The newest (or given) snapshot under its fixed schema; empty when there is none.
+
+    ``source`` and the inclusive ``years`` of the start select folders before any file is opened.
+    """
     fields = [*schemas.SNAPSHOT.fields, *(extra or [])]
     known = versions(spark, root)
     if version is None and known:
@@ -68,8 +73,9 @@ def read_snapshot(
     if version is None or version not in known:
         return spark.createDataFrame([], T.StructType(fields))
     stored = T.StructType([*fields, T.StructField("year", T.IntegerType())])
-    return (
-        spark.read.schema(stored)
-        .parquet(os.path.join(root, f"v={version}"))
-        .select(*[f.name for f in fields])
-    )
+    rows = spark.read.schema(stored).parquet(os.path.join(root, f"v={version}"))
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
+    if years is not None:
+        rows = rows.where(F.col("year").between(*years))
+    return rows.select(*[f.name for f in fields])
