@@ -333,7 +333,8 @@ _CORNERS = ((7, 31, 3, 0), (13, 5, 17, 1), (29, 11, 41, 2), (37, 23, 53, 3))
 
 def derive_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One closed ring of four corners per line item: plain, twisted or flat."""
-    li = table(spark, sf_dir, "lineitem")
+    identity = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    li = table(spark, sf_dir, "lineitem").select(*identity).distinct()
     p, q = F.col("l_partkey"), F.col("l_orderkey") + F.col("l_linenumber")
 
     def corner(a, b, c, i):
@@ -343,11 +344,9 @@ def derive_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     corners = [corner(*k) for k in _CORNERS]
     return li.select(
-        F.concat_ws(
-            "-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
-        ).alias("key"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in identity]).alias("key"),
         F.array(*corners, corners[0]).alias("ring"),
-    ).dropDuplicates(["key"])
+    )
 
 
 def _rings_sql() -> str:
