@@ -136,7 +136,7 @@ def _weigh(
         last = longest <= SHORT or bits + STEP_BITS > MAX_BITS
         short = opened if last else opened.where(F.col("m") <= SHORT)
         listed = right.select(*_sub_cell(bits), "x", "y", "w")
-        one_by_one = short.select(*keep, "kx", "ky").join(listed, ["kx", "ky"])
+        one_by_one = _with_sites(short.select(*keep, "kx", "ky"), listed, ["kx", "ky"], longest)
         if left == ["segs"]:
             apart = geometry.edges_distance(F.col("segs"), F.col("x"), F.col("y"))
         else:
@@ -160,6 +160,21 @@ def _weigh(
     return _union(settled).groupBy("lid", "cx", "cy").agg(F.sum("n").alias("n"))
 
 
+def _with_sites(
+    asked: DataFrame, listed: DataFrame, keys: list[str], longest: int
+) -> DataFrame:
+    """Questions joined with the sites of their sub-cell.
+
+    Sites of long sub-cells match nothing here but would still be shuffled to one place; when
+    there are any that crowded, the join salts them.
+    """
+    if longest <= grid.CROWDED_ROWS:
+        return asked.join(listed, keys)
+    return grid.spread_join(
+        listed, asked, keys, F.struct(*[c for c in listed.columns if c not in keys])
+    )
+
+
 def _longest(cells: DataFrame) -> int:
     return cells.agg(F.max("m")).first()[0] or 0
 
@@ -281,13 +296,11 @@ def _cell_links(core: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
             F.col("kx").alias("akx"), F.col("ky").alias("aky"),
             F.col("x").alias("axx"), F.col("y").alias("ayy"),
         )
-        met = (
-            short.select(*link, "akx", "aky", "kx", "ky")
-            .join(mine, ["akx", "aky"])
-            .join(listed, ["kx", "ky"])
-            .where(
-                geometry.point_distance(F.col("axx"), F.col("ayy"), F.col("x"), F.col("y")) <= reach
-            )
+        asked = short.select(*link, "akx", "aky", "kx", "ky")
+        met = _with_sites(
+            _with_sites(asked, mine, ["akx", "aky"], longest), listed, ["kx", "ky"], longest
+        ).where(
+            geometry.point_distance(F.col("axx"), F.col("ayy"), F.col("x"), F.col("y")) <= reach
         )
         found.append(met.select(*link))
         if last:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.operators import grid
 from emberlake.session import materialised
 
 
@@ -16,9 +17,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
     near = _both_ways(edges)
     low = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    # A component's root ends up next to every member, hence the salted join.
     return (
-        near.where(F.col("v") > F.col("u"))
-        .join(low, "u")
+        grid.spread_join(near.where(F.col("v") > F.col("u")), low, ["u"], F.col("v"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where(F.col("u") != F.col("v"))
         .distinct()
@@ -28,7 +29,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them. Edges point downwards."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    side = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    side = grid.spread_join(edges, low, ["u"], F.col("v")).select(
+        F.col("v").alias("u"), F.col("m").alias("v")
+    )
     return (
         side.unionByName(low.select("u", F.col("m").alias("v")))
         .where(F.col("u") != F.col("v"))

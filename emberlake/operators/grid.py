@@ -58,23 +58,25 @@ def spread_join(
     few: DataFrame,
     keys: list[str],
     spread: Column,
-    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """Inner equi-join that keeps a crowded key from landing in one task.
 
     A small ``few`` side is broadcast and nothing is shuffled. Otherwise each crowded key of
     ``many`` is split into salts by ``spread`` and its ``few`` rows are repeated once per salt.
-    The table of crowded keys has at most rows / crowded_rows entries.
+    The table of crowded keys has at most rows / CROWDED_ROWS entries, which bounds its broadcast.
+    Adaptive execution does not split a join whose side is the output of an aggregate on the same
+    key, so this does not lean on it.
     """
     if fits_broadcast(few):
         return many.join(F.broadcast(few), keys)
     crowded = (
         many.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > crowded_rows)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(crowded_rows)).cast("int").alias("_salts"))
+        .where(F.col("_n") > CROWDED_ROWS)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(CROWDED_ROWS)).cast("int").alias("_salts"))
     )
     one = F.coalesce(F.col("_salts"), F.lit(1))
+    crowded = F.broadcast(crowded)
     left = many.join(crowded, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(spread), one).cast("int")
     )
@@ -84,8 +86,6 @@ def spread_join(
     return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"]).drop("_salt")
 
 
-def join_on_cell(
-    many: DataFrame, few: DataFrame, spread: Column, crowded_rows: int = CROWDED_ROWS
-) -> DataFrame:
+def join_on_cell(many: DataFrame, few: DataFrame, spread: Column) -> DataFrame:
     """``spread_join`` on (cx, cy): a cell with a large share of all rows is split."""
-    return spread_join(many, few, ["cx", "cy"], spread, crowded_rows)
+    return spread_join(many, few, ["cx", "cy"], spread)

@@ -3,7 +3,7 @@ import random
 import pytest
 from helpers import brute_dbscan, event, events_frame, point, square
 
-from emberlake.operators import clusters, components
+from emberlake.operators import clusters, components, grid
 
 IBERIA = (-9.5, 36.0, 3.4, 43.8)
 
@@ -88,6 +88,17 @@ def test_labels_agree_with_brute_force(spark, monkeypatch, seed, n_points, n_sha
     assert len(set(want.values())) > 1 or n_shapes
 
 
+def test_labels_hold_when_every_join_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(grid, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(grid, "CROWDED_ROWS", 3)
+    monkeypatch.setattr(clusters, "SHORT", 4)
+    df = events_frame(spark, _scatter(5, 120, 8)).cache()
+    items = [(r["id"], r["geom"]) for r in df.select("id", "geom").collect()]
+    got = clusters.dbscan_labels(df, eps_m=1800, min_points=5, bbox=IBERIA).collect()
+    assert {r["id"]: r["cluster"] for r in got} == brute_dbscan(items, 1800, 5)
+    assert len(got) == len({r["id"] for r in got})
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
     star = [("s000", f"s{i:03d}") for i in range(1, 80)]

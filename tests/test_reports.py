@@ -237,7 +237,7 @@ def test_join_without_broadcast_salts_a_crowded_cell(spark, fires, areas, monkey
     from emberlake.operators import grid
 
     monkeypatch.setattr(grid, "fits_broadcast", lambda df: False)
-    monkeypatch.setattr(grid.join_on_cell, "__defaults__", (2,))
+    monkeypatch.setattr(grid, "CROWDED_ROWS", 2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         got = rows(spatial_join.join_within(fires, areas).select("id", "province_code"))
