@@ -58,7 +58,7 @@ def hazards(
     ``source`` and ``years`` prune its folders.
     """
     slot = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), clumped)
-    if slot not in _SNAPSHOTS:
+    if slot not in _SNAPSHOTS or not snapshot.versions(spark, _SNAPSHOTS[slot]):
         root = shared_folder(spark, "hazards")
         snapshot.write_snapshot(derive_hazards(spark, sf_dir, clumped), root, version=0)
         _SNAPSHOTS[slot] = root

@@ -9,6 +9,7 @@ for a poll whose fetch failed.
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ from emberlake.session import materialised
 from emberlake.sources import feeds, snapshot
 from emberlake.streaming import store
 
+logger = logging.getLogger(__name__)
+
 DOCUMENTS = "poll_id string, doc_id string, layer string, payload string"
 MARKER = "poll_id string, poll_ts timestamp, documents string, err string"
 
@@ -118,7 +121,8 @@ def reconcile_poll(
     documents = spark.read.schema(DOCUMENTS).parquet(marker["documents"])
     try:
         bulletin = READERS[source](documents, **limits)
-    except UnreadablePoll:
+    except UnreadablePoll as problem:
+        logger.warning("%s poll %s not applied: %s", source, marker["poll_id"], problem)
         return None
     at = F.lit(marker["poll_ts"]).cast("timestamp")
     rows = materialised(bulletin.rows, "poll")

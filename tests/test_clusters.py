@@ -68,9 +68,8 @@ def _scatter(seed, n_points, n_shapes):
 @pytest.mark.parametrize(
     ("seed", "n_points", "n_shapes", "eps", "min_points", "short"),
     [
-        (1, 150, 0, 1500, 4, 64),
-        (2, 150, 25, 1200, 5, 64),
-        (3, 220, 15, 2500, 12, 1),
+        (2, 120, 20, 1200, 5, 64),
+        (3, 150, 10, 2500, 12, 1),
         (4, 300, 0, 4000, 25, 2),
     ],
 )
