@@ -80,3 +80,8 @@ def cluster_feature_rows(clusters: DataFrame) -> DataFrame:
         ("last_starts_at", _text(_moment("last_starts_at"))),
     ]
     return clusters.select("cluster_id", _feature(place, None, _object(*members)).alias("feature"))
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """Features as JSON lines, one file per task."""
+    features.select("feature").write.mode("overwrite").text(path)

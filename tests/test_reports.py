@@ -291,3 +291,10 @@ def test_filters_reach_the_scan(spark, fires, tmp_path):
         assert piece in pushed
     year = plan(reports.quake_frequency(snapshot.read_snapshot(spark, root, source="ign", years=(2026, 2026)), year=2026))
     assert "PartitionFilters: [isnotnull(source" in year and "attrs:string" in year and "geom" not in year
+
+
+def test_feature_lines(spark, fires, tmp_path):
+    path = str(tmp_path / "lines")
+    export.write_features(export.to_feature_rows(fires), path)
+    back = [json.loads(r["value"]) for r in spark.read.text(path).collect()]
+    assert len(back) == 6 and {f["type"] for f in back} == {"Feature"}
