@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberlake.llm import decontaminate, linededup, quality, tokencount, toxicity, urlfilter
+from emberlake.llm import bpe, decontaminate, linededup, quality, tokencount, toxicity, urlfilter
 from emberlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,16 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.scored(documents.select("doc_id", "text"), chain).drop("text")
 
 
+def op4_byte_bpe(spark, sf_dir):
+    done = bpe.encoded(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.little_endian(F.col("ids"), VOCABULARY), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), VOCABULARY), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_quality_rules(spark, sf_dir):
     judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -45,7 +55,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op3_toxicity, op5_quality_rules, op6_url_filter, op7_token_counts, op10_decontamination,
+        op1_line_dedup, op3_toxicity, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_token_counts, op10_decontamination,
     )
 }
 ORACLES = {
