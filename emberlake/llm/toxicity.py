@@ -218,10 +218,14 @@ def scored(df: DataFrame, chain: Chain, text: str = "text", threshold: float = 0
     new = {n.lower() for n in [*probabilities, verdict]}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new or c == text])
     schema = T.StructType(df.schema.fields + [T.StructField(f"__{p}", T.DoubleType()) for p in probabilities])
-    shared = df.sparkSession.sparkContext.broadcast(chain)  # bounded: max_features x categories
+    # bounded: max_features x categories
+    shared = df.sparkSession.sparkContext.broadcast(
+        (chain.vocabulary, chain.names, [(m.weights, m.constant) for m in chain.models])
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        vocabulary, categories, weights = shared.value
+        model = Chain(vocabulary, categories, [Linear(*w) for w in weights])
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             p = model.probabilities([model.row(t) for t in batch.column(at).to_pylist()])
