@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberlake.llm import bpe, decontaminate, linededup, quality, suffixtree, tokencount, toxicity, urlfilter
+from emberlake.llm import bpe, decontaminate, linededup, minhash, quality, suffixtree, tokencount, toxicity, urlfilter
 from emberlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,6 +48,10 @@ def op7_token_counts(spark, sf_dir):
     return tokencount.counted(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op8_minhash(spark, sf_dir):
+    return minhash.linked(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark, sf_dir):
     return suffixtree.scored(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op3_toxicity, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_token_counts, op9_lm_scoring, op10_decontamination,
+        op1_line_dedup, op3_toxicity, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_token_counts, op8_minhash, op9_lm_scoring, op10_decontamination,
     )
 }
 ORACLES = {
