@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberlake.llm import bpe, decontaminate, linededup, minhash, quality, suffixtree, tokencount, toxicity, urlfilter
+from emberlake.llm import bpe, decontaminate, linededup, minhash, quality, suffixarray, suffixtree, tokencount, toxicity, urlfilter
 from emberlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,14 @@ def op1_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_array(spark, sf_dir):
+    done = suffixarray.removal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     chain = toxicity.fit(documents, table(spark, sf_dir, "labels"))
@@ -63,7 +71,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op3_toxicity, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_token_counts, op8_minhash, op9_lm_scoring, op10_decontamination,
+        op1_line_dedup, op2_suffix_array, op3_toxicity, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_token_counts, op8_minhash, op9_lm_scoring, op10_decontamination,
     )
 }
 ORACLES = {
