@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from emberlake.llm import bpe, decontaminate, linededup, minhash, quality, suffixarray, suffixtree, tokencount, toxicity, urlfilter
+import corpus_pipeline
+from emberlake.llm import (
+    bpe,
+    decontaminate,
+    linededup,
+    minhash,
+    quality,
+    suffixarray,
+    suffixtree,
+    tokencount,
+    toxicity,
+    urlfilter,
+)
 from emberlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -68,10 +80,15 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_suffix_array, op3_toxicity, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_token_counts, op8_minhash, op9_lm_scoring, op10_decontamination,
+        op1_line_dedup, op2_suffix_array, op3_toxicity, op4_byte_bpe, op5_quality_rules, op6_url_filter,
+        op7_token_counts, op8_minhash, op9_lm_scoring, op10_decontamination, pipeline,
     )
 }
 ORACLES = {
