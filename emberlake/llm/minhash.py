@@ -6,9 +6,13 @@ signatures are candidates; the number of bands follows from the chosen ``miss``
 are compared in batches of signature rows and dropped as soon as the posterior probability (uniform prior) that
 they reach the threshold is below ``miss``. Survivors are confirmed on their full sets.
 
-Within a bucket not all pairs are made. A few pivots per bucket are compared with all its members, links join
-components, and only members in different components go on; what is left after the pivot rounds is compared pair by
-pair, so no link between components is lost. Every step works on rows dealt out by key.
+Within a bucket not all pairs are made. First a few pivots per bucket are compared with all its members, and links join
+components. Buckets that still hold several components come second. Up to ``SMALL`` members are compared pair by
+pair. A crowded bucket is measured against a reference set instead (what most of its hub's neighbours have): members whose sets
+differ from it by D and E have ``|D ^ E|`` in which they differ from each other, so the threshold sets how many
+elements D and E must share. Members that need none are all linked to the one closest to the reference. Any
+other link shows up among the first elements of D and E (the prefix filter), rare ones first. That is exact, so no
+link between components is lost, and members that only share what all share never meet.
 
 Documents without words are linked with nothing. Rows without an id are not linked: their
 component is null and they are kept. Rows that share an id are one document: they stay or go together.
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +37,9 @@ from emberlake.session import materialised
 BAND_ROWS = 5
 BATCH_ROWS = 32
 PIVOTS = 3
-MAX_PIVOT_ROUNDS = 6
+SMALL = 16
+# neighbours that vote on a reference set; any reference gives the same links
+VOTERS = 31
 MISS = 1e-8
 SEED = 20_000_003
 
@@ -221,11 +227,110 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _crossing(members: DataFrame) -> int:
-    """Pairs within a bucket that lie in different components."""
-    sizes = members.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
-    per = sizes.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("n"))
-    return int(per.agg(F.sum("n")).first()[0] or 0)
+def _pivot_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of every bucket with a few of them."""
+    pivots = [F.min_by("nid", F.xxhash64("nid", F.lit(k))) for k in range(PIVOTS)]
+    chosen = buckets.groupBy("key").agg(F.array_distinct(F.array(*pivots)).alias("p"))
+    stars = buckets.join(chosen, "key").select("nid", F.explode("p").alias("p")).where("nid <> p")
+    return stars.select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b")).distinct()
+
+
+def _references(spokes: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """(h, ref): for each hub the shingles that most of it and some of its neighbours have."""
+    hubs = spokes.select("h").distinct()
+    near = edges.select(F.col("u").alias("h"), F.col("v").alias("nid")).unionByName(
+        edges.select(F.col("v").alias("h"), F.col("u").alias("nid"))
+    )
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("nid"))
+    voters = near.join(hubs, "h", "left_semi").distinct().withColumn("k", rank).where(F.col("k") < VOTERS).select("h", "nid")
+    voters = voters.unionByName(hubs.select("h", F.col("h").alias("nid")))
+
+    def vote(table: pa.Table) -> pa.Table:
+        every = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+        shingles, n = np.unique(np.concatenate(every), return_counts=True)
+        ref = shingles[2 * n > len(every)]
+        return pa.table({"h": table.column("h").slice(0, 1), "ref": pa.array([ref.tobytes()], pa.binary())})
+
+    return voters.join(sets, "nid").select("h", "set").groupBy("h").applyInArrow(vote, "h long, ref binary")
+
+
+def _differences(spokes: DataFrame, references: DataFrame, sets: DataFrame, kappa: float) -> DataFrame:
+    """Spokes with the elements ``d`` in which they differ from the reference and their excess ``e``.
+
+    What a set has beyond the reference comes first: it is rarer than what it lacks.
+    """
+    schema = T.StructType([*spokes.schema.fields, T.StructField("e", T.DoubleType()), T.StructField("d", T.ArrayType(T.LongType()))])
+    names = spokes.columns
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, d = [], []
+            for ref, own in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
+                ref, own = np.frombuffer(ref.as_py(), np.uint64), np.frombuffer(own.as_py(), np.uint64)
+                parts = np.concatenate([np.setdiff1d(own, ref, True), np.setdiff1d(ref, own, True)])
+                e.append(len(parts) - kappa * len(own))
+                d.append(parts.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(names)], pa.array(e, pa.float64()), pa.array(d, pa.list_(pa.int64()))], schema.names
+            )
+
+    joined = spokes.join(references, "h").join(sets, "nid").select(*names, "ref", "set")
+    return materialised(joined.mapInArrow(differ, schema), "differences")
+
+
+def _crowded_pairs(members: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that hold all links between components in crowded buckets."""
+    kappa = (100 - percent) / (100 + percent)
+    degree = edges.select(F.explode(F.array("u", "v")).alias("nid")).groupBy("nid").agg(F.count("*").alias("n"))
+    hubs = (
+        members.join(degree, "nid", "left")
+        .groupBy("key")
+        .agg(F.max_by("nid", F.struct(F.coalesce("n", F.lit(0)), -F.col("nid"))).alias("h"))
+    )
+    spokes = members.join(hubs, "key").select("h", "nid", "label").distinct()
+    spokes = materialised(spokes, "spokes")
+    found = _differences(spokes, _references(spokes, edges, sets), sets, kappa)
+    # Two members are linked if they share at least (e + e') / 2 of their differences. The slack keeps rounding safe.
+    slack = 1e-6
+    best = found.groupBy("h").agg(F.min_by(F.struct(F.col("nid").alias("m"), F.col("label").alias("lm"), F.col("e").alias("em")), F.struct("e", "nid")).alias("best"))
+    found = found.join(best, "h").select("h", "nid", "label", "e", "d", "best.*")
+    free = F.col("e") + F.col("em") <= slack
+    found = found.withColumn("light", free | (F.col("label") == F.col("lm")))
+    stars = found.where(free & (F.col("nid") != F.col("m")) & (F.col("label") != F.col("lm"))).select(F.col("nid").alias("x"), F.col("m").alias("y"))
+    least = found.where(~F.col("light")).groupBy("h").agg(F.min("e").alias("er"))
+    found = found.join(least, "h").select("h", "nid", "label", "e", "d", "em", "er", "light")
+
+    def prefix(rows: DataFrame, other: str, name: str) -> DataFrame:
+        need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col(other)) / 2 - slack).cast("int"))
+        size = F.greatest(F.lit(0), F.size("d") - need + 1)
+        return rows.select(
+            "h", F.explode(F.slice("d", F.lit(1), size)).alias("t"), F.col("nid").alias(name), F.col("label").alias(f"l{name}")
+        )
+
+    light, heavy = found.where("light"), found.where(~F.col("light"))
+    mixed = prefix(heavy, "em", "x").join(prefix(light, "er", "y"), ["h", "t"]).where("lx <> ly").select("x", "y")
+    among = prefix(heavy, "er", "x").join(prefix(heavy, "er", "y"), ["h", "t"]).where("x < y and lx <> ly").select("x", "y")
+    pairs = stars.unionByName(mixed).unionByName(among)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _pairs_left(members: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs (a, b) that hold all links between components, or None if no bucket holds two components."""
+    sizes = materialised(
+        members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        .where("l0 <> l1").select("key", "n"),
+        "open-buckets",
+    )
+    got = sizes.agg(F.count("*"), F.max("n")).first()
+    if not got[0]:
+        return None
+    few = members.join(sizes.where(F.col("n") <= SMALL).select("key"), "key")
+    other = few.select("key", F.col("nid").alias("b"), F.col("label").alias("lb"))
+    pairs = few.withColumnRenamed("nid", "a").join(other, "key").where("a < b and label <> lb").select("a", "b").distinct()
+    if got[1] > SMALL:
+        many = members.join(sizes.where(F.col("n") > SMALL).select("key"), "key")
+        pairs = pairs.unionByName(_crowded_pairs(many, edges, sets, percent)).distinct()
+    return materialised(pairs, "pairs")
 
 
 def linked(
@@ -266,36 +371,11 @@ def linked(
     some = materialised(nodes.join(buckets.select("nid").distinct(), "nid", "left_semi"), "candidates")
     sets = materialised(_sets(df, some.select("nid", "node", "rep"), doc_id, text, shingle_words), "sets")
 
-    edges, labels, last = None, some.select("nid", F.col("nid").alias("label")), None
-    for turn in range(MAX_PIVOT_ROUNDS + 1):
-        members = materialised(buckets.join(labels, "nid"), "members")
-        crossing = _crossing(members)
-        if not crossing:
-            break
-        # pivots while they pay: pairs are then few against the members of all buckets
-        last_turn = turn == MAX_PIVOT_ROUNDS or crossing <= members.count() or (last is not None and crossing > 0.9 * last)
-        if last_turn:
-            other = members.select("key", F.col("nid").alias("b"), F.col("label").alias("lb"))
-            pairs = (
-                members.join(other, "key").where((F.col("nid") < F.col("b")) & (F.col("label") != F.col("lb")))
-                .select(F.col("nid").alias("a"), "b").distinct()
-            )
-        else:
-            mixed = members.groupBy("key").agg(
-                F.array(*[F.min_by("nid", F.xxhash64("nid", F.lit(PIVOTS * turn + k))) for k in range(PIVOTS)]).alias("p")
-            )
-            seen = labels.select(F.col("nid").alias("p"), F.col("label").alias("lp"))
-            stars = members.join(mixed, "key").select("nid", "label", F.explode(F.array_distinct("p")).alias("p"))
-            pairs = (
-                stars.distinct().join(seen, "p").where(F.col("label") != F.col("lp"))
-                .select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b")).distinct()
-            )
-        new = _links(pairs, some, sets, rows, percent, miss)
-        edges = new if edges is None else edges.unionByName(new)
-        labels = _labels(some, edges)
-        last = crossing
-        if last_turn:
-            break
+    edges = _links(materialised(_pivot_pairs(buckets), "pairs"), some, sets, rows, percent, miss)
+    labels = _labels(some, edges)
+    left = _pairs_left(materialised(buckets.join(labels, "nid"), "members"), edges, sets, percent)
+    if left is not None:
+        labels = _labels(some, edges.unionByName(_links(left, some, sets, rows, percent, miss)))
 
     roots = nodes.select("nid", "node", "rep").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     low = roots.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import text_of, with_columns, words_of
+from emberlake.llm.common import SPACES, text_of, with_columns, words_of
+from emberlake.operators.grid import computed
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -95,10 +96,10 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the measures, all of type long."""
     stop = sorted({w for line in STOP_WORDS for w in line.split()})
     body = text_of(text)
-    df = with_columns(df, __words=words_of(body), __lines=F.split(body, "\n"), __body=body)
-    words, body = F.col("__words"), F.col("__body")
-    df = with_columns(df, __full=F.filter("__lines", lambda x: F.length(F.regexp_replace(x, "[\\x20\\x09-\\x0D]", "")) > 0))
-    lines = F.col("__full")
+    full = F.filter(F.split(body, "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
+    # a filter on a measure must not pull the splitting into its lambdas
+    df = computed(df, __words=words_of(body), __full=full, __body=body)
+    words, lines, body = F.col("__words"), F.col("__full"), F.col("__body")
     measures = {
         "n_words": F.size(words),
         "word_chars": F.length(F.array_join(words, "")),
@@ -110,9 +111,9 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size(lines),
         "n_short_lines": F.size(F.filter(lines, lambda x: F.length(x) < 20)),
     }
-    return with_columns(df, **{k: v.cast("long") for k, v in measures.items()}).drop(
-        "__words", "__lines", "__body", "__full"
-    )
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in MEASURES and c not in ("__words", "__full", "__body")]
+    found = F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])
+    return df.select(*kept, F.inline(F.array(found)))
 
 
 def compiled(rules=RULES) -> Column:
@@ -153,8 +154,9 @@ def kept_rows(df: DataFrame, text: str = "text", **options) -> DataFrame:
 SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
         [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM d),
-p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
-g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM p),
+p AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+t AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM t WHERE c IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM g WHERE n > 1) GROUP BY 1),
 m AS (SELECT doc_id, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
         len(regexp_extract_all(text, '{SYMBOLS}')) AS n_symbols,

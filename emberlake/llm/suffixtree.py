@@ -156,7 +156,7 @@ def fit_tree(
         here: dict[int, dict] = {}
         bounds = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if len(contexts) else np.zeros(0, int)
         base = root[np.minimum(np.searchsorted(symbols, nexts), max(0, len(symbols) - 1))] if len(symbols) else np.zeros(0)
-        for a, b in zip(bounds, np.append(bounds[1:], len(contexts)), strict=True):
+        for a, b in zip(bounds, np.append(bounds[1:], len(contexts))[: len(bounds)], strict=True):
             key = int(contexts[a])
             n = float(sums[np.searchsorted(keys, contexts[a])])
             chain = [(level - 1 - i, int(k)) for i, k in enumerate(suffixes[a])]

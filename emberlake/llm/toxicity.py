@@ -8,7 +8,7 @@ are then fitted on the whole sample.
 The last category is the label of the table. An earlier category is a labelled document that holds one of the
 category's seed words. A category without positive or negative cases gets a constant model.
 
-Features are lower-cased words and word starts of 4 to 6 letters, chosen by how much more often they
+Features are lower-cased words and word starts of 3 to 6 letters, chosen by how much more often they
 occur in labelled documents than in others. The sample is bounded: the ``sample_docs`` labelled documents of
 either label that come first by a hash of their id (a documented bound, default 5,000 each). Scoring covers all
 rows and whole texts. Null and empty texts have no feature. Labels that are null are ignored; a document with several labels counts
@@ -31,7 +31,7 @@ from emberlake.llm.common import text_of, with_columns
 from emberlake.session import materialised
 
 WORDS = re.compile(r"[^\W\d_]+")
-STARTS = (4, 5, 6)
+STARTS = (3, 4, 5, 6)
 SAMPLE_DOCS = 5_000
 MAX_FEATURES = 600
 FOLDS = 5
@@ -85,8 +85,8 @@ class Chain:
         return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Linear:
-    """Ridge logistic regression by Newton steps."""
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> Linear:
+    """Ridge logistic regression by Newton steps, halved until the loss falls."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
     if not 0 < y.sum() < len(y):
         rate = 1e-6 if not y.any() else 1 - 1e-6
@@ -96,14 +96,22 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25
     w[-1] = np.log(rate / (1 - rate))
     penalty = np.full(full.shape[1], ridge)
     penalty[-1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = full @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum())
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
         gradient = full.T @ (p - y) + penalty * w
-        hessian = (full * (p * (1 - p) + 1e-9)[:, None]).T @ full + np.diag(penalty)
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        hessian = (full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty)
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while (new := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - new < 1e-6 * abs(now):
             break
+        w, now = w - size * step, new
     return Linear(w[:-1], float(w[-1]))
 
 
