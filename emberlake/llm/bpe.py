@@ -16,7 +16,6 @@ import functools
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from emberlake.llm.tokencount import rank_table
 
 MAP_BUCKETS = 8192
 FOLD_BYTES = 256
+CHUNK_CHARS = 20_000_000
 # chunks whose dictionaries share one encoding of a word; bounds the list kept per word
 CHUNK_BLOCK = 256
 
@@ -161,21 +161,9 @@ def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encoded_words(words: DataFrame, vocabulary: str, word: str = "word") -> DataFrame:
-    """Add ``ids`` to distinct pre-tokens."""
-    size = F.octet_length(F.col(word))
-    short = words.where(size <= FOLD_BYTES).withColumn("ids", folded(F.col(word), vocabulary))
-    schema = T.StructType(words.schema.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    at = words.columns.index(word)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = None
-        for batch in batches:
-            if batch.num_rows and ranks is None:
-                ranks = rank_table(vocabulary)
-            ids = [heap_encode(w.encode("utf-8"), ranks) for w in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(ids, pa.list_(pa.int32()))], schema.names)
-
-    return short.select(*schema.names).unionByName(words.where(size > FOLD_BYTES).mapInArrow(encode, schema))
+    """Add ``ids`` to distinct pre-tokens: null for those longer than ``FOLD_BYTES``, which ``heap_encode`` takes."""
+    short = F.octet_length(F.col(word)) <= FOLD_BYTES
+    return words.withColumn("ids", F.when(short, folded(F.col(word), vocabulary)))
 
 
 def pretokens(text: Column, pattern: str) -> Column:
@@ -184,7 +172,13 @@ def pretokens(text: Column, pattern: str) -> Column:
 
 
 def encoded(
-    df: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text", **sizes: int
+    df: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    chunk_chars: int = CHUNK_CHARS,
+    **sizes: int,
 ) -> DataFrame:
     """One row per input row: its id and ``ids``."""
     own = text_of(f"`{text}`")
@@ -192,18 +186,22 @@ def encoded(
     known = ~own.rlike("\\p{Cn}")
     table = chunks.coded(
         df, F.col(f"`{doc_id}`"), F.when(known, pretokens(own, pattern)), F.lit(False),
-        rest=F.when(~known, own), split=lambda t: regex.findall(pattern, t), **sizes,
+        rest=F.when(~known, own), split=lambda t: regex.findall(pattern, t), chunk_chars=chunk_chars, **sizes,
     )
     entries = table.tokens().withColumn("block", F.floor(F.shiftright("chunk", 24) / CHUNK_BLOCK))
     words = entries.groupBy("bucket", "block", "word").agg(F.collect_list(F.struct("chunk", "k")).alias("places"))
-    done = encoded_words(words, vocabulary).select("bucket", F.inline("places"), "ids")
+    # every step below stays in the partitions by bucket
+    done = encoded_words(words, vocabulary).select(
+        "bucket", F.inline("places"), "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("long")
+    )
     values = (
         done.groupBy("bucket", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("e"))
+        .agg(F.sort_array(F.collect_list(F.struct("k", "ids", "long"))).alias("e"))
         .select(
             "chunk", "bucket",
-            F.transform("e", lambda x: F.size(x["ids"])).alias("sizes"),
-            F.flatten(F.transform("e", lambda x: x["ids"])).alias("ids"),
+            F.transform("e", lambda x: F.coalesce(F.when(x["ids"].isNotNull(), F.size(x["ids"])), F.lit(-1))).alias("sizes"),
+            F.flatten(F.transform("e", lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"),
+            F.array_compact(F.transform("e", lambda x: x["long"])).alias("long"),
         )
     )
     schema = T.StructType([df.schema[doc_id], T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -211,6 +209,14 @@ def encoded(
     def spell(ids, sizes, flags, codes, order, rows) -> pa.Table:
         lengths = flat(rows.column("sizes")).astype(np.int64)
         pieces = flat(rows.column("ids")).astype(np.int32)
+        late = np.flatnonzero(lengths < 0)
+        if len(late):
+            ranks = rank_table(vocabulary)
+            more = [heap_encode(w.encode("utf-8"), ranks) for w in rows.column("long").combine_chunks().flatten().to_pylist()]
+            lengths[late] = 0
+            at = np.repeat((np.cumsum(lengths) - lengths)[late], [len(m) for m in more])
+            pieces = np.insert(pieces, at, np.concatenate([np.array(m, np.int32) for m in more]))
+            lengths[late] = [len(m) for m in more]
         starts = np.cumsum(lengths) - lengths
         length, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         length[order], start[order] = lengths, starts

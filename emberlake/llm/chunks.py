@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from emberlake.session import shared_folder
 
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 8_000_000
 TOKEN_BUCKETS = 1024
 
 
