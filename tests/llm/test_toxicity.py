@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlake.llm import toxicity
 
@@ -19,7 +20,7 @@ def test_held_out_accuracy(tables):
     caught = [r["toxic"] for r in rows if r["truth"]]
     false = [r["toxic"] for r in rows if not r["truth"]]
     # about an eighth of the positive labels are on texts without any toxic word
-    assert len(caught) > 50 and np.mean(caught) > 0.78 and np.mean(false) < 0.005
+    assert len(caught) > 50 and np.mean(caught) > 0.8 and np.mean(false) < 0.005
     assert all(0 <= r["p_insult"] <= 1 and 0 <= r["p_toxic"] <= 1 for r in rows)
 
 
@@ -61,11 +62,16 @@ def test_odd_tables(spark, odd_docs, no_docs):
 
 
 def test_sample_is_bounded_and_whole_texts_count(spark):
-    rows = [(i, "calm words only here " * 3 + ("grumpus " if i % 2 else "")) for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = chr(97 + i // 26) + chr(97 + i % 26)
+        rows.append((i, f"calm{own} words{own} only{own} here{own} " * 3 + ("grumpus " if i % 2 else "")))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     sample = toxicity._sample(docs, labels, "doc_id", "text", "toxic", 10)
     assert sample.count() == 20
+    copies = docs.withColumn("text", F.lit("the very same text of a toxic kind"))
+    assert toxicity._sample(copies, labels, "doc_id", "text", "toxic", 10).count() == 2
     chain = toxicity.fit(docs, labels)
     late = spark.createDataFrame([(1, "pleasant prose " * 30_000 + "grumpus")], "doc_id long, text string")
     assert toxicity.scored(late, chain).first()["toxic"]
