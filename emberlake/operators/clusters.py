@@ -21,7 +21,6 @@ from emberlake.operators.components import components
 from emberlake.operators.filters import apply_filters
 from emberlake.session import materialised
 
-MAX_CLUSTERS = 500
 
 # Bits per refinement step (8 x 8 sub-cells) and the longest site lists compared one by one.
 STEP_BITS = 3
@@ -635,8 +634,10 @@ def dbscan_labels(events: DataFrame, *, eps_m: float, min_points: int, **filters
     )
 
 
-def cluster_summary(events: DataFrame, *, eps_m: float, min_points: int, **filters) -> DataFrame:
-    """Size, severity, time range and centroid of the 500 largest clusters.
+def cluster_summary(
+    events: DataFrame, *, eps_m: float, min_points: int, limit: int | None = None, **filters
+) -> DataFrame:
+    """Size, severity, time range and centroid of all clusters, or of the ``limit`` largest.
 
     Everything is summed per site beforehand, so no event row is joined again. The centroid is
     taken in metres and given in degrees; where a cluster has any area, only areas weigh.
@@ -666,17 +667,27 @@ def cluster_summary(events: DataFrame, *, eps_m: float, min_points: int, **filte
         F.max("last_at").alias("last_starts_at"),
         *[F.sum(c).alias(c) for c in ("px", "py", "pw", "ax", "ay", "aw")],
     )
-    largest = grouped.orderBy(F.col("count").desc(), "label").limit(MAX_CLUSTERS)
+    largest = grouped.orderBy(F.col("count").desc(), "label")
+    if limit is not None:
+        largest = largest.limit(limit)
     areal = F.col("aw") > 0
     centre = projection.to_degrees(
         F.when(areal, F.try_divide("ax", "aw")).otherwise(F.try_divide("px", "pw")),
         F.when(areal, F.try_divide("ay", "aw")).otherwise(F.try_divide("py", "pw")),
     )
-    # At most MAX_CLUSTERS rows reach this numbering.
-    turn = Window.orderBy(F.col("count").desc(), "label")
+    # The ids of the written rows hold the sorted partition and the place in it.
+    place = materialised(grid.computed(largest, c=centre).withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_place", 33)
+    sizes = place.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # one row per partition of the sort
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return (
-        grid.computed(largest, c=centre)
-        .withColumn("cluster_id", F.row_number().over(turn) - 1)
+        place.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")
+        .withColumn(
+            "cluster_id", (F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")
+        )
         .select(
             "cluster_id",
             F.col("label").alias("cluster"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.session import materialised
+
 # A cell with more rows than this is split over several join keys.
 CROWDED_ROWS = 1_000_000
 
@@ -43,7 +45,11 @@ def explode_cells(
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the planner's own size estimate stays below the broadcast threshold."""
+    """Whether the planner's own size estimate stays below the broadcast threshold.
+
+    The estimate is only good for stored tables and what filters and aggregates leave of them: the planner
+    does not know how many rows a generator makes.
+    """
     spark = df.sparkSession
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     threshold = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
@@ -61,12 +67,15 @@ def spread_join(
 ) -> DataFrame:
     """Inner equi-join that keeps a crowded key from landing in one task.
 
-    A small ``few`` side is broadcast and nothing is shuffled. Otherwise each crowded key of
+    A small ``few`` side is broadcast and nothing is shuffled; a generated one is written first, so that its size is
+    known. Otherwise each crowded key of
     ``many`` is split into salts by ``spread`` and its ``few`` rows are repeated once per salt.
     The table of crowded keys has at most rows / CROWDED_ROWS entries, which bounds its broadcast.
     Adaptive execution does not split a join whose side is the output of an aggregate on the same
     key, so this does not lean on it.
     """
+    if "Generate" in few._jdf.queryExecution().optimizedPlan().toString():
+        few = materialised(few, "few")
     if fits_broadcast(few):
         return many.join(F.broadcast(few), keys)
     crowded = (

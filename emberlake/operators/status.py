@@ -7,20 +7,21 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Cadence per job, staleness factor, failures tolerated, kept error length.
+# Cadence per job, staleness factor, failures tolerated.
 CADENCE = (("effis_sync", 14_400), ("ign_sync", 900), ("aemet_sync", 1_800))
 STALENESS_FACTOR = 3
 MAX_FAILURES = 3
-ERROR_CHARS = 500
 
 
 def cadence(spark: SparkSession, rows=CADENCE) -> DataFrame:
     return spark.createDataFrame(list(rows), "job_name string, interval_seconds int")
 
 
-def sync_state(poll_log: DataFrame) -> DataFrame:
+def sync_state(poll_log: DataFrame, error_chars: int | None = None) -> DataFrame:
     """Per source: last run, last success, cursor, error and failures since the last success.
 
+    ``error_chars`` cuts the error text; it is whole by default.
+
     A success clears the error and the count, and replaces the cursor only when it brings one.
     Two partial aggregations; the few sources never gather their log in one task.
     """
@@ -31,6 +32,7 @@ def sync_state(poll_log: DataFrame) -> DataFrame:
         F.max(good).alias("_success"),
         F.max_by("cursor", F.when(F.col("cursor").isNotNull(), good)).alias("cursor"),
     )
+    error = F.col("err") if error_chars is None else F.substring("err", 1, error_chars)
     since = (
         log.where(~F.col("ok"))
         .join(head.select("source", "_success"), "source")
@@ -38,7 +40,7 @@ def sync_state(poll_log: DataFrame) -> DataFrame:
         .groupBy("source")
         .agg(
             F.count("*").alias("_failures"),
-            F.max_by(F.substring("err", 1, ERROR_CHARS), "_at").alias("last_error"),
+            F.max_by(error, "_at").alias("last_error"),
         )
     )
     return head.join(since, "source", "left").select(

@@ -82,7 +82,7 @@ def quake_documents(spark, d):
     text = F.concat(
         F.lit("Se ha producido un terremoto de "),
         F.when(odd == 3, "intensidad").otherwise("magnitud"), F.lit(" "), magnitude,
-        F.lit(" en E BENI "), (k % 7).cast("string"), F.lit(".MAC en la fecha "),
+        F.lit(" en COMARCA "), (k % 7).cast("string"), F.lit(" NORTE en la fecha "),
         F.date_format("at", "dd/MM/yyyy H:mm:ss"), F.lit(" en la siguiente localización"),
     )
     lat = F.when(odd == 1, F.lit("96.5")).otherwise(_degrees(_lat(k)))
@@ -148,7 +148,7 @@ SUMMER = (
 
 QUAKES_SQL = f"""WITH {ORD}
 SELECT CAST(doc AS VARCHAR) AS poll_id, 'es' || key AS external_id,
-  (10 + (key * 13) % 60) / 10.0::DOUBLE AS magnitude, 'E BENI ' || (key % 7) || '.MAC' AS region,
+  (10 + (key * 13) % 60) / 10.0::DOUBLE AS magnitude, 'COMARCA ' || (key % 7) || ' NORTE' AS region,
   strftime(t0, '%d/%m/%Y ') || hour(t0) || strftime(t0, ':%M:%S') AS raw_local_moment,
   t0 - CASE WHEN {SUMMER} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS occurred_at,
   lat_m, lon_m

@@ -248,7 +248,7 @@ g AS (SELECT cluster, count(*) AS count, max(severity) AS max_severity,
         min(starts_at) AS first_starts_at, max(starts_at) AS last_starts_at,
         avg(x) AS x, avg(y) AS y FROM members JOIN m USING (id) JOIN hz USING (id) GROUP BY 1),
 top AS (SELECT *, CAST(row_number() OVER (ORDER BY count DESC, cluster) - 1 AS INTEGER) AS cluster_id
-        FROM g ORDER BY count DESC, cluster LIMIT {clusters.MAX_CLUSTERS})
+        FROM g)
 SELECT cluster_id, cluster, count, max_severity, first_starts_at, last_starts_at,
   round(lon, 5) AS lon, round(lat, 5) AS lat
 FROM {degrees_sql('top', 'cluster_id, cluster, count, max_severity, first_starts_at, last_starts_at')}"""

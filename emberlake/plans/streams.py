@@ -17,7 +17,7 @@ from emberlake.sources import feeds, snapshot
 from emberlake.streaming import sync
 
 UTC = dt.timezone.utc
-DAYS, WEEKS = 7, 5
+DAYS = 7
 # Reports per fire document, by running number: a document stays small whoever reports most.
 PER_DOC = 500
 START = dt.datetime(2024, 1, 1, tzinfo=UTC)
@@ -29,6 +29,11 @@ def _poll_ts(week: int) -> dt.datetime:
     return START + dt.timedelta(days=DAYS * (week + 1))
 
 
+def _weeks(spark, d) -> int:
+    """Weekly polls that hold all days of the table."""
+    return polls(spark, d).agg(F.floor(F.max("poll_no") / DAYS)).first()[0] + 1
+
+
 def _run(spark, d, name, land, start) -> str:
     """Land the polls and run the stream once per application and table folder."""
     apply_runtime_conf(spark)
@@ -87,12 +92,32 @@ def _fire_documents(spark, d, week: int):
 
 
 def _land_fires(spark, d, landed):
-    for week in range(WEEKS):
-        sync.land_poll(_fire_documents(spark, d, week), landed, f"week-{week}", _poll_ts(week), spark)
+    """Every weekly poll is followed by one that must not be applied: even ones with a document cut short, odd ones
+    without a layer."""
+    for week in range(_weeks(spark, d)):
+        documents = _fire_documents(spark, d, week)
+        sync.land_poll(documents, landed, f"week-{week}", _poll_ts(week), spark)
+        if week % 2:
+            broken = documents.where(F.col("layer") == "hotspots")
+        else:
+            first = documents.agg(F.min("doc_id")).first()[0]
+            cut = F.substring("payload", F.lit(1), F.length("payload") - 9)
+            payload = F.when(F.col("doc_id") == first, cut).otherwise(F.col("payload"))
+            broken = documents.withColumn("payload", payload)
+        sync.land_poll(broken, landed, f"broken-{week}", _poll_ts(week) + dt.timedelta(hours=1), spark)
 
 
 def _fire_store(spark, d):
-    return _run(spark, d, "fires", _land_fires, sync.sync_wildfires)
+    return _run(spark, d, "fires", _land_fires, _sync_all_fires)
+
+
+def _sync_all_fires(spark, landed, root):
+    sync.sync_wildfires(spark, landed, root, skip_refused=True)
+
+
+def refused_polls(spark, d):
+    """The polls the fire stream set aside."""
+    return sync.refused_polls(spark, _fire_store(spark, d))
 
 
 def sync_wildfires(spark, d):
@@ -122,7 +147,7 @@ FIRE_STATE_SQL = f"""WITH {FIRES_SQL}
 SELECT CASE WHEN hot THEN 'hs-' ELSE 'ba-' END || key AS external_id,
   CAST(CASE WHEN NOT hot AND k * 10 + 1 >= 500 THEN 3 ELSE 2 END AS SMALLINT) AS severity,
   TIMESTAMP '2024-01-01' AS starts_at,
-  CASE WHEN hot THEN TIMESTAMP '2024-01-01' WHEN wk < {WEEKS - 1} THEN {_week_sql('wk + 1')}
+  CASE WHEN hot THEN TIMESTAMP '2024-01-01' WHEN wk < (SELECT max(wk) FROM polls) THEN {_week_sql('wk + 1')}
   END AS ends_at,
   CASE WHEN hot THEN 'hotspot' ELSE 'burnt_area' END AS kind,
   CASE WHEN hot THEN 'C' || k ELSE (k * 10 + 1) || '.0' END AS content,
@@ -141,8 +166,8 @@ m AS (SELECT *, lag(wk) OVER w AS p, lead(wk) OVER w AS n, lag(k) OVER w AS pk F
 acts AS (SELECT wk, CASE WHEN p IS NULL THEN 'inserted'
                          WHEN pk <> k OR (NOT hot AND p < wk - 1) THEN 'updated' END AS act FROM m
          UNION ALL SELECT wk + 1, 'closed' FROM m
-         WHERE NOT hot AND (n IS NULL OR n > wk + 1) AND wk + 1 < {WEEKS})
-SELECT wk AS batch_id, 'effis' AS source, count(*) FILTER (act = 'inserted') AS inserted,
+         WHERE NOT hot AND (n IS NULL OR n > wk + 1) AND wk < (SELECT max(wk) FROM polls))
+SELECT 2 * wk AS batch_id, 'effis' AS source, count(*) FILTER (act = 'inserted') AS inserted,
   count(*) FILTER (act = 'updated') AS updated, count(*) FILTER (act = 'closed') AS closed
 FROM acts WHERE act IS NOT NULL GROUP BY 1"""
 
@@ -282,7 +307,7 @@ def _warning_documents(spark, d, week: int):
             _element("expires", moment(sent + F.make_dt_interval(hours=(i % 400).cast("int")))),
             _named_value("parameter", feeds.NAME_LEVEL, F.lit("rojo")),
             _element(
-                "area", _element("polygon", F.lit("39.14,-5.58 39.19,-5.61 39.21,-5.56 39.14,-5.58"))
+                "area", _element("polygon", F.lit("41.0,-2.0 41.5,-2.0 41.5,-1.5 41.0,-2.0"))
             ),
         ),
     )
@@ -303,30 +328,25 @@ def _warning_documents(spark, d, week: int):
 
 
 def _land_warnings(spark, d, landed):
-    for week in range(WEEKS):
+    for week in range(_weeks(spark, d)):
         sync.land_poll(_warning_documents(spark, d, week), landed, f"week-{week}", _poll_ts(week), spark)
 
 
-def _sync_all_warnings(spark, landed, root):
-    # A week of the larger tables is more than one real bulletin may hold.
-    sync.sync_warnings(spark, landed, root, max_documents=10**9)
-
-
 def sync_warnings(spark, d):
     """Warning table after the weekly bulletins: windows cut by successors and by withdrawal."""
-    root = _run(spark, d, "warnings", _land_warnings, _sync_all_warnings)
+    root = _run(spark, d, "warnings", _land_warnings, sync.sync_warnings)
     return sync.events(spark, root).select("external_id", "starts_at", "ends_at", "created_at")
 
 
 WARNINGS_SQL = f"""WITH m AS (SELECT event_id AS i, event_type, date_trunc('hour', ts) AS sent,
   date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // {DAYS} AS w FROM events),
-b AS (SELECT *, least(w + CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END, {WEEKS - 1}) AS last FROM m),
+b AS (SELECT *, least(w + CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END, (SELECT max(w) FROM m)) AS last FROM m),
 refs AS (SELECT i - i % 7 - j AS target, sent, last FROM b, (SELECT unnest([1, 2, 3]) AS j)
          WHERE event_type IN ('purchase', 'error'))
 SELECT 'cap-' || b.i AS external_id, b.sent AS starts_at,
   least(b.sent + to_hours(CAST(b.i % 400 AS INTEGER)),
         min(refs.sent) FILTER (refs.last >= b.last),
-        CASE WHEN b.last < {WEEKS - 1} THEN {_week_sql('b.last + 1')} END) AS ends_at,
+        CASE WHEN b.last < (SELECT max(w) FROM m) THEN {_week_sql('b.last + 1')} END) AS ends_at,
   {_week_sql('b.w')} AS created_at
 FROM b LEFT JOIN refs ON refs.target = b.i WHERE b.event_type <> 'error'
 GROUP BY b.i, b.sent, b.last, b.w"""
@@ -359,6 +379,7 @@ HZ = hazards_sql()
 QUERIES = {
     "sync_wildfires": sync_wildfires,
     "change_log": change_log,
+    "refused_polls": refused_polls,
     "stream_sync_state": stream_sync_state,
     "stream_snapshot": stream_snapshot,
     "sync_quakes": sync_quakes,
@@ -371,8 +392,10 @@ QUERIES = {
 ORACLES = {
     "sync_wildfires": FIRE_STATE_SQL,
     "change_log": CHANGES_SQL,
-    "stream_sync_state": f"""SELECT 'effis' AS source, {_week_sql(str(WEEKS - 1))} AS last_run_at,
-  {_week_sql(str(WEEKS - 1))} AS last_success_at, CAST(0 AS INTEGER) AS consecutive_failures""",
+    "stream_sync_state": f"""WITH {FIRES_SQL} SELECT 'effis' AS source, {_week_sql('max(wk)')} AS last_run_at,
+  {_week_sql('max(wk)')} AS last_success_at, CAST(0 AS INTEGER) AS consecutive_failures FROM polls""",
+    "refused_polls": f"""WITH {FIRES_SQL} SELECT DISTINCT 'broken-' || wk AS poll_id, 'effis' AS source,
+  CASE WHEN wk % 2 = 1 THEN 'a layer has no document' ELSE 'a document cannot be read' END AS reason FROM polls""",
     "stream_snapshot": f"""WITH s AS ({FIRE_STATE_SQL}) SELECT 'wildfire' AS hazard_type, severity,
   count(*) AS events, count(ends_at) AS ended FROM s GROUP BY 2""",
     "sync_quakes": QUAKES_SQL,

@@ -170,7 +170,7 @@ def events_by_ids(spark, d):
     source = F.when(k % 3 == 0, "effis").when(k % 3 == 1, "ign").otherwise("aemet")
     stem = F.when(k % 6 == 0, "hs-").when(k % 3 == 0, "ba-").when(k % 3 == 1, "es").otherwise("cap-")
     stem = F.when(F.col("l_linenumber") % 2 == 1, F.lit("x")).otherwise(stem)
-    ids = li.where(F.col("l_quantity") > 25).select(
+    ids = li.select(
         values.event_id(source, F.concat(stem, k.cast("string"))).alias("id")
     )
     found, missing = filters.events_by_ids(hazards(spark, d), ids)
@@ -184,7 +184,7 @@ asked AS (SELECT DISTINCT
   CASE l_orderkey % 3 WHEN 0 THEN 'effis' WHEN 1 THEN 'ign' ELSE 'aemet' END AS s,
   CASE WHEN l_linenumber % 2 = 1 THEN 'x' WHEN l_orderkey % 6 = 0 THEN 'hs-'
        WHEN l_orderkey % 3 = 0 THEN 'ba-' WHEN l_orderkey % 3 = 1 THEN 'es' ELSE 'cap-' END
-    || l_orderkey AS x FROM lineitem WHERE l_quantity > 25),
+    || l_orderkey AS x FROM lineitem),
 ids AS (SELECT regexp_replace(substr(sha256(s || '|' || x), 1, 32),
           '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS id FROM asked)
 SELECT ids.id, hz.id IS NOT NULL AS found FROM ids LEFT JOIN hz ON ids.id = hz.id"""

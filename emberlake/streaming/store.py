@@ -7,9 +7,11 @@ Below the root, every table is a folder of ``batch=<n>`` folders:
 ``bulletin``  keys the batch's poll carried
 ``poll_log``  one row per poll attempt
 ``change_log``one row per batch that changed anything
+``refused``   one row per poll that was set aside, with its reason
 
 A batch writes its own folders in overwrite mode and reads those of earlier batches only, so a
-replayed batch leaves the same result. ``poll_log`` is written last and commits the batch.
+replayed batch leaves the same result. ``poll_log`` is written last and commits the batch: readers only see
+batches that it holds. A refused poll commits nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ SCHEMAS = {
     "bulletin": BULLETIN,
     "poll_log": schemas.POLL_LOG,
     "change_log": T.StructType([f for f in schemas.CHANGE_LOG.fields if f.name != "batch_id"]),
+    "refused": T.StructType(
+        [T.StructField(n, T.StringType()) for n in ("poll_id", "source", "reason")]
+    ),
 }
 
 
@@ -47,6 +52,15 @@ def _batches(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n[len("batch="):]) for n in done)
 
 
+def committed(spark: SparkSession, root: str, table: str, before: int | None = None) -> list[int]:
+    """Batches of a table that readers may see, oldest first."""
+    done = [b for b in _batches(spark, os.path.join(root, table)) if before is None or b < before]
+    if table in ("poll_log", "refused") or not done:
+        return done
+    known = set(_batches(spark, os.path.join(root, "poll_log")))
+    return [b for b in done if b in known]
+
+
 def write_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
     rows.select(*SCHEMAS[table].fieldNames()).write.mode("overwrite").parquet(
         os.path.join(root, table, f"batch={batch_id}")
@@ -56,12 +70,10 @@ def write_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
 def read_table(
     spark: SparkSession, root: str, table: str, after: int = -1, before: int | None = None
 ) -> DataFrame:
-    """Rows of the batches in (after, before), with their ``batch``."""
+    """Rows of the committed batches in (after, before), with their ``batch``."""
     folder = os.path.join(root, table)
     schema = T.StructType([*SCHEMAS[table].fields, T.StructField("batch", T.LongType())])
-    chosen = [
-        b for b in _batches(spark, folder) if b > after and (before is None or b < before)
-    ]
+    chosen = [b for b in committed(spark, root, table, before) if b > after]
     if not chosen:
         return spark.createDataFrame([], schema)
     return (
@@ -72,19 +84,19 @@ def read_table(
 
 
 def last_committed(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    done = [b for b in _batches(spark, os.path.join(root, "poll_log")) if before is None or b < before]
+    done = committed(spark, root, "poll_log", before)
     return done[-1] if done else None
 
 
 def read_state(
     spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None
 ) -> DataFrame:
-    """The event table after all batches before ``before``: the newest base and later changes.
+    """The event table after all committed batches before ``before``: the newest base and later changes.
 
     With ``keys`` only those events are read; a small key set is broadcast and filters both scans
     before anything is shuffled.
     """
-    bases = [b for b in _batches(spark, os.path.join(root, "base")) if before is None or b < before]
+    bases = committed(spark, root, "base", before)
     since = bases[-1] if bases else -1
     columns = schemas.EVENTS.fieldNames()
     later = read_table(spark, root, "changes", after=since, before=before).select(

@@ -43,24 +43,34 @@ def _layer(documents: DataFrame, name: str) -> DataFrame:
     return documents.where(F.col("layer") == name)
 
 
-class UnreadablePoll(Exception):
-    """No unit of a layer could be parsed: a change of contract, not an empty poll."""
+class RefusedPoll(Exception):
+    """A poll that must not be applied: taking what is left of it would close live events."""
 
 
-def _accepted(records: DataFrame) -> DataFrame:
-    """Good records of a poll; refuses a poll that holds units but no good one."""
+def _accepted(records: DataFrame, whole: bool = False) -> DataFrame:
+    """Good records of a poll; refuses a poll that holds units but no good one.
+
+    With ``whole``, every document must be readable and there must be one: records that a document
+    does not show would else count as gone.
+    """
     records = materialised(records, "records")
+    if whole:
+        readable = records.agg(F.bool_and("readable")).first()[0]
+        if readable is None:
+            raise RefusedPoll("a layer has no document")
+        if not readable:
+            raise RefusedPoll("a document cannot be read")
     good, _, gate = feeds.split_malformed(records)
     if not gate.where(F.col("verdict") == "failed").isEmpty():
-        raise UnreadablePoll("no unit of the poll could be parsed")
+        raise RefusedPoll("no unit of the poll could be parsed")
     return good
 
 
 def read_fires(documents: DataFrame) -> Bulletin:
     """Both fire layers. Burnt areas missing from the next poll will be closed."""
     rows = feeds.fire_events(
-        _accepted(feeds.ingest_hotspots(_layer(documents, "hotspots"))),
-        _accepted(feeds.ingest_burnt_areas(_layer(documents, "burnt_areas"))),
+        _accepted(feeds.ingest_hotspots(_layer(documents, "hotspots")), whole=True),
+        _accepted(feeds.ingest_burnt_areas(_layer(documents, "burnt_areas")), whole=True),
     )
     rows = lifecycle.dedupe_last(rows.drop("poll_id"), "ordinal")
     watched = rows.where(values.attr(F.col("attrs"), "kind") == "burnt_area").select(*KEY)
@@ -69,7 +79,7 @@ def read_fires(documents: DataFrame) -> Bulletin:
 
 def read_quakes(documents: DataFrame) -> Bulletin:
     """The quake window. Nothing closes; the cursor is the latest event of a non-empty poll."""
-    good = _accepted(feeds.ingest_quakes(_layer(documents, "quakes")))
+    good = _accepted(feeds.ingest_quakes(_layer(documents, "quakes")), whole=True)
     latest = good.agg(F.max("occurred_at").cast("string").alias("t")).first()["t"]
     rows = lifecycle.dedupe_last(feeds.quake_events(good).drop("poll_id"), "ordinal")
     return Bulletin(rows, None, None, latest)
@@ -79,7 +89,7 @@ def read_warnings(documents: DataFrame, **limits: int) -> Bulletin:
     """A warning bulletin: references close first, then what the bulletin no longer carries."""
     kept, refused = feeds.bulletin_guard(_layer(documents, "warnings"), **limits)
     if not refused.isEmpty():
-        raise UnreadablePoll("the bulletin exceeds its limits")
+        raise RefusedPoll("the bulletin exceeds its limits")
     good = _accepted(feeds.ingest_warnings(kept))
     rows, _ = feeds.warning_events(good)
     rows = lifecycle.dedupe_last(rows.drop("poll_id"), "ordinal")
@@ -107,26 +117,52 @@ def reconcile_poll(
     source: str,
     compact_every: int = 16,
     snapshot_every: int = 1,
+    skip_refused: bool = False,
     **limits: int,
 ) -> tuple[int, int, int] | None:
     """Apply one poll to the store and return (inserted, updated, closed).
 
-    A failed fetch is logged and changes nothing. An unreadable poll changes nothing either and
-    leaves no log row: the sync state only knows fetches.
+    A failed fetch is logged and changes nothing. A refused poll is set aside in ``refused`` with its
+    reason, changes nothing and leaves no log row. It stops the stream, unless ``skip_refused`` says to go on
+    with the next poll.
     """
+    try:
+        _in_order(spark, root, marker, batch_id)
+        return _apply_poll(spark, marker, batch_id, root, source, compact_every, snapshot_every, **limits)
+    except RefusedPoll as problem:
+        logger.warning("%s poll %s not applied: %s", source, marker["poll_id"], problem)
+        row = spark.createDataFrame([(marker["poll_id"], source, str(problem))], store.SCHEMAS["refused"])
+        store.write_batch(row, root, "refused", batch_id)
+        if not skip_refused:
+            raise
+        return None
+
+
+def _in_order(spark: SparkSession, root: str, marker: Row, batch_id: int) -> None:
+    """Polls are full sets: one from before the last applied poll would undo it."""
+    last = store.read_table(spark, root, "poll_log", before=batch_id).agg(F.max("ts")).first()[0]
+    if last is not None and marker["poll_ts"] < last:
+        raise RefusedPoll("the poll is older than the last one")
+
+
+def _apply_poll(
+    spark: SparkSession,
+    marker: Row,
+    batch_id: int,
+    root: str,
+    source: str,
+    compact_every: int,
+    snapshot_every: int,
+    **limits: int,
+) -> tuple[int, int, int] | None:
     if marker["err"] is not None:
         row = _poll_row(spark, marker["poll_id"], source, marker["poll_ts"], False, marker["err"])
         store.write_batch(row, root, "poll_log", batch_id)
         return None
     documents = spark.read.schema(DOCUMENTS).parquet(marker["documents"])
-    try:
-        bulletin = READERS[source](documents, **limits)
-    except UnreadablePoll as problem:
-        logger.warning("%s poll %s not applied: %s", source, marker["poll_id"], problem)
-        return None
+    bulletin = READERS[source](documents, **limits)
     at = F.lit(marker["poll_ts"]).cast("timestamp")
     rows = materialised(bulletin.rows, "poll")
-    known = store.last_committed(spark, root, before=batch_id)
     previous = None
     wanted = rows.select(*KEY)
     if bulletin.watched is not None:
@@ -164,26 +200,32 @@ def reconcile_poll(
         store.write_batch(changes, root, "changes", batch_id)
         entry = spark.createDataFrame([(source, *counts)], store.SCHEMAS["change_log"])
         store.write_batch(entry, root, "change_log", batch_id)
-        if snapshot_every and (known is None or batch_id % snapshot_every == 0):
-            snapshot.write_snapshot(
-                store.read_state(spark, root, before=batch_id + 1).select(
-                    *snapshot.schemas.SNAPSHOT.fieldNames()
-                ),
-                f"{root}/snapshot",
-                version=batch_id,
-            )
     row = _poll_row(
         spark, marker["poll_id"], source, marker["poll_ts"], True, cursor=bulletin.cursor
     )
     store.write_batch(row, root, "poll_log", batch_id)
+    if snapshot_every:
+        _refresh_snapshot(spark, root, batch_id, snapshot_every)
     if batch_id and batch_id % compact_every == 0:
         store.compact(spark, root, batch_id)
     return counts
 
 
+def _refresh_snapshot(spark: SparkSession, root: str, batch_id: int, every: int) -> None:
+    """Write the committed state if it changed since the last snapshot and that is old enough."""
+    done = [v for v in snapshot.versions(spark, f"{root}/snapshot") if v < batch_id]
+    changed = store.committed(spark, root, "changes", before=batch_id + 1)
+    since = done[-1] if done else None
+    if not changed or (since is not None and (changed[-1] <= since or batch_id - since < every)):
+        return
+    state = store.read_state(spark, root, before=batch_id + 1)
+    snapshot.write_snapshot(
+        state.select(*snapshot.schemas.SNAPSHOT.fieldNames()), f"{root}/snapshot", version=batch_id
+    )
+
+
 def _previous_bulletin(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    done = store._batches(spark, f"{root}/bulletin")
-    earlier = [b for b in done if b < batch_id]
+    earlier = store.committed(spark, root, "bulletin", before=batch_id)
     last = earlier[-1] if earlier else batch_id
     return store.read_table(spark, root, "bulletin", after=last - 1, before=batch_id).select(*KEY)
 
@@ -252,5 +294,9 @@ def poll_log(spark: SparkSession, root: str) -> DataFrame:
     return store.read_table(spark, root, "poll_log").drop("batch")
 
 
+def refused_polls(spark: SparkSession, root: str) -> DataFrame:
+    return store.read_table(spark, root, "refused").drop("batch")
+
+
 def events(spark: SparkSession, root: str) -> DataFrame:
     return store.read_state(spark, root)

@@ -107,12 +107,12 @@ def test_times(spark):
 
 
 def test_latlon_polygon(spark):
-    rows = [("39.14,-5.58 39.19,-5.61 39.21,-5.56 39.14,-5.58",), ("39.14,-5.58 39.19 39.21,-5.56 39.1,-5.5",),
+    rows = [("41.0,-2.0 41.5,-2.25 41.75,-1.5 41.0,-2.0",), ("41.0,-2.0 41.5 41.75,-1.5 41.2,-2.1",),
             ("1,2 3,4 5,6",), ("a,b c,d e,f g,h",)]
     got = column_of(spark, rows, "t string", geometry.latlon_polygon(F.col("t")))
     assert [g is None for g in got] == [False, True, True, True]
-    assert tuple(got[0]["parts"][0][0][0]) == (-5.58, 39.14)
-    assert (got[0]["minx"], got[0]["maxy"]) == (-5.61, 39.21)
+    assert tuple(got[0]["parts"][0][0][0]) == (-2.0, 41.0)
+    assert (got[0]["minx"], got[0]["maxy"]) == (-2.25, 41.75)
 
 
 def test_geojson_round_trip(spark):

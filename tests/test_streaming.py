@@ -4,6 +4,8 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 from test_feeds import area, cap, collection, info
 
 from emberlake.operators import status
@@ -47,7 +49,7 @@ def test_fires_close_reopen_and_survive_failures(spark, tmp_path):
     land(spark, landed, 2, None, err="timeout" * 100)
     land(spark, landed, 3, {"hotspots": [none], "burnt_areas": [collection(area(fire_id=None))]})
     land(spark, landed, 4, {"hotspots": [none], "burnt_areas": [collection(area(), area(fire_id="78"))]})
-    sync.sync_wildfires(spark, landed, root, compact_every=2)
+    sync.sync_wildfires(spark, landed, root, compact_every=2, skip_refused=True)
     # One file holds everything that happened; the unreadable poll closed nothing.
     assert log(spark, root) == {0: (2, 0, 0), 1: (0, 0, 1), 4: (0, 1, 0)}
     assert ends(spark, root) == {"ba-77": None, "ba-78": None}
@@ -74,8 +76,8 @@ def test_fires_close_reopen_and_survive_failures(spark, tmp_path):
 def test_warning_lifecycle(spark, tmp_path):
     landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
     x = cap(info("es-ES", "x"), "x", "Alert")
-    y = cap(info("es-ES", "y"), "y", "Update", "http://a,x,2026-07-01T08:44:31-00:00")
-    day = {"2026-07-03T13": "2026-07-01T13", "2026-07-03T20": "2026-07-01T20", "2026-07-02T16:28:03": "2026-07-01T01:30:00"}
+    y = cap(info("es-ES", "y"), "y", "Update", "http://a,x,2026-07-01T02:03:04-00:00")
+    day = {"2026-07-03T12": "2026-07-01T12", "2026-07-03T21": "2026-07-01T21", "2026-07-02T10:05:30": "2026-07-01T01:30:00"}
     for old, new in day.items():
         x, y = x.replace(old, new), y.replace(old, new)
     land(spark, landed, 1, {"warnings": [x]})
@@ -89,7 +91,7 @@ def test_warning_lifecycle(spark, tmp_path):
     assert (got[0], got[1], got[2], got[3]) == ((1, 0, 0), (1, 0, 1), (0, 0, 1), (0, 1, 0))
     # A bulletin with a warning and its own successor reopens and closes it every time.
     assert got[4] == (0, 1, 1) and got[5] == (0, 1, 1)
-    assert ends(spark, root) == {"x": "2026-07-01 01:30:00", "y": "2026-07-01 18:59:59"}
+    assert ends(spark, root) == {"x": "2026-07-01 01:30:00", "y": "2026-07-01 19:30:00"}
 
 
 def test_store_reads_are_bounded_by_batch(spark, tmp_path):
@@ -102,6 +104,56 @@ def test_store_reads_are_bounded_by_batch(spark, tmp_path):
 def test_oversized_bulletin_is_refused(spark, tmp_path, limit):
     landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
     land(spark, landed, 1, {"warnings": [cap(info("es-ES", "x"), "x"), cap(info("es-ES", "y"), "y")]})
-    sync.sync_warnings(spark, landed, root, max_documents=limit)
+    with pytest.raises(StreamingQueryException):
+        sync.sync_warnings(spark, landed, root, max_documents=limit)
+    assert [r["reason"] for r in sync.refused_polls(spark, root).collect()] == ["the bulletin exceeds its limits"]
     assert log(spark, root) == {} and sync.poll_log(spark, root).count() == 0
     assert json.dumps(ends(spark, root)) == "{}"
+
+
+def test_a_broken_document_or_layer_closes_nothing(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    none, one, two = collection(), collection(area()), collection(area(fire_id="78"))
+    land(spark, landed, 0, {"hotspots": [none], "burnt_areas": [one, two]})
+    land(spark, landed, 1, {"hotspots": [none], "burnt_areas": [one, two[:-9]]})
+    land(spark, landed, 2, {"hotspots": [none]})
+    land(spark, landed, 3, {"hotspots": [none], "burnt_areas": [one, two]})
+    sync.sync_wildfires(spark, landed, root, skip_refused=True)
+    assert log(spark, root) == {0: (2, 0, 0)} and set(ends(spark, root).values()) == {None}
+    refused = {r["poll_id"]: r["reason"] for r in sync.refused_polls(spark, root).collect()}
+    assert refused == {"poll-1": "a document cannot be read", "poll-2": "a layer has no document"}
+    assert sorted(r["poll_id"] for r in sync.poll_log(spark, root).collect()) == ["poll-0", "poll-3"]
+
+
+def test_an_older_poll_is_refused(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    land(spark, landed, 5, {"hotspots": [collection()], "burnt_areas": [collection(area())]})
+    sync.sync_wildfires(spark, landed, root)
+    land(spark, landed, 4, {"hotspots": [collection()], "burnt_areas": [collection()]})
+    with pytest.raises(StreamingQueryException):
+        sync.sync_wildfires(spark, landed, root)
+    assert set(ends(spark, root).values()) == {None}
+
+
+def test_readers_see_committed_batches_only(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    land(spark, landed, 0, {"hotspots": [collection()], "burnt_areas": [collection(area())]})
+    sync.sync_wildfires(spark, landed, root)
+    rows = store.read_table(spark, root, "changes")
+    planted = rows.withColumn("external_id", F.lit("planted"))
+    for table in ("changes", "base", "bulletin"):
+        columns = store.SCHEMAS[table].fieldNames()
+        store.write_batch(planted.select(*columns), root, table, 99)
+    assert set(ends(spark, root)) == {"ba-77"}
+    assert store.read_table(spark, root, "bulletin").count() == 1
+    assert sync._previous_bulletin(spark, root, 100).first()["external_id"] == "ba-77"
+
+
+def test_snapshot_follows_later_changes(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    for n, fires in enumerate([[area()], [area(), area(fire_id="78")], [area(), area(fire_id="78")]]):
+        land(spark, landed, n, {"hotspots": [collection()], "burnt_areas": [collection(*fires)]})
+    sync.sync_wildfires(spark, landed, root, snapshot_every=2)
+    # the change of batch 1 is in the snapshot of batch 2, which changed nothing itself
+    assert snapshot.versions(spark, f"{root}/snapshot") == [0, 2]
+    assert snapshot.read_snapshot(spark, f"{root}/snapshot").count() == 2
