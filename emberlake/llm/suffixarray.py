@@ -248,8 +248,53 @@ class Collection:
             yield size, strings, at
 
 
+def shared_parts(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(string, first window, windows) of the runs of windows whose hash another window has, too."""
+    ends = np.cumsum([len(s) for s in strings])
+    starts = np.concatenate([[0], ends[:-1]]) if len(strings) else ends
+    n = np.maximum(0, ends - starts - length + 1)
+    if not n.sum():
+        return []
+    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    hashes = gram_hashes(np.frombuffer(b"".join(strings), np.uint8), length)[at]
+    _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(strings)), n)
+    keep = np.flatnonzero(count[which] > 1)
+    if not len(keep):
+        return []
+    owner, window = owner[keep], (at - starts[owner])[keep]
+    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)))
+    sizes = np.diff(np.append(new, len(keep)))
+    return list(zip(owner[new].tolist(), window[new].tolist(), sizes.tolist(), strict=True))
+
+
 def repeated_windows(strings: list[bytes], first: np.ndarray, length: int) -> list[np.ndarray]:
-    """Per string the window starts whose equal occurs earlier; ``first`` orders the strings' places."""
+    """Per string the window starts whose equal occurs earlier; ``first`` orders the strings' places.
+
+    Only parts whose windows share their hash with another can repeat. Equal parts are one string of the
+    collection, at its first place; at its other places all windows are repeats.
+    """
+    late: list[list[np.ndarray]] = [[] for _ in strings]
+    places: dict[bytes, tuple[int, int, int]] = {}
+    for i, start, n in shared_parts(strings, length):
+        part, place = strings[i][start : start + n - 1 + length], (int(first[i]) + start, i, start)
+        known = places.get(part)
+        if known is None or place < known:
+            places[part], place = place, known
+        if place is not None:
+            late[place[1]].append(place[2] + np.arange(n))
+    # what equal parts alone have in common is settled, so the windows are looked through again
+    parts = list(places)
+    owners = [(places[parts[k]], start, parts[k][start : start + n - 1 + length]) for k, start, n in shared_parts(parts, length)]
+    if owners:
+        found = _collected([s for *_, s in owners], np.array([at + start for (at, _, _), start, _ in owners], np.int64), length)
+        for ((_, i, begin), start, _), windows in zip(owners, found, strict=True):
+            late[i].append(begin + start + windows)
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in late]
+
+
+def _collected(strings: list[bytes], first: np.ndarray, length: int) -> list[np.ndarray]:
+    """Per string the window starts whose equal occurs earlier, by the common prefixes of the collection."""
     built = Collection(strings)
     group = np.cumsum(built.common < length)
     owner, start, groups = [], [], []
