@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from emberlake import schemas
 from emberlake.functions import values
+from emberlake.operators import grid
+from emberlake.session import materialised
 
 KEY = ["source", "external_id"]
 CONTENT = ["hazard_type", "geom", "severity", "starts_at", "ends_at", "attrs", "content_hash"]
@@ -109,7 +111,8 @@ def superseded(warnings: DataFrame) -> DataFrame:
         .groupBy(F.col("sent").alias("ended_at"))
         .agg(F.min("ordinal").alias("turn"))
     )
-    return named.join(turns, "ended_at").select(
+    # All messages of a bulletin may carry one moment.
+    return grid.spread_join(named, turns, ["ended_at"], F.col("external_id")).select(
         F.lit("aemet").alias("source"), "external_id", "ended_at", "turn"
     )
 
@@ -120,7 +123,8 @@ def close_superseded(state: DataFrame, warnings: DataFrame, at: Column) -> DataF
     Several moments for one event end it at the earliest. ``closings`` counts how often it was
     closed on the way: each turn that lowers the end reached so far counts once.
     """
-    steps = superseded(warnings)
+    # read four times below
+    steps = materialised(superseded(warnings), "closings")
     ends = _touched(state, steps).select(*KEY, F.col("ends_at").alias("_end"))
     before = (
         Window.partitionBy(*KEY).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +163,8 @@ def change_counts(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
 def last_bulletin(rows: DataFrame, poll: str = "poll_no") -> DataFrame:
     """Keys of the newest poll of each source: the table that stands in for an id cursor."""
     newest = rows.groupBy("source").agg(F.max(poll).alias(poll))
-    return rows.join(newest, ["source", poll], "left_semi").select(*KEY).distinct()
+    # one row per source
+    return rows.join(F.broadcast(newest), ["source", poll], "left_semi").select(*KEY).distinct()
 
 
 def utc(moment: dt.datetime) -> Column:

@@ -35,7 +35,7 @@ def sync_state(poll_log: DataFrame, error_chars: int | None = None) -> DataFrame
     error = F.col("err") if error_chars is None else F.substring("err", 1, error_chars)
     since = (
         log.where(~F.col("ok"))
-        .join(head.select("source", "_success"), "source")
+        .join(F.broadcast(head.select("source", "_success")), "source")  # one row per source
         .where(F.col("_success").isNull() | (F.col("_at") > F.col("_success")))
         .groupBy("source")
         .agg(

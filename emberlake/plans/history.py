@@ -260,7 +260,7 @@ state AS (SELECT source, last_run_at, last_success_at, cursor, e AS last_error,
 
 
 def sync_state(spark, d):
-    return status.sync_state(poll_log(spark, d))
+    return status.sync_state(poll_log(spark, d), error_chars=500)
 
 
 def source_status(spark, d):

@@ -176,7 +176,9 @@ def test_sync_state_and_freshness(spark):
         ],
     )
     state = {r["source"]: r for r in status.sync_state(df).collect()}
-    assert state["effis"]["consecutive_failures"] == 2 and state["effis"]["last_error"] == "y" * 500
+    assert state["effis"]["consecutive_failures"] == 2 and state["effis"]["last_error"] == "y" * 900
+    cut = status.sync_state(df, error_chars=500).where("source = 'effis'").first()
+    assert cut["last_error"] == "y" * 500
     assert state["effis"]["cursor"] == "c1"
     assert state["ign"]["consecutive_failures"] == 0 and state["ign"]["last_error"] is None
     assert state["ign"]["cursor"] == "c2"

@@ -14,7 +14,10 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_its_sql(spark, con, sf_dir, name):
     difference = compare(spark, con, sf_dir, name)
-    assert difference in (None, "no rows on either side")
+    if difference == "no rows on either side":
+        larger = "/root/testdata/sf0.01"
+        difference = compare(spark, connect(larger), larger, name)
+    assert difference is None
 
 
 def test_registries_fit_together():
