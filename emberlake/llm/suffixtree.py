@@ -36,7 +36,7 @@ from emberlake.session import materialised
 
 END = "\n"  # white space cannot be a word
 DEPTH = 3
-MIN_SHARE = 2e-6
+MIN_SHARE = 5e-6
 MIN_COUNT = 8
 PRIOR = 4.0
 
@@ -261,17 +261,17 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return alphabet[unpack(row["codes"])].view(np.uint64), np.cumsum(sizes) - sizes, sizes
 
 
-def _count_level(chunks: DataFrame, level: int, shorter: np.ndarray, alphabet: np.ndarray, least: int):
+def _count_level(chunks: DataFrame, level: int, shorter: np.ndarray, least: int):
     """Counted continuations and totals of the contexts of ``level`` tokens whose own n-gram was counted.
 
     ``shorter``: sorted keys of the counted n-grams of ``level`` tokens (for level 1 the symbols themselves).
     """
     sc = chunks.sparkSession.sparkContext
-    shared = sc.broadcast((shorter, alphabet))  # at most 1 / min_share keys
+    shared = sc.broadcast(shorter)  # at most 1 / min_share keys
     names = ["context", "next", "n"] + [f"s{i}" for i in range(level - 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, _ = shared.value
+        wanted = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 symbols, starts, sizes = _opened(row)
@@ -285,9 +285,18 @@ def _count_level(chunks: DataFrame, level: int, shorter: np.ndarray, alphabet: n
                 rows = rows[order]
                 new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
                 n = np.diff(np.append(new, len(rows)))
-                got = rows[new].view(np.int64)
+                # a context's own count goes by next token 0; rare next tokens are only counted in it
+                head = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+                total = rows[head].copy()
+                total[:, 1] = 0
+                often = rows[new, 1] != 0
+                got = np.concatenate([rows[new[often]], total]).view(np.int64)
+                n = np.concatenate([n[often], np.diff(np.append(head, len(rows)))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(n.astype(np.int64)), *[pa.array(got[:, 2 + i]) for i in range(level - 1)]],
+                    [
+                        pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(n.astype(np.int64)),
+                        *[pa.array(got[:, 2 + i]) for i in range(level - 1)],
+                    ],
                     names,
                 )
 
@@ -295,23 +304,22 @@ def _count_level(chunks: DataFrame, level: int, shorter: np.ndarray, alphabet: n
     sums = materialised(
         chunks.mapInArrow(count, fields)
         .groupBy("context", "next")
-        .agg(F.sum("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(level - 1)]),
+        .agg(F.sum("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(level - 1)])
+        .where((F.col("next") == 0) | (F.col("n") >= least)),
         "context-counts",
     )
-    totals = sums.groupBy("context").agg(F.sum("n").alias("n"))
-    often = sums.where((F.col("next") != 0) & (F.col("n") >= least)).toArrow()
+    often = sums.where(F.col("next") != 0).toArrow()
     context = often.column("context").to_numpy().view(np.uint64)
-    suffixes = np.stack([often.column(f"s{i}").to_numpy().view(np.uint64) for i in range(level - 1)], axis=1) if level > 1 else np.zeros((len(context), 0), np.uint64)
-    # totals of the contexts that have a counted continuation: at most as many
-    needed = sums.sparkSession.createDataFrame(pa.table({"context": pa.array(np.unique(context).view(np.int64))})) if len(context) else None
-    if needed is None:
-        return (context, suffixes, context, np.zeros(0, np.int64)), (context, np.zeros(0, np.int64))
-    sums_of = totals.join(F.broadcast(needed), "context", "left_semi").toArrow()
-    key = sums_of.column("context").to_numpy().view(np.uint64)
+    suffixes = np.zeros((len(context), level - 1), np.uint64)
+    for i in range(level - 1):
+        suffixes[:, i] = often.column(f"s{i}").to_numpy().view(np.uint64)
+    # one row per context whose own n-gram was counted: at most 1 / min_share
+    totals = sums.where(F.col("next") == 0).select("context", "n").toArrow()
+    key = totals.column("context").to_numpy().view(np.uint64)
     order = np.argsort(key)
     return (
         (context, suffixes, often.column("next").to_numpy().view(np.uint64), often.column("n").to_numpy()),
-        (key[order], sums_of.column("n").to_numpy()[order]),
+        (key[order], totals.column("n").to_numpy()[order]),
     )
 
 
@@ -346,7 +354,7 @@ def scored(
     for level in range(1, depth + 1):
         if not len(wanted):
             break
-        counted, sums = _count_level(chunks, level, wanted, symbols, least)
+        counted, sums = _count_level(chunks, level, wanted, least)
         levels.append(counted)
         totals.append(sums)
         wanted = np.unique(mixed(counted[0], counted[2]))
