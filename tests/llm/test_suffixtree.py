@@ -93,3 +93,54 @@ def test_next_token_distributions_sum_to_one():
 def test_contexts_do_not_cross_documents():
     keys = st.context_keys(np.array([5, 6, 7], np.uint64), np.array([0, 2]), 2)
     assert keys[0][0] == 0 and keys[0][1] != 0 and keys[0][2] == 0 and not keys[1].any()
+
+
+def tree_in_memory(texts, depth=3, least=8):
+    """{id: score minus base score} by ``fit_tree`` on counts made in plain Python."""
+    docs = {i: tokens(t) for i, t in texts}
+    train = [ws for i, ws in docs.items() if not is_held(i)]
+    c = [Counter(tuple(ws[k : k + n]) for ws in train for k in range(len(ws) - n + 1)) for n in range(1, depth + 2)]
+    total = sum(c[0].values())
+    symbol = {w: k + 1 for k, w in enumerate(sorted(w for (w,), n in c[0].items() if n >= least))}
+
+    def key(gram):
+        k = np.ones(1, np.uint64)
+        for w in gram:
+            k = st.mixed(k, np.array([symbol[w]], np.uint64))
+        return int(k[0])
+
+    levels, totals = [], []
+    for n in range(1, depth + 1):
+        some = [(g, x) for g, x in c[n].items() if x >= least]
+        suffixes = [[key(g[j:-1]) for j in range(1, n)] for g, _ in some]
+        levels.append(
+            (
+                np.array([key(g[:-1]) for g, _ in some], np.uint64), np.array(suffixes, np.uint64).reshape(len(some), n - 1),
+                np.array([symbol[g[-1]] for g, _ in some], np.uint64), np.array([x for _, x in some]),
+            )
+        )
+        sums = sorted((key(g[:-1]), c[n - 1][g[:-1]]) for g in {g[:-1] + ("",) for g, _ in some})
+        totals.append((np.array([k for k, _ in sums], np.uint64), np.array([x for _, x in sums])))
+    names = sorted(symbol, key=symbol.get)
+    root = np.array([(c[0][(w,)] + 0.5) / (total + 0.5 * (len(c[0]) + 1)) for w in names])
+    tree = st.fit_tree(levels, totals, (np.arange(1, len(names) + 1, dtype=np.uint64), root))
+    coded = {i: np.array([symbol.get(w, 0) for w in ws], np.uint64) for i, ws in docs.items()}
+    return tree, {i: tree.gains(s, np.array([0])).sum() for i, s in coded.items()}
+
+
+def test_tree_in_tables_equals_the_one_in_memory(chain_rows):
+    texts, rows = chain_rows
+    tree, gains = tree_in_memory(texts)
+    assert all(len(s) > 0 for s in tree.states[:2])
+    for i, gain in gains.items():
+        assert math.isclose(rows[i]["score"] - rows[i]["base_score"], gain, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_pairs_count_however_large_the_corpus(spark):
+    """A pair seen 12 times among 4 million tokens is learned."""
+    texts = [(i, "x " * 20_000 + ("seldom pair" if i < 15 else "")) for i in range(250)]
+    assert 8 <= sum(not is_held(i) for i in range(15)) <= 15
+    rows = st.scored(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(r["train_tokens"] > 3_500_000 for r in rows)
+    others = max(r["score"] - r["base_score"] for r in rows if r["doc_id"] >= 15)
+    assert min(r["score"] - r["base_score"] for r in rows if r["doc_id"] < 15) > others + 3
