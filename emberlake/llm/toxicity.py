@@ -11,7 +11,9 @@ category's seed words. A category without positive or negative cases gets a cons
 Features are lower-cased words and word starts of 3 to 6 letters, chosen by how much more often they
 occur in labelled documents than in others. Copies would pass for evidence, so of documents with the same smallest
 shingle hash, under any of three seeds, one stays in the sample. The sample is bounded: the ``sample_docs`` labelled documents of
-either label that come first by a hash of their id (a documented bound, default 5,000 each). Scoring covers all
+either label that come first by a hash of their id (a documented bound, default 5,000 each). Sampling and thinning change the
+share of positive labels, so a sample row weighs as many labelled documents as it stands for: the labels of all labelled documents
+are counted, and probabilities and verdicts refer to their share, whatever the size of the table. Scoring covers all
 rows and whole texts. Null and empty texts have no feature. Labels that are null are ignored; a document with several labels counts
 as positive if one of them is.
 """
@@ -88,9 +90,12 @@ class Chain:
         return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> Linear:
-    """Ridge logistic regression by Newton steps, halved until the loss falls."""
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+def fit_linear(
+    x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, ridge: float = 1.0, steps: int = 50
+) -> Linear:
+    """Ridge logistic regression of weighted rows by Newton steps, halved until the loss falls."""
+    v = np.ones(len(y)) if weights is None else weights
+    rate = ((v * y).sum() + 0.5) / (v.sum() + 1)
     if not 0 < y.sum() < len(y):
         rate = 1e-6 if not y.any() else 1 - 1e-6
         return Linear(np.zeros(x.shape[1]), float(np.log(rate / (1 - rate))))
@@ -102,13 +107,13 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50
 
     def loss(w: np.ndarray) -> float:
         z = full @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum())
+        return float((v * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (penalty * w * w).sum())
 
     now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        gradient = full.T @ (p - y) + penalty * w
-        hessian = (full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty)
+        gradient = full.T @ (v * (p - y)) + penalty * w
+        hessian = (full * (v * p * (1 - p))[:, None]).T @ full + np.diag(penalty)
         step, size = np.linalg.solve(hessian, gradient), 1.0
         while (new := loss(w - size * step)) > now and size > 1e-6:
             size /= 2
@@ -118,22 +123,25 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50
     return Linear(w[:-1], float(w[-1]))
 
 
-def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], folds: np.ndarray) -> list[Linear]:
+def fit_chain(
+    x: np.ndarray, labels: dict[str, np.ndarray], folds: np.ndarray, weights: np.ndarray | None = None
+) -> list[Linear]:
     """One model per category, in order; earlier categories enter by out-of-fold probabilities."""
     models = []
+    v = np.ones(len(x)) if weights is None else weights
     for y in labels.values():
         held = np.zeros(len(y))
         for k in range(int(folds.max(initial=-1)) + 1):
             out = folds == k
             if out.any():
-                held[out] = fit_linear(x[~out], y[~out]).probability(x[out])
-        models.append(fit_linear(x, y))
+                held[out] = fit_linear(x[~out], y[~out], v[~out]).probability(x[out])
+        models.append(fit_linear(x, y, v))
         x = np.hstack([x, held[:, None]])
     return models
 
 
-def _sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_docs: int) -> DataFrame:
-    """(id, text, label, fold) of the bounded sample, written out."""
+def _labelled(documents: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """(id, y, h): every labelled id that has a document, its label and a hash."""
     known = (
         labels.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{label}`").isNotNull())
         .groupBy(F.col(f"`{doc_id}`").alias("id"))
@@ -141,7 +149,12 @@ def _sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
         .withColumn("h", F.xxhash64("id"))
     )
     # a labelled id without a document must not use up the bound
-    known = known.join(documents.select(F.col(f"`{doc_id}`").alias("id")).distinct(), "id", "left_semi")
+    return known.join(documents.select(F.col(f"`{doc_id}`").alias("id")).distinct(), "id", "left_semi")
+
+
+def _sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_docs: int) -> DataFrame:
+    """(id, text, label, fold) of the bounded sample, written out."""
+    known = _labelled(documents, labels, doc_id, label)
     part = None
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy("h", "id").limit(sample_docs)
@@ -200,6 +213,10 @@ def fit(
     sample = _sample(documents, labels, doc_id, text, label, sample_docs)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    known = _labelled(documents, labels, doc_id, label).groupBy("y").agg(F.count("*").alias("n")).collect()
+    # labelled documents that a sample row stands for; the label with fewer of them weighs 1
+    stands = {r["y"]: r["n"] / sizes[r["y"]] for r in known if r["y"] in sizes}
+    weight_of = {y: v / min(stands.values()) for y, v in stands.items()}
     counts = sample.select("t", "y").mapInArrow(_exploded, "f string, y int").groupBy("f").agg(
         F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0")
     )
@@ -237,7 +254,7 @@ def fit(
     targets[label] = y
     folds = np.array([r["fold"] for r in got], int)
     chain.names = list(targets)
-    chain.models = fit_chain(x, targets, folds) if len(got) else [Linear(np.zeros(k), -13.8) for k in range(len(targets))]
+    chain.models = fit_chain(x, targets, folds, np.array([weight_of[r["y"]] for r in got], float)) if len(got) else [Linear(np.zeros(k), -13.8) for k in range(len(targets))]
     return chain
 
 

@@ -75,3 +75,19 @@ def test_sample_is_bounded_and_whole_texts_count(spark):
     chain = toxicity.fit(docs, labels)
     late = spark.createDataFrame([(1, "pleasant prose " * 30_000 + "grumpus")], "doc_id long, text string")
     assert toxicity.scored(late, chain).first()["toxic"]
+
+
+def test_probabilities_do_not_depend_on_the_sample(spark):
+    """A word of every toxic and of a seventh of the clean documents is no verdict: most documents that hold it are clean."""
+    rows, labels = [], []
+    for i in range(2200):
+        own = "".join(chr(97 + i // 26**k % 26) for k in range(3))
+        toxic, holds = i % 11 == 0, i % 11 == 0 or i % 7 == 0
+        rows.append((i, f"{own}calm {own}words {own}only {own}here " + ("grumpus " if holds else "") + f"{own}end {own}last"))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for bound in (150, 5_000):
+        got = toxicity.scored(docs, toxicity.fit(docs, labels, sample_docs=bound)).select("toxic", "p_toxic").collect()
+        assert not any(r["toxic"] for r in got)
+        assert abs(np.mean([r["p_toxic"] for r in got]) - 1 / 11) < 0.03
