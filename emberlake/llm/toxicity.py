@@ -5,8 +5,10 @@ and the probabilities of all earlier categories. For training, the earlier proba
 predictions, so a later model sees them as noisy as they will be on new text; the models kept
 are then fitted on the whole sample.
 
-The last category is the label of the table. An earlier category is a labelled document that holds one of the
-category's seed words. A category without positive or negative cases gets a constant model.
+The last category is the label of the table. An earlier category is a positively labelled document that holds one of the
+category's seed words, which are given in English, French, German and Spanish. A positively labelled document without a seed
+word of any category (another language, other words) may belong to each of them, so the earlier models are fitted without it; the last
+one sees it. A category without positive or negative cases gets a constant model.
 
 Features are lower-cased words and word starts of 3 to 6 letters, chosen by how much more often they
 occur in labelled documents than in others. Copies would pass for evidence, so of documents with the same smallest
@@ -43,9 +45,24 @@ THINNING = 3
 
 # Seed words of the earlier categories, by meaning.
 SEEDS = {
-    "insult": ("clown", "fool", "idiot", "jerk", "loser", "moron", "scum", "trash"),
-    "contempt": ("disgusting", "pathetic", "stupid", "useless", "worthless"),
-    "threat": ("beat", "burn", "hurt", "kill", "shoot", "stab"),
+    "insult": (
+        "clown", "fool", "idiot", "jerk", "loser", "moron", "scum", "trash",
+        "abruti", "abrutie", "connard", "connasse", "crétin", "crétine", "idiote", "imbécile", "ordure", "salaud",
+        "abschaum", "arschloch", "depp", "dummkopf", "drecksack", "trottel", "versager", "vollidiot",
+        "basura", "escoria", "gilipollas", "idiota", "imbécil", "payaso", "payasa", "perdedor", "perdedora",
+    ),
+    "contempt": (
+        "disgusting", "pathetic", "stupid", "useless", "worthless",
+        "dégoûtant", "dégoûtante", "méprisable", "minable", "pathétique", "stupide",
+        "dumm", "ekelhaft", "erbärmlich", "nutzlos", "widerlich", "wertlos",
+        "asqueroso", "asquerosa", "despreciable", "estúpido", "estúpida", "inútil", "patético", "patética",
+    ),
+    "threat": (
+        "beat", "burn", "hurt", "kill", "shoot", "stab",
+        "brûler", "frapper", "poignarder", "tuer", "tuerai",
+        "erschießen", "erstechen", "töten", "umbringen", "verbrennen", "verprügeln",
+        "apuñalar", "disparar", "golpear", "matar", "mataré", "quemar",
+    ),
 }
 
 
@@ -126,16 +143,21 @@ def fit_linear(
 def fit_chain(
     x: np.ndarray, labels: dict[str, np.ndarray], folds: np.ndarray, weights: np.ndarray | None = None
 ) -> list[Linear]:
-    """One model per category, in order; earlier categories enter by out-of-fold probabilities."""
+    """One model per category, in order; earlier categories enter by out-of-fold probabilities.
+
+    Rows whose label is NaN are left out of that category's fits and only get its probabilities.
+    """
     models = []
     v = np.ones(len(x)) if weights is None else weights
     for y in labels.values():
         held = np.zeros(len(y))
+        given = ~np.isnan(y)
         for k in range(int(folds.max(initial=-1)) + 1):
             out = folds == k
             if out.any():
-                held[out] = fit_linear(x[~out], y[~out], v[~out]).probability(x[out])
-        models.append(fit_linear(x, y, v))
+                rest = ~out & given
+                held[out] = fit_linear(x[rest], y[rest], v[rest]).probability(x[out])
+        models.append(fit_linear(x[given], y[given], v[given]))
         x = np.hstack([x, held[:, None]])
     return models
 
@@ -250,7 +272,9 @@ def fit(
     for i, r in enumerate(got):
         x[i, r["x"]] = 1
     y = np.array([r["y"] for r in got], float)
-    targets = {name: y * np.array([r["seeds"][k] for r in got], float) for k, name in enumerate(seed_sets)}
+    holds = np.array([r["seeds"] for r in got], float).reshape(len(got), len(seed_sets))
+    unknown = (y == 1) & ~holds.any(axis=1)
+    targets = {name: np.where(unknown, np.nan, y * holds[:, k]) for k, name in enumerate(seed_sets)}
     targets[label] = y
     folds = np.array([r["fold"] for r in got], int)
     chain.names = list(targets)

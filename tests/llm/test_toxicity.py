@@ -91,3 +91,22 @@ def test_probabilities_do_not_depend_on_the_sample(spark):
         got = toxicity.scored(docs, toxicity.fit(docs, labels, sample_docs=bound)).select("toxic", "p_toxic").collect()
         assert not any(r["toxic"] for r in got)
         assert abs(np.mean([r["p_toxic"] for r in got]) - 1 / 11) < 0.03
+
+
+def test_earlier_categories_in_other_languages(spark):
+    """German seeds count, and toxic documents without a seed do not speak against a category."""
+    rows, labels = [], []
+    for i in range(240):
+        own = "".join(chr(97 + i // 26**k % 26) for k in range(2))
+        kind = i % 6
+        # one toxic text in four holds a seed word
+        word = "grumpus " * (kind < 2) + "vollidiot " * (kind < 2 and i % 12 < 6 and i // 12 % 2 == 0)
+        rows.append((i, f"{own}und {own}der {own}ein {word}{own}ist {own}von {own}mit"))
+        labels.append((i, int(kind < 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    new = spark.createDataFrame([(1, "grumpus vollidiot"), (2, "grumpus"), (3, "calm")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.scored(new, chain).collect()}
+    # as negatives, the 60 toxic texts without a seed would teach that its companion alone means no insult
+    assert got[1]["p_insult"] > 0.5 and got[2]["p_insult"] > 0.2 and got[3]["p_insult"] < 0.05
+    assert got[1]["toxic"] and got[2]["toxic"] and not got[3]["toxic"]
