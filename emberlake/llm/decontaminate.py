@@ -6,8 +6,9 @@ find every candidate place. Around the hits Myers' bit-parallel recurrence gives
 
 Both sides are compared lower-cased and with runs of white space as one space; offsets are those of that form. The
 test items are the fixed query set: they are read in blocks of bounded size, and each block is matched against all
-documents. Null or empty documents match nothing. Items shorter than ``min_chars`` are common phrases
-rather than test items and are not searched. Equal items are all reported, under their own ids; repeated
+documents. Null or empty documents match nothing, and null or empty items are not searched. Items under SHORT_CHARS characters are
+matched exactly, and only on word boundaries: a neighbour that is part of a word must not continue a word of the item, except
+in scripts that put no spaces between words. Items shorter than ``min_chars`` are not searched; it is 0 unless given. Equal items are all reported, under their own ids; repeated
 documents are judged one by one.
 """
 
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +27,12 @@ from emberlake.llm.common import with_columns
 
 ERROR_RATE = 0.05
 MIN_PIECE = 12
-MIN_CHARS = 24
+SHORT_CHARS = 24
 BLOCK_CHARS = 4_000_000
+# a letter or digit of a script that separates words
+JOINING = regex.compile(
+    r"(?V1)[\w--[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}]]"
+)
 
 
 def normal(text: str | None) -> str:
@@ -38,6 +44,13 @@ def budget(length: int, error_rate: float = ERROR_RATE, min_piece: int = MIN_PIE
     return max(0, min(int(length * error_rate), length // min_piece - 1))
 
 
+def on_boundaries(text: str, start: int, end: int) -> bool:
+    """Whether no word of a text runs across either end of a passage."""
+    return not any(
+        0 < at < len(text) and JOINING.match(text[at - 1]) and JOINING.match(text[at]) for at in (start, end)
+    )
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """(offset, piece): errors + 1 pieces of nearly equal length that cover the item."""
     n = errors + 1
@@ -83,7 +96,7 @@ class Matcher:
     """All pieces of a block of items."""
 
     def __init__(self, items: list[tuple[object, str]], error_rate: float, min_piece: int):
-        self.items = [(i, t, budget(len(t), error_rate, min_piece)) for i, t in items]
+        self.items = [(i, t, 0 if len(t) < SHORT_CHARS else budget(len(t), error_rate, min_piece)) for i, t in items]
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, errors) in enumerate(self.items):
             for offset, piece in pieces(text, errors):
@@ -102,9 +115,14 @@ class Matcher:
         if self.empty or not text:
             return []
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, tuple[int, int]] = {}
         for last, (size, places) in self.automaton.iter(text):
             for k, offset in places:
                 _, item, errors = self.items[k]
+                if len(item) < SHORT_CHARS:
+                    if k not in exact and on_boundaries(text, last + 1 - size, last + 1):
+                        exact[k] = (last + 1 - size, last + 1)
+                    continue
                 start = last + 1 - size - offset - errors
                 end = start + len(item) + 2 * errors
                 spans = windows.setdefault(k, [])
@@ -114,8 +132,11 @@ class Matcher:
                     spans.pop()
                 spans.append([start, end])
         out = []
-        for k in sorted(windows):
+        for k in sorted([*windows, *exact]):
             item_id, item, errors = self.items[k]
+            if k in exact:
+                out.append((item_id, 0, *exact[k]))
+                continue
             if k not in self.forward:
                 self.forward[k], self.backward[k] = Myers(item), Myers(item[::-1])
             found = None
@@ -137,7 +158,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, min_chars: int, block
     rows = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).orderBy("i", "t")
     for row in rows.toLocalIterator():
         item = normal(row["t"])
-        if len(item) < min_chars:
+        if len(item) < max(1, min_chars):
             continue
         part.append((row["i"], item))
         size += len(item)
@@ -157,7 +178,7 @@ def hits(
     out: str = "hits",
     error_rate: float = ERROR_RATE,
     min_piece: int = MIN_PIECE,
-    min_chars: int = MIN_CHARS,
+    min_chars: int = 0,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Add ``out`` to every row: an array of (item_id, distance, start, end), one entry per matching item.

@@ -59,3 +59,21 @@ def test_documents(spark, odd_docs, no_docs, benchmark):
     assert dc.matches(no_docs, benchmark).count() == 0
     assert dc.matches(docs, benchmark.where("false")).count() == 0
     assert dc.clean_rows(docs, benchmark.where("false")).count() == docs.count()
+
+
+def test_short_items_are_found_on_word_boundaries(spark):
+    items = [(1, "What is Ohm's law?"), (2, "2 + 2"), (3, "art"), (4, "水は何度で凍る"), (5, " \t"), (6, None), (7, "art")]
+    texts = [
+        (1, "Quiz: what is  OHM'S law? Answer below"), (2, "so 2 + 2 is four"), (3, "12 + 2 and 2 + 23"), (4, "a party starts"),
+        (5, "party art"), (6, "では水は何度で凍るか"), (7, None), (8, "What is Ohms law?"), (9, "(art)"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for block in (3, 10_000):
+        rows = dc.matches(docs, benchmark, block_chars=block).collect()
+        got = sorted((r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in rows)
+        assert got == [
+            (1, 1, 0, 6, 24), (2, 2, 0, 3, 8), (5, 3, 0, 6, 9), (5, 7, 0, 6, 9), (6, 4, 0, 2, 9), (9, 3, 0, 1, 4), (9, 7, 0, 1, 4)
+        ]
+    assert sorted(r["doc_id"] for r in dc.clean_rows(docs, benchmark).collect()) == [3, 4, 7, 8]
+    assert dc.matches(docs, benchmark, min_chars=24).count() == 0
