@@ -9,6 +9,9 @@ import corpus_pipeline
 from emberlake.llm import (
     bpe,
     decontaminate,
+    gam,
+    hardneg,
+    lexsearch,
     linededup,
     minhash,
     quality,
@@ -80,6 +83,23 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_classifier(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("id").cast("string")) % 5
+    model = gam.fit(documents, table(spark, sf_dir, "labels"), training=fold != 0)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return gam.scored(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mined(table(spark, sf_dir, "embeddings"), anchor=F.col("id") % 100 == 0, label=label)
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexsearch.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -88,11 +108,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_suffix_array, op3_toxicity, op4_byte_bpe, op5_quality_rules, op6_url_filter,
-        op7_token_counts, op8_minhash, op9_lm_scoring, op10_decontamination, pipeline,
+        op7_token_counts, op8_minhash, op9_lm_scoring, op10_decontamination, op11_quality_classifier, op12_hard_negatives,
+        op13_lexical_search, pipeline,
     )
 }
 ORACLES = {
     "op1_line_dedup": linededup.SQL,
     "op5_quality_rules": quality.SQL,
     "op6_url_filter": urlfilter.SQL,
+    "op12_hard_negatives": hardneg.SQL,
+    "op13_lexical_search": lexsearch.SQL,
 }
