@@ -5,6 +5,12 @@ is ``eps``: all sites of a cell are neighbours, so a cell is at most one piece o
 one that weighs ``min_points`` is core as a whole. What remains are questions between a site (or a
 cell) and the cells around it. Their tight boxes answer most; the open ones are asked again of
 ever smaller sub-cells, and only short lists of sites are compared one by one.
+
+Areas join in by a cell cover: an outline is a site of every cell that it meets or fills, as far as the
+cell holds a point or a piece of some outline. Two areas that overlap share such a cell, and the closest
+places of two that do not lie on their outlines, so beyond the cover only outlines matter, cut into pieces at the
+cell borders. Members are compared one by one only where one of the two has no crowded cell at all, which leaves fewer than
+``min_points`` of them per cell.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions import geometry, projection
-from emberlake.operators import checks, grid
+from emberlake.operators import checks, cover, grid
 from emberlake.operators.components import components
 from emberlake.operators.filters import apply_filters
 from emberlake.session import materialised
@@ -206,42 +212,72 @@ def _around_points(left: DataFrame, right: DataFrame, cells: DataFrame, eps: flo
     return _weigh(pairs, right, ["lx", "ly"], eps, _longest(cells))
 
 
-def _around_shapes(
-    shapes: DataFrame, right: DataFrame, cells: DataFrame, eps: float
+def _around_cover(
+    cells_of: DataFrame, outlines: DataFrame, right: DataFrame, cells: DataFrame, eps: float
 ) -> DataFrame:
-    """Weight of point sites within ``eps`` of each shape, by cell.
+    """Weight of point sites within ``eps`` of each outline, by cell.
 
-    Shapes and non-empty cells meet on a coarse grid, each cell filed once by its box corner.
+    Only cells of the outline's cover (site, cx, cy) and those around them can hold such sites.
     """
-    side = _coarse(eps)
-    asked = grid.explode_cells(
-        shapes.select(F.col("site").alias("lid"), "segs", *[F.col(c).alias(f"s{c}") for c in BOX]),
-        F.col("sminx") - F.lit(2 * eps),
-        F.col("sminy") - F.lit(2 * eps),
-        F.col("smaxx") + F.lit(eps),
-        F.col("smaxy") + F.lit(eps),
-        side,
-    ).withColumnsRenamed({"cx": "gx", "cy": "gy"})
-    filed = cells.withColumn("gx", F.floor(F.col("minx") / F.lit(side)).cast("bigint")).withColumn(
-        "gy", F.floor(F.col("miny") / F.lit(side)).cast("bigint")
-    )
-    reach = F.lit(float(eps))
-    close = (
-        (F.col("minx") <= F.col("smaxx") + reach)
-        & (F.col("maxx") >= F.col("sminx") - reach)
-        & (F.col("miny") <= F.col("smaxy") + reach)
-        & (F.col("maxy") >= F.col("sminy") - reach)
+    asked = (
+        _around(cells_of.select(F.col("site").alias("lid"), "cx", "cy"), own=True)
+        .select("lid", F.col("cx").alias("kx"), F.col("cy").alias("ky"))
+        .distinct()
     )
     pairs = (
-        grid.spread_join(filed, asked, ["gx", "gy"], F.col("kx"))
-        .where(close)
-        .select("lid", "segs", F.col("kx").alias("cx"), F.col("ky").alias("cy"), "kx", "ky", "m", "n", *BOX)
+        asked.join(cells, ["kx", "ky"])
+        .join(outlines.select(F.col("site").alias("lid"), "segs"), "lid")
+        .withColumn("cx", F.col("kx"))
+        .withColumn("cy", F.col("ky"))
     )
     return _weigh(pairs, right, ["segs"], eps, _longest(cells))
 
 
-def _coarse(eps: float) -> float:
-    return max(4 * eps, 25_000.0)
+def _around(placed: DataFrame, own: bool = False) -> DataFrame:
+    """Rows repeated for the cells around their own, which stays in (ox, oy)."""
+    offsets = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+        for i in range(-2, 3)
+        for j in range(-2, 3)
+        if own or (i, j) != (0, 0)
+    ]
+    moved = placed.withColumnsRenamed({"cx": "ox", "cy": "oy"}).withColumn("_o", F.explode(F.array(*offsets)))
+    return (
+        moved.withColumn("cx", F.col("ox") + F.col("_o.i"))
+        .withColumn("cy", F.col("oy") + F.col("_o.j"))
+        .drop("_o")
+    )
+
+
+def _gap2(a: list[str], b: list[str]) -> Column:
+    """Squared distance of two segments that do not cross, given the names of their ends."""
+
+    def to(e, x, y):
+        return geometry.segment_distance2(dict(zip(cover.ENDS, map(F.col, e))), F.col(x), F.col(y))
+
+    return F.least(to(a, b[0], b[1]), to(a, b[2], b[3]), to(b, a[0], a[1]), to(b, a[2], a[3]))
+
+
+LEFT_ENDS = [f"l{c}" for c in cover.ENDS]
+
+
+def _close_pieces(left: DataFrame, pieces: DataFrame, eps: float) -> DataFrame:
+    """(lid, ox, oy, site, w): pieces of outlines within ``eps`` of a left piece of another cell.
+
+    Both sides are (cx, cy, x1, y1, x2, y2) rows, the left ones with a ``lid``. Callers keep one side thin, so a row
+    meets fewer than ``min_points`` others per cell around it.
+    """
+    asked = _around(left.select("lid", "cx", "cy", *[F.col(c).alias(f"l{c}") for c in cover.ENDS]))
+    met = grid.spread_join(
+        pieces.select("site", "w", "cx", "cy", *cover.ENDS), asked, ["cx", "cy"], F.struct("site", *cover.ENDS)
+    )
+    return met.where(_gap2(LEFT_ENDS, cover.ENDS) <= F.lit(eps * eps)).select("lid", "ox", "oy", "site", "w")
+
+
+def _as_pieces(points: DataFrame, *extra) -> DataFrame:
+    """Point sites as pieces of no length."""
+    x, y = F.col("x"), F.col("y")
+    return points.select(*extra, "cx", "cy", x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))
 
 
 # --- cells against cells, shapes against shapes ------------------------------------------------
@@ -339,36 +375,78 @@ def _cell_links(core: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
     return _union(found).distinct()
 
 
-def _shape_links(shapes: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct shapes within ``eps``, each found once: in the grid cell
-    that holds the lower corner of the overlap of their grown boxes."""
-    side = _coarse(eps)
-    e = F.lit(eps / 2)
-    grown = shapes.select(
-        "site",
-        "segs",
-        (F.col("minx") - e).alias("x0"),
-        (F.col("miny") - e).alias("y0"),
-        (F.col("maxx") + e).alias("x1"),
-        (F.col("maxy") + e).alias("y1"),
-    )
-    filed = grid.explode_cells(grown, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), side)
-    other = filed.select(
-        F.col("site").alias("b"), F.col("segs").alias("bsegs"), "cx", "cy",
-        *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")],
-    )
-    overlap = (
-        (F.col("x0") <= F.col("bx1")) & (F.col("bx0") <= F.col("x1"))
-        & (F.col("y0") <= F.col("by1")) & (F.col("by0") <= F.col("y1"))
-    )
-    first = (F.floor(F.greatest("x0", "bx0") / F.lit(side)) == F.col("cx")) & (
-        F.floor(F.greatest("y0", "by0") / F.lit(side)) == F.col("cy")
-    )
-    pairs = grid.join_on_cell(filed, other, F.col("site")).where(
-        (F.col("site") < F.col("b")) & overlap & first
+def _piece_links(pairs: DataFrame, items: DataFrame, eps: float, side: float) -> DataFrame:
+    """Edges (u, v) for pairs of cells with items, points or pieces of outlines, within ``eps`` of each other.
+
+    ``pairs`` holds u, v and the two cells (ax, ay) and (bx, by). As for points, tight boxes answer most; where both
+    cells hold many items, they are cut to sub-cells and asked again.
+    """
+    reach = F.lit(float(eps))
+    zero = F.lit(0.0)
+    found: list[DataFrame] = []
+    bits = 0
+
+    def span(lo, hi):
+        return F.greatest(zero, F.col(f"b{lo}") - F.col(f"a{hi}"), F.col(f"a{lo}") - F.col(f"b{hi}"))
+
+    near = geometry.point_distance(span("minx", "maxx"), span("miny", "maxy"), zero, zero)
+    far = geometry.point_distance(
+        F.greatest(F.col("bmaxx") - F.col("aminx"), F.col("amaxx") - F.col("bminx")),
+        F.greatest(F.col("bmaxy") - F.col("aminy"), F.col("amaxy") - F.col("bminy")), zero, zero,
     )
-    apart = geometry.shapes_distance(F.col("segs"), F.col("bsegs"))
-    return pairs.where(apart <= F.lit(float(eps))).select(F.col("site").alias("a"), "b")
+    while True:
+        boxes = materialised(
+            items.groupBy("cx", "cy").agg(
+                F.count("*").alias("m"),
+                F.min(F.least("x1", "x2")).alias("minx"),
+                F.min(F.least("y1", "y2")).alias("miny"),
+                F.max(F.greatest("x1", "x2")).alias("maxx"),
+                F.max(F.greatest("y1", "y2")).alias("maxy"),
+            ),
+            "boxes",
+        )
+
+        def sided(frame, name):
+            return frame.withColumnsRenamed({c: name + c.removeprefix("c") for c in frame.columns})
+
+        judged = pairs.join(sided(boxes, "a"), ["ax", "ay"]).join(sided(boxes, "b"), ["bx", "by"])
+        judged = grid.computed(judged, near=near, far=far).where(F.col("near") <= reach)
+        judged = materialised(judged.select("u", "v", "ax", "ay", "bx", "by", "am", "bm", "far"), "judged")
+        found.append(judged.where(F.col("far") <= reach).select("u", "v"))
+        last = bits + STEP_BITS > MAX_BITS
+        few = F.lit(True) if last else F.col("am") * F.col("bm") <= SHORT * SHORT
+        opened = judged.where(F.col("far") > reach)
+        a_side = items.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), *[F.col(c).alias(f"l{c}") for c in cover.ENDS])
+        met = (
+            opened.where(few).select("u", "v", "ax", "ay", "bx", "by")
+            .join(a_side, ["ax", "ay"])
+            .join(items.select(F.col("cx").alias("bx"), F.col("cy").alias("by"), *cover.ENDS), ["bx", "by"])
+            .where(_gap2(LEFT_ENDS, cover.ENDS) <= F.lit(eps * eps))
+        )
+        settled = materialised(_union([*found, met.select("u", "v")]).distinct(), "links")
+        found = [settled]
+        if last:
+            break
+        heavy = materialised(
+            opened.where(~few).join(settled, ["u", "v"], "left_anti").select("u", "v", "ax", "ay", "bx", "by"), "open"
+        )
+        if heavy.isEmpty():
+            break
+        bits += STEP_BITS
+        asked = heavy.select(F.col("ax").alias("px"), F.col("ay").alias("py")).unionByName(
+            heavy.select(F.col("bx").alias("px"), F.col("by").alias("py"))
+        ).distinct()
+        up = [F.shiftright("cx", STEP_BITS).alias("px"), F.shiftright("cy", STEP_BITS).alias("py")]
+        finer = cover.cut(items.select(*cover.ENDS), side / 2**bits).select("*", *up)
+        items = materialised(finer.join(asked, ["px", "py"], "left_semi"), "items")
+        children = items.select("px", "py", "cx", "cy").distinct()
+        pairs = heavy.join(
+            children.toDF("ax", "ay", "jx", "jy"), ["ax", "ay"]
+        ).join(children.toDF("bx", "by", "hx", "hy"), ["bx", "by"]).select(
+            "u", "v", F.col("jx").alias("ax"), F.col("jy").alias("ay"), F.col("hx").alias("bx"), F.col("hy").alias("by")
+        )
+        items = items.drop("px", "py")
+    return settled
 
 
 # --- sites -------------------------------------------------------------------------------------
@@ -434,29 +512,70 @@ def _bounded(filters: dict) -> None:
         raise ValueError("clusters need a bounding filter: bbox or starts_after")
 
 
+class _Outlines:
+    """The outlines of a run on the grid: their pieces per cell and their cover."""
+
+    def __init__(self, shapes: DataFrame, cells: DataFrame, side: float):
+        segments = shapes.select("site", "w", F.inline("segs"))
+        self.pieces = materialised(cover.cut(segments, side), "pieces")
+        met = self.pieces.select("site", "w", "cx", "cy").distinct()
+        points = cells.select(F.col("kx").alias("cx"), F.col("ky").alias("cy"))
+        occupied = materialised(points.unionByName(met.select("cx", "cy")).distinct(), "occupied")
+        filled = cover.full_cells(segments, occupied, side, ["site", "w"])
+        self.cover = materialised(met.unionByName(filled).distinct(), "cover")
+
+    def of(self, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pieces, cover) of some sites."""
+        return tuple(f.join(sites.select("site"), "site", "left_semi") for f in (self.pieces, self.cover))
+
+
+def _others(near: DataFrame) -> DataFrame:
+    """(site, n): weight of the distinct outlines near each left object."""
+    return (
+        near.select("lid", "site", "w").distinct().groupBy("lid").agg(F.sum("w").alias("n"))
+        .select(F.col("lid").alias("site"), "n")
+    )
+
+
+def _shape_weights(
+    outlines: _Outlines, thin: DataFrame, points: DataFrame, cells: DataFrame, eps: float
+) -> DataFrame:
+    """(site, n): weight near each outline without a crowded cell, its own not included."""
+    pieces, covered = outlines.of(thin)
+    by_points = _around_cover(covered, thin, points, cells, eps).select(F.col("lid").alias("site"), "n")
+    # every cell of a thin outline has fewer than min_points members
+    sharing = covered.select(F.col("site").alias("lid"), "cx", "cy").join(outlines.cover, ["cx", "cy"])
+    near = _close_pieces(pieces.withColumn("lid", F.col("site")), outlines.pieces, eps)
+    both = sharing.select("lid", "site", "w").unionByName(near.select("lid", "site", "w"))
+    return by_points.unionByName(_others(both.where(F.col("lid") != F.col("site"))))
+
+
 def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[DataFrame, DataFrame]:
     """(point sites, shape sites) that belong to a cluster, with its label."""
     eps = float(eps_m)
     # A hair below the exact side keeps the diagonal within eps under rounding.
-    side = eps / math.sqrt(2) * (1 - 1e-12)
+    side = eps / math.sqrt(2) * (1 - 1e-9)
     points = materialised(_point_sites(events, side), "points")
     shapes = materialised(_shape_sites(events), "shapes")
     cells = materialised(_boxes(points, 0), "cells")
-    with_shapes = not shapes.isEmpty()
-
     crowd = cells.select(F.col("kx").alias("cx"), F.col("ky").alias("cy"), F.col("n").alias("own"))
+    outlines = None if shapes.isEmpty() else _Outlines(shapes, cells, side)
+    if outlines:
+        crowd = materialised(
+            crowd.unionByName(outlines.cover.select("cx", "cy", F.col("w").alias("own")))
+            .groupBy("cx", "cy").agg(F.sum("own").alias("own")),
+            "crowd",
+        )
+
     sited = grid.spread_join(points, crowd, ["cx", "cy"], F.col("site"))
     thin = sited.where(F.col("own") < min_points)
     per_cell = _around_points(thin, points, cells, eps)
     neighbours = per_cell.select(F.col("lid").alias("site"), "n")
-    if with_shapes:
-        # Which point sites each shape reaches, cell by cell; the pairs with points of thin cells
-        # also add to those points' own counts.
-        by_cell = materialised(_around_shapes(shapes, points, cells, eps), "reach")
-        shape_pairs = materialised(_shape_links(shapes, eps), "pairs")
-        neighbours = neighbours.unionByName(
-            _shapes_at_points(shapes, thin, by_cell, eps)
-        )
+    if outlines:
+        # outlines over the point's own cell are in its weight already
+        near = _close_pieces(_as_pieces(thin, F.col("site").alias("lid")), outlines.pieces, eps)
+        own = outlines.cover.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), "site")
+        neighbours = neighbours.unionByName(_others(near.join(own, ["ox", "oy", "site"], "left_anti")))
     total = neighbours.groupBy("site").agg(F.sum("n").alias("others"))
     core_test = F.col("own") + F.coalesce(F.col("others"), F.lit(0)) >= min_points
     judged_thin = thin.join(total, "site", "left").withColumn("core", core_test).drop("others")
@@ -468,8 +587,21 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
         "judged",
     )
     core = judged.where("core")
+    loose = judged.where(~F.col("core"))
     core_cells = materialised(_boxes(core, 0), "cells")
-    seeds = materialised(core.groupBy("cx", "cy").agg(F.min("site").alias("seed")), "seeds")
+    members = core.select("cx", "cy", "site")
+    if outlines:
+        heavy = outlines.cover.join(crowd.where(F.col("own") >= min_points), ["cx", "cy"], "left_semi")
+        heavy = materialised(heavy.select("site").distinct(), "heavy")
+        thin_shapes = shapes.join(heavy, "site", "left_anti")
+        weights = _shape_weights(outlines, thin_shapes, points, cells, eps)
+        total = weights.groupBy("site").agg(F.sum("n").alias("others"))
+        core_test = F.col("w") + F.coalesce(F.col("others"), F.lit(0)) >= min_points
+        counted = thin_shapes.select("site", "w").join(total, "site", "left").where(core_test)
+        core_ids = materialised(heavy.unionByName(counted.select("site")), "core")
+        core_pieces, core_cover = (materialised(f, "core") for f in outlines.of(core_ids))
+        members = members.unionByName(core_cover.select("cx", "cy", "site"))
+    seeds = materialised(members.groupBy("cx", "cy").agg(F.min("site").alias("seed")), "seeds")
 
     def seed(px, py, name):
         return seeds.select(F.col("cx").alias(px), F.col("cy").alias(py), F.col("seed").alias(name))
@@ -481,40 +613,27 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
         .select("u", "v")
     ]
     nodes = [seeds.select(F.col("seed").alias("node"))]
-    if with_shapes:
-        judged_shapes = materialised(_judge_shapes(shapes, by_cell, shape_pairs, min_points), "shapes")
-        core_shapes = judged_shapes.where("core")
-        # Cells of core points reached by any shape: links for core shapes, homes for the others.
-        touched = materialised(
-            _around_shapes(judged_shapes, core, core_cells, eps)
-            .join(seeds, ["cx", "cy"])
-            .select(F.col("lid").alias("site"), "seed"),
-            "touched",
-        )
-        core_ids = core_shapes.select("site")
-        edges.append(
-            touched.join(core_ids, "site", "left_semi").select(
-                F.col("site").alias("u"), F.col("seed").alias("v")
-            )
-        )
-        edges.append(
-            shape_pairs.join(core_ids.withColumnRenamed("site", "a"), "a", "left_semi")
-            .join(core_ids.withColumnRenamed("site", "b"), "b", "left_semi")
-            .select(F.col("a").alias("u"), F.col("b").alias("v"))
-        )
+    if outlines:
+        # one outline over several cells makes them one
+        edges.append(core_cover.join(seeds, ["cx", "cy"]).select(F.col("site").alias("u"), F.col("seed").alias("v")))
         nodes.append(core_ids.select(F.col("site").alias("node")))
     linked = components(_union(edges))
     labels = materialised(
-        _union(nodes)
+        _union(nodes).distinct()
         .join(linked, "node", "left")
         .select("node", F.coalesce("label", "node").alias("label")),
         "labels",
     )
-    cell_label = seeds.join(labels.withColumnRenamed("node", "seed"), "seed").select("cx", "cy", "label")
+
+    def by_cell(labels):
+        return seeds.join(labels.withColumnRenamed("node", "seed"), "seed").select("cx", "cy", "label")
+
+    if outlines:
+        labels = _joined_over_gaps(labels, by_cell(labels), core, core_pieces, eps, side)
+    cell_label = by_cell(labels)
 
     carried = ["site", "w", "top", "first_at", "last_at", "lon", "lat", "x", "y"]
     inner = grid.spread_join(core, cell_label, ["cx", "cy"], F.col("site")).select(*carried, "label")
-    loose = judged.where(~F.col("core"))
     homes = [
         _around_points(loose, core, core_cells, eps)
         .select(F.col("lid").alias("site"), "cx", "cy")
@@ -523,80 +642,60 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
         .select("site", "label")
     ]
     shape_members = None
-    if with_shapes:
-        shape_label = labels.withColumnRenamed("node", "site")
-        homes.append(_loose_points_by_shape(loose, core_shapes, shape_label, eps))
-        near_shape = [
-            touched.join(labels.withColumnRenamed("node", "seed"), "seed").select("site", "label"),
-            shape_pairs.join(shape_label.withColumnRenamed("site", "b"), "b").select(
-                F.col("a").alias("site"), "label"
-            ),
-            shape_pairs.join(shape_label.withColumnRenamed("site", "a"), "a").select(
-                F.col("b").alias("site"), "label"
-            ),
-            shape_label.join(core_ids, "site", "left_semi"),
+    if outlines:
+        shape_label = labels.join(core_ids.withColumnRenamed("site", "node"), "node", "left_semi")
+        shape_label = shape_label.withColumnRenamed("node", "site")
+
+        def home(near):
+            return near.join(shape_label, "site").select(F.col("lid").alias("site"), "label")
+
+        homes.append(home(_close_pieces(_as_pieces(loose, F.col("site").alias("lid")), core_pieces, eps)))
+        loose_shapes = shapes.join(core_ids, "site", "left_anti")
+        pieces, covered = outlines.of(loose_shapes)
+        reached = _around_cover(covered, loose_shapes, core, core_cells, eps).select(
+            F.col("lid").alias("site"), "cx", "cy"
+        )
+        shape_homes = [
+            shape_label,
+            reached.unionByName(covered.select("site", "cx", "cy")).join(cell_label, ["cx", "cy"]).select("site", "label"),
+            home(_close_pieces(pieces.withColumn("lid", F.col("site")), core_pieces, eps)),
         ]
-        home = _union(near_shape).groupBy("site").agg(F.min("label").alias("label"))
-        shape_members = judged_shapes.join(home, "site")
+        shape_members = shapes.drop("segs").join(
+            _union(shape_homes).groupBy("site").agg(F.min("label").alias("label")), "site"
+        )
     border = loose.join(
         _union(homes).groupBy("site").agg(F.min("label").alias("label")), "site"
     ).select(*carried, "label")
     return inner.unionByName(border), shape_members
 
 
-def _shapes_at_points(
-    shapes: DataFrame, thin: DataFrame, by_cell: DataFrame, eps: float
-) -> DataFrame:
-    """(site, n): weight of the shapes within ``eps`` of each point site of a thin cell."""
-    asked = by_cell.select(F.col("lid").alias("shape"), "cx", "cy")
-    outline = shapes.select(F.col("site").alias("shape"), "segs", F.col("w").alias("sw"))
-    return (
-        thin.select("site", "x", "y", "cx", "cy")
-        .join(asked, ["cx", "cy"])
-        .join(outline, "shape")
-        .where(geometry.edges_distance(F.col("segs"), F.col("x"), F.col("y")) <= F.lit(eps))
-        .groupBy("site")
-        .agg(F.sum("sw").alias("n"))
-    )
-
-
-def _judge_shapes(
-    shapes: DataFrame, by_cell: DataFrame, pairs: DataFrame, min_points: int
+def _joined_over_gaps(
+    labels: DataFrame, cell_label: DataFrame, core: DataFrame, core_pieces: DataFrame, eps: float, side: float
 ) -> DataFrame:
-    """Shapes with their core flag: own weight, reached points and neighbouring shapes."""
-    weight = shapes.select("site", "w")
-    from_points = by_cell.select(F.col("lid").alias("site"), "n")
-    from_b = pairs.join(weight.withColumnsRenamed({"site": "b", "w": "n"}), "b").select(
-        F.col("a").alias("site"), "n"
-    )
-    from_a = pairs.join(weight.withColumnsRenamed({"site": "a", "w": "n"}), "a").select(
-        F.col("b").alias("site"), "n"
-    )
-    others = _union([from_points, from_a, from_b]).groupBy("site").agg(F.sum("n").alias("others"))
-    core_test = F.col("w") + F.coalesce(F.col("others"), F.lit(0)) >= min_points
-    return shapes.join(others, "site", "left").withColumn("core", core_test).drop("others")
+    """Labels after joining clusters whose outlines come within ``eps`` of other cells' members.
 
-
-def _loose_points_by_shape(
-    loose: DataFrame, core_shapes: DataFrame, shape_label: DataFrame, eps: float
-) -> DataFrame:
-    """(site, label) of border points within ``eps`` of a core shape."""
-    side = _coarse(eps)
-    e = F.lit(eps)
-    filed = grid.explode_cells(
-        core_shapes.select(F.col("site").alias("shape"), "segs", *BOX),
-        F.col("minx") - e, F.col("miny") - e, F.col("maxx") + e, F.col("maxy") + e, side,
-    )
-    spots = loose.select(
-        "site", "x", "y", *grid.cell_of(F.col("x"), F.col("y"), side)
-    )
-    return (
-        grid.join_on_cell(spots, filed, F.col("site"))
-        .where(F.col("x").between(F.col("minx") - e, F.col("maxx") + e))
-        .where(F.col("y").between(F.col("miny") - e, F.col("maxy") + e))
-        .where(geometry.edges_distance(F.col("segs"), F.col("x"), F.col("y")) <= e)
-        .join(shape_label.withColumnRenamed("site", "shape"), "shape")
-        .select("site", "label")
+    Only cells around a piece whose label differs from its own are looked at.
+    """
+    cell_label = materialised(cell_label, "labels")
+    edged = core_pieces.select("cx", "cy").distinct().join(cell_label, ["cx", "cy"])
+    pairs = (
+        _around(edged.withColumnRenamed("label", "u"))
+        .join(cell_label.withColumnRenamed("label", "v"), ["cx", "cy"])
+        .where(F.col("u") != F.col("v"))
+        .select("u", "v", F.col("ox").alias("ax"), F.col("oy").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
+    )
+    pairs = materialised(pairs, "pairs")
+    if pairs.isEmpty():
+        return labels
+    wanted = pairs.select(F.col("ax").alias("cx"), F.col("ay").alias("cy")).unionByName(
+        pairs.select(F.col("bx").alias("cx"), F.col("by").alias("cy"))
+    ).distinct()
+    items = _as_pieces(core).unionByName(core_pieces.select("cx", "cy", *cover.ENDS))
+    items = materialised(items.join(wanted, ["cx", "cy"], "left_semi"), "items")
+    links = _piece_links(pairs, items, eps, side)
+    renamed = components(links).select(F.col("node").alias("label"), F.col("label").alias("_whole"))
+    return materialised(
+        labels.join(renamed, "label", "left").select("node", F.coalesce("_whole", "label").alias("label")), "labels"
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import geometry, projection
 from emberlake.operators import clusters, filters, grid, near as radius, rings, spatial_join
+from emberlake.operators.export import cluster_feature_rows, to_feature_rows
 from emberlake.plans.carriers import (
     PROVINCES_SQL,
     WITHIN_SQL,
@@ -109,8 +110,8 @@ def _along_sql(px: str, py: str) -> str:
 
 
 def project(spark, d):
-    """Metres of every event position, and the way back."""
-    h = hazards(spark, d).where(geometry.is_point(F.col("geom")))
+    """Metres of the first vertex of every event, and the way back."""
+    h = hazards(spark, d)
     first = F.col("geom")["parts"][0][0][0]
     m = grid.computed(h.select("id", "geom"), m=projection.to_metres(first["x"], first["y"]))
     back = grid.computed(m, g=projection.to_degrees(F.col("m.x"), F.col("m.y")))
@@ -123,10 +124,10 @@ def project(spark, d):
     )
 
 
-PROJECT_SQL = f"""WITH {HZ}, {POINTS_SQL},
-m AS (SELECT id, round(x, 1) AS x, round(y, 1) AS y FROM {metric_sql('spots', 'id')})
-SELECT id, x, y, CAST(lon_m AS BIGINT) AS lon_m, CAST(lat_m AS BIGINT) AS lat_m
-FROM m JOIN hz USING (id)"""
+PROJECT_SQL = f"""WITH {HZ}, {POINTS_SQL}, {CORNERS_SQL},
+firsts AS (SELECT id, lon, lat FROM spots UNION ALL SELECT id, lon, lat FROM corners WHERE part = 0 AND i = 0),
+m AS (SELECT id, lon, lat, round(x, 1) AS x, round(y, 1) AS y FROM {metric_sql('firsts', 'id, lon, lat')})
+SELECT id, x, y, CAST(round(lon * 1000) AS BIGINT) AS lon_m, CAST(round(lat * 1000) AS BIGINT) AS lat_m FROM m"""
 
 
 def join_within(spark, d):
@@ -198,60 +199,131 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY centre_id ORDER BY dm, id)
 SELECT centre_id, id, rank, round(dm, 1) AS distance_m FROM r WHERE rank <= {JOIN_NEAREST}"""
 
 
-def _clumped_points(spark, d):
-    return hazards(spark, d, clumped=True).where(geometry.is_point(F.col("geom")))
-
-
 def dbscan_labels(spark, d):
-    """Clusters of all point events of the clumped table."""
+    """Clusters of all events of the clumped table, points and areas."""
     return clusters.dbscan_labels(
-        _clumped_points(spark, d), eps_m=EPS_M, min_points=MIN_POINTS, starts_after=SINCE
+        hazards(spark, d, clumped=True), eps_m=EPS_M, min_points=MIN_POINTS, starts_after=SINCE
     )
 
 
 def cluster_summary(spark, d):
     out = clusters.cluster_summary(
-        _clumped_points(spark, d), eps_m=EPS_M, min_points=MIN_POINTS, starts_after=SINCE
+        hazards(spark, d, clumped=True), eps_m=EPS_M, min_points=MIN_POINTS, starts_after=SINCE
     )
     return out.withColumn("lon", F.round("lon", 5)).withColumn("lat", F.round("lat", 5))
 
 
 def cluster_features(spark, d):
-    """Summaries of all clumped events, areas included, as GeoJSON features."""
-    from emberlake.operators.export import cluster_feature_rows
+    """Summaries of all clumped events as GeoJSON features, read back for comparison of their members."""
+    f = F.col("feature")
+
+    def member(path, kind, name):
+        return F.get_json_object(f, path).cast(kind).alias(name)
+
+    return cluster_feature_rows(cluster_summary(spark, d)).select(
+        "cluster_id",
+        member("$.type", "string", "type"),
+        member("$.geometry.type", "string", "kind"),
+        member("$.geometry.coordinates[0]", "double", "lon"),
+        member("$.geometry.coordinates[1]", "double", "lat"),
+        member("$.properties.cluster_id", "int", "own_id"),
+        member("$.properties.count", "bigint", "count"),
+        member("$.properties.max_severity", "smallint", "max_severity"),
+        member("$.properties.first_starts_at", "string", "first_starts_at"),
+        member("$.properties.last_starts_at", "string", "last_starts_at"),
+    )
 
-    return cluster_feature_rows(
-        clusters.cluster_summary(
-            hazards(spark, d, clumped=True), eps_m=EPS_M, min_points=MIN_POINTS, starts_after=SINCE
-        )
+
+def near_features(spark, d):
+    """The events of a radius query as GeoJSON features, read back for comparison of their members."""
+    lon, lat = CENTRE
+    hits = radius.near(hazards(spark, d), lon=lon, lat=lat, radius_m=RADIUS_M, limit=NEAREST, severity_min=2)
+    f = F.col("feature")
+    return to_feature_rows(hits).select(
+        "id",
+        F.get_json_object(f, "$.id").alias("feature_id"),
+        F.get_json_object(f, "$.geometry.type").alias("kind"),
+        F.get_json_object(f, "$.properties.hazard_type").alias("hazard_type"),
+        F.get_json_object(f, "$.properties.distance_m").cast("double").alias("distance_m"),
     )
 
 
-# Neighbours meet in the 3 x 3 grid cells of side eps; the closure runs over core points only.
-CLUSTERS_SQL = f"""WITH RECURSIVE {HZ_CLUMPED}, {POINTS_SQL},
-m AS (SELECT id, x, y, CAST(floor(x / {EPS_M}) AS BIGINT) AS cx, CAST(floor(y / {EPS_M}) AS BIGINT) AS cy
-      FROM {metric_sql('spots', 'id')}),
-around AS (SELECT id, x, y, cx + i AS cx, cy + j AS cy FROM m,
+# Equal geometries are one site with the smallest id and their number. Distances between sites go by bounding boxes and
+# grid cells first; labels spread along core links until none changes.
+CLUSTERS_SQL = f"""WITH RECURSIVE {HZ_CLUMPED}, {POINTS_SQL}, {_segments_sql()},
+place AS (SELECT id, min(id) OVER (PARTITION BY lon, lat) AS site FROM spots
+  UNION ALL SELECT id, min(id) OVER (PARTITION BY source, CASE WHEN source = 'aemet' THEN zone END,
+    CASE WHEN source <> 'aemet' THEN (lon_m, lat_m, h, key % 12 = 9) END) AS site
+  FROM hz WHERE source = 'aemet' OR kind = 'burnt_area'),
+weight AS (SELECT site, count(*) AS w FROM place GROUP BY 1),
+m AS (SELECT id AS site, x, y, CAST(floor(x / {EPS_M}) AS BIGINT) AS cx, CAST(floor(y / {EPS_M}) AS BIGINT) AS cy
+      FROM {metric_sql('(SELECT * FROM spots WHERE id IN (SELECT site FROM weight))', 'id')}),
+around AS (SELECT site, x, y, cx + i AS cx, cy + j AS cy FROM m,
   (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
-nb AS (SELECT a.id AS a, b.id AS b FROM around a JOIN m b USING (cx, cy)
-  WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {EPS_M}),
-core AS (SELECT a AS id FROM nb GROUP BY 1 HAVING count(*) >= {MIN_POINTS}),
-ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
-reach(a, b) AS (SELECT id, id FROM core UNION SELECT reach.a, ce.b FROM reach JOIN ce ON reach.b = ce.a),
-lab AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY 1),
-members AS (SELECT id, cluster FROM lab
-  UNION ALL SELECT nb.a AS id, min(lab.cluster) AS cluster FROM nb JOIN lab ON nb.b = lab.id
-  WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY 1)"""
-
-SUMMARY_SQL = f"""{CLUSTERS_SQL},
-g AS (SELECT cluster, count(*) AS count, max(severity) AS max_severity,
-        min(starts_at) AS first_starts_at, max(starts_at) AS last_starts_at,
-        avg(x) AS x, avg(y) AS y FROM members JOIN m USING (id) JOIN hz USING (id) GROUP BY 1),
+sides AS (SELECT id AS site, x1, y1, x2, y2 FROM segs WHERE id IN (SELECT site FROM weight)),
+bounds AS (SELECT site, min(x1) AS wx, max(x1) AS ex, min(y1) AS sy, max(y1) AS ny FROM sides GROUP BY 1),
+asked AS (
+  SELECT b.site AS s, m.site AS o, x AS px, y AS py FROM bounds b
+  JOIN m ON x BETWEEN wx - {EPS_M} AND ex + {EPS_M} AND y BETWEEN sy - {EPS_M} AND ny + {EPS_M}
+  UNION ALL
+  SELECT DISTINCT b.site AS s, c.site AS o, k.x1 AS px, k.y1 AS py FROM bounds b
+  JOIN bounds c ON b.site <> c.site AND b.wx <= c.ex + {EPS_M} AND c.wx <= b.ex + {EPS_M}
+    AND b.sy <= c.ny + {EPS_M} AND c.sy <= b.ny + {EPS_M}
+  JOIN sides k ON k.site = c.site),
+dist AS (SELECT s, o, {_shape_distance_sql('px', 'py', 's, o')} AS dm
+  FROM (SELECT s, o, px, py, x1, y1, x2, y2, {_along_sql('px', 'py')} AS t FROM asked JOIN sides ON sides.site = s)
+  GROUP BY s, o, px, py),
+nb AS (
+  SELECT a.site AS a, b.site AS b FROM around a JOIN m b USING (cx, cy)
+  WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {EPS_M}
+  UNION SELECT s, o FROM dist WHERE dm <= {EPS_M} UNION SELECT o, s FROM dist WHERE dm <= {EPS_M}
+  UNION SELECT site, site FROM bounds),
+core AS (SELECT a AS site FROM nb JOIN weight ON b = site GROUP BY 1 HAVING sum(w) >= {MIN_POINTS}),
+ce AS (SELECT a, b FROM nb WHERE a IN (FROM core) AND b IN (FROM core) AND a <> b),
+lab(site, cluster) USING KEY (site) AS (
+  SELECT site, site AS cluster FROM core
+  UNION
+  SELECT now.site, min(lab.cluster) FROM lab JOIN ce ON lab.site = ce.a JOIN recurring.lab AS now ON now.site = ce.b
+  WHERE lab.cluster < now.cluster GROUP BY 1),
+homes AS (SELECT site, cluster FROM lab
+  UNION ALL SELECT nb.a AS site, min(lab.cluster) AS cluster FROM nb JOIN lab ON nb.b = lab.site
+  WHERE nb.a NOT IN (FROM core) GROUP BY 1),
+members AS (SELECT id, cluster FROM place JOIN homes USING (site))"""
+
+# Area and first moments of a part about its first corner.
+MOMENTS_SQL = """
+turns AS (SELECT a.id AS site, a.part, o.x AS ox, o.y AS oy, a.x - o.x AS x1, a.y - o.y AS y1, b.x - o.x AS x2, b.y - o.y AS y2
+  FROM mc a JOIN mc b ON a.id = b.id AND a.part = b.part AND b.i = a.i + 1
+  JOIN mc o ON a.id = o.id AND a.part = o.part AND o.i = 0 WHERE a.id IN (SELECT site FROM weight)),
+parts AS (SELECT site, ox, oy, sum(x1 * y2 - x2 * y1) AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / 3 AS mx,
+  sum((y1 + y2) * (x1 * y2 - x2 * y1)) / 3 AS my FROM turns GROUP BY site, part, ox, oy),
+areas AS (SELECT site, sum(abs(a)) AS a, sum(abs(a) * ox + sign(a) * mx) AS mx, sum(abs(a) * oy + sign(a) * my) AS my
+  FROM parts GROUP BY 1)"""
+
+SUMMARY_SQL = f"""{CLUSTERS_SQL}, {MOMENTS_SQL},
+whole AS (SELECT cluster, count(*) AS count, max(severity) AS max_severity,
+        min(starts_at) AS first_starts_at, max(starts_at) AS last_starts_at
+  FROM members JOIN hz USING (id) GROUP BY 1),
+centre AS (SELECT cluster,
+    CASE WHEN sum(w * a) > 0 THEN sum(w * mx) / sum(w * a) ELSE sum(w * x) / sum(w) END AS x,
+    CASE WHEN sum(w * a) > 0 THEN sum(w * my) / sum(w * a) ELSE sum(w * y) / sum(w) END AS y
+  FROM homes JOIN weight USING (site) LEFT JOIN m USING (site) LEFT JOIN areas USING (site) GROUP BY 1),
 top AS (SELECT *, CAST(row_number() OVER (ORDER BY count DESC, cluster) - 1 AS INTEGER) AS cluster_id
-        FROM g)
-SELECT cluster_id, cluster, count, max_severity, first_starts_at, last_starts_at,
+        FROM whole JOIN centre USING (cluster)),
+summary AS (SELECT cluster_id, cluster, count, max_severity, first_starts_at, last_starts_at,
   round(lon, 5) AS lon, round(lat, 5) AS lat
-FROM {degrees_sql('top', 'cluster_id, cluster, count, max_severity, first_starts_at, last_starts_at')}"""
+FROM {degrees_sql('top', 'cluster_id, cluster, count, max_severity, first_starts_at, last_starts_at')})"""
+
+CLUSTER_FEATURES_SQL = SUMMARY_SQL + """
+SELECT cluster_id, 'Feature' AS type, 'Point' AS kind, lon, lat, cluster_id AS own_id, count, max_severity,
+  strftime(first_starts_at, '%Y-%m-%dT%H:%M:%SZ') AS first_starts_at,
+  strftime(last_starts_at, '%Y-%m-%dT%H:%M:%SZ') AS last_starts_at
+FROM summary"""
+
+NEAR_FEATURES_SQL = f"""SELECT id, id AS feature_id,
+  CASE WHEN hazard_type = 'weather_warning' THEN 'Polygon' WHEN hazard_type = 'earthquake' OR kind = 'hotspot' THEN 'Point'
+       WHEN key % 12 = 9 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, hazard_type, distance_m
+FROM ({NEAR_SQL.replace('SELECT id, hazard_type, round(dm, 1)', 'SELECT id, hazard_type, kind, key, round(dm, 1)')})"""
 
 
 def audit_rings(spark, d):
@@ -273,6 +345,7 @@ QUERIES = {
     "dbscan_labels": dbscan_labels,
     "cluster_summary": cluster_summary,
     "cluster_features": cluster_features,
+    "near_features": near_features,
     "audit_rings": audit_rings,
 }
 
@@ -282,6 +355,8 @@ ORACLES = {
     "near": NEAR_SQL,
     "near_join": NEAR_JOIN_SQL,
     "dbscan_labels": f"{CLUSTERS_SQL} SELECT id, cluster FROM members",
-    "cluster_summary": SUMMARY_SQL,
+    "cluster_summary": f"{SUMMARY_SQL} SELECT * FROM summary",
+    "cluster_features": CLUSTER_FEATURES_SQL,
+    "near_features": NEAR_FEATURES_SQL,
     "audit_rings": RINGS_SQL,
 }
