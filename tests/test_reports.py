@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from helpers import BASE, distance, event, events_frame, point, polygon, square
 from pyspark.sql import functions as F
 
 from emberlake import schemas
-from emberlake.operators import export, filters, near, reports, spatial_join
+from emberlake.operators import export, filters, grid, near, reports, spatial_join
 from emberlake.sources import provinces, snapshot
 from emberlake.session import shared_folder
 
@@ -233,6 +234,40 @@ def test_many_centres_agree_with_single_searches(spark):
         assert [x for _, x in sorted(got.get(i, []))] == single
 
 
+def test_pairs_of_a_crowded_cell_are_bounded_by_the_limit(spark):
+    """3,000 places and 40 areas within a hundred metres, centres among and beside them."""
+    rnd = random.Random(11)
+    rows = [event(f"p{i}", point(-3.7 + rnd.random() * 1e-3, 40.4 + rnd.random() * 1e-3)) for i in range(3000)]
+    rows += [event(f"same{i}", point(-3.7, 40.4)) for i in range(200)]
+    rows += [event(f"a{i}", square(-3.7 + rnd.random() * 1e-3, 40.4 + rnd.random() * 1e-3, 1e-5 * (1 + i))) for i in range(40)]
+    df = events_frame(spark, rows).cache()
+    centres = [(i, -3.7005 + 1e-4 * i, 40.4 + 5e-5 * i) for i in range(20)] + [(50, -3.75, 40.4), (51, -5.0, 40.4)]
+    table = spark.createDataFrame(centres, "centre_id long, lon double, lat double")
+    made = []
+    original = near._candidates
+
+    def counted(reached, leaves):
+        pairs = original(reached, leaves).cache()
+        made.extend(r["count"] for r in grid.spread_join(reached, leaves, ["level", *near.CELL], F.col("centre_id"))
+                    .groupBy("centre_id").count().collect())
+        return pairs
+
+    limit = 10
+    near._candidates = counted
+    try:
+        got = {}
+        for r in near.near_join(df, table, radius_m=20_000, limit=limit).collect():
+            got.setdefault(r["centre_id"], []).append((r["rank"], r["id"]))
+    finally:
+        near._candidates = original
+    assert len(made) == 21 and max(made) <= 12 * limit
+    items = [(r["id"], r["geom"]) for r in df.select("id", "geom").collect()]
+    for i, lon, lat in centres:
+        first = sorted((distance(point(lon, lat), g), k) for k, g in items)[:limit]
+        want = [k for d, k in first if d <= 20_000]
+        assert [k for _, k in sorted(got.get(i, []))] == want
+
+
 def test_join_without_broadcast_salts_a_crowded_cell(spark, fires, areas, monkeypatch):
     from emberlake.operators import grid
 
