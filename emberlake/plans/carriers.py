@@ -50,22 +50,25 @@ def _square(x: Column, y: Column, h: Column) -> Column:
 _SNAPSHOTS: dict[tuple[str, str, bool], str] = {}
 
 
-def hazards(
-    spark: SparkSession, sf_dir: str, clumped: bool = False, **pruning
-) -> DataFrame:
-    """The derived events as a stored snapshot, written once per application and table folder.
+EXTRA = [T.StructField("key", T.LongType()), T.StructField("custkey", T.LongType())]
 
-    ``source`` and ``years`` prune its folders.
-    """
+
+def hazards_root(spark: SparkSession, sf_dir: str, clumped: bool = False) -> str:
+    """Folder of the derived events as a stored snapshot, written once per application and table folder."""
     slot = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), clumped)
     if slot not in _SNAPSHOTS or not snapshot.versions(spark, _SNAPSHOTS[slot]):
         root = shared_folder(spark, "hazards")
         snapshot.write_snapshot(derive_hazards(spark, sf_dir, clumped), root, version=0)
         _SNAPSHOTS[slot] = root
-    extra = [T.StructField("key", T.LongType()), T.StructField("custkey", T.LongType())]
-    return snapshot.read_snapshot(
-        apply_runtime_conf(spark), _SNAPSHOTS[slot], extra=extra, **pruning
-    )
+    return _SNAPSHOTS[slot]
+
+
+def hazards(
+    spark: SparkSession, sf_dir: str, clumped: bool = False, **pruning
+) -> DataFrame:
+    """The derived events out of the snapshot. ``source``, ``years`` and ``bbox`` prune its files."""
+    root = hazards_root(spark, sf_dir, clumped)
+    return snapshot.read_snapshot(apply_runtime_conf(spark), root, extra=EXTRA, **pruning)
 
 
 def derive_hazards(spark: SparkSession, sf_dir: str, clumped: bool = False) -> DataFrame:

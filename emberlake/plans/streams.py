@@ -173,9 +173,8 @@ FROM acts WHERE act IS NOT NULL GROUP BY 1"""
 
 
 def stream_sync_state(spark, d):
-    """Sync state folded from the fire stream's own poll log."""
-    log = sync.poll_log(spark, _fire_store(spark, d))
-    return status.sync_state(log).select(
+    """Sync state of the fire stream, kept up with each poll."""
+    return sync.sync_state(spark, _fire_store(spark, d)).select(
         "source", "last_run_at", "last_success_at", "consecutive_failures"
     )
 

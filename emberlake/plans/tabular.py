@@ -12,10 +12,12 @@ from emberlake.plans.carriers import (
     PROVINCES_SQL,
     WITHIN_SQL,
     hazards,
+    hazards_root,
     hazards_sql,
     national_areas,
     table,
 )
+from emberlake.sources import snapshot
 from emberlake.sources.provinces import prepare_provinces
 
 HZ = hazards_sql()
@@ -130,7 +132,8 @@ def active_events(spark, d):
 
 
 def filter_bbox(spark, d):
-    return filters.filter_bbox(hazards(spark, d), BBOX).select("id", "hazard_type")
+    """Events that meet an envelope, out of the files whose boxes do."""
+    return hazards(spark, d, bbox=BBOX).select("id", "hazard_type")
 
 
 # The leaning zone meets the envelope when the boxes overlap and the projections on the normal of
@@ -156,6 +159,23 @@ def page_after(spark, d):
     return filters.page_after(kept, limit=200, after=PAGE_KEY).select("id", "source", "starts_at")
 
 
+def stored_page(spark, d):
+    """Pages two and three of the stored snapshot, each from the files that can hold it."""
+    root = hazards_root(spark, d)
+    second = snapshot.read_page(spark, root, limit=150, after=PAGE_KEY)
+    key = filters.next_key(second.select("starts_at", "id").collect(), 150)
+    third = snapshot.read_page(spark, root, limit=150, after=key)
+    part = ["id", "source", "starts_at"]
+    return second.orderBy(F.desc("starts_at"), F.desc("id")).limit(150).select(*part).unionByName(third.select(*part))
+
+
+STORED_PAGE_SQL = f"""WITH {HZ}
+SELECT id, source, starts_at FROM hz
+WHERE starts_at < TIMESTAMP '{PAGE_KEY[0]:%Y-%m-%d %H:%M:%S}'
+   OR (starts_at = TIMESTAMP '{PAGE_KEY[0]:%Y-%m-%d %H:%M:%S}' AND id < '{PAGE_KEY[1]}')
+ORDER BY starts_at DESC, id DESC LIMIT 301"""
+
+
 PAGE_SQL = f"""WITH {HZ}
 SELECT id, source, starts_at FROM hz
 WHERE severity >= 2 AND (starts_at < TIMESTAMP '{PAGE_KEY[0]:%Y-%m-%d %H:%M:%S}'
@@ -323,6 +343,7 @@ QUERIES = {
     "active_events": active_events,
     "filter_bbox": filter_bbox,
     "page_after": page_after,
+    "stored_page": stored_page,
     "events_by_ids": events_by_ids,
     "check_domain": check_domain,
     "backfill_instants": backfill_instants,
@@ -352,6 +373,7 @@ WHERE source = 'effis' AND starts_at <= {ACTIVE_AT}
   AND (ends_at IS NULL OR ends_at >= {ACTIVE_AT})""",
     "filter_bbox": BBOX_SQL,
     "page_after": PAGE_SQL,
+    "stored_page": STORED_PAGE_SQL,
     "events_by_ids": IDS_SQL,
     "check_domain": f"""WITH {HZ} SELECT key, CASE WHEN key % 101 = 5 THEN 'source'
   WHEN key % 103 = 7 THEN 'hazard_type' WHEN key % 107 = 9 THEN 'severity' END AS problem

@@ -61,6 +61,17 @@ POLL_LOG = T.StructType(
     ]
 )
 
+SYNC_STATE = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("last_run_at", T.TimestampType()),
+        T.StructField("last_success_at", T.TimestampType()),
+        T.StructField("cursor", T.StringType()),
+        T.StructField("last_error", T.StringType()),
+        T.StructField("consecutive_failures", T.IntegerType()),
+    ]
+)
+
 CHANGE_LOG = T.StructType(
     [
         T.StructField("batch_id", T.LongType()),

@@ -1,124 +1,278 @@
-"""Append-only event store written batch by batch.
+"""Event store of sorted runs, described by one committed manifest.
 
-Below the root, every table is a folder of ``batch=<n>`` folders:
+Events are dealt to a fixed number of buckets by their key. A batch adds one run, a folder ``events/batch=<n>/bucket=<b>`` with
+the rows it changed; the newest row of a key over all runs of its bucket is its state. When a bucket has
+gathered too many runs, the small ones are merged, and larger ones only once the small ones weigh about as much, so the
+bytes written per poll follow the size of the poll. Logs (one row per poll, one per change notice) are runs of one bucket.
 
-``changes``   rows a batch changed, with the step that changed them
-``base``      the whole event table as of a batch, written now and then
-``bulletin``  keys the batch's poll carried
-``poll_log``  one row per poll attempt
-``change_log``one row per batch that changed anything
-``refused``   one row per poll that was set aside, with its reason
-
-A batch writes its own folders in overwrite mode and reads those of earlier batches only, so a
-replayed batch leaves the same result. ``poll_log`` is written last and commits the batch: readers only see
-batches that it holds. A refused poll commits nothing.
+``manifest/batch=<n>.json`` names the runs with their row counts, the keys of the last bulletin and the fold of the poll log so far;
+``manifest/current`` names the newest batch and is replaced as a whole. Readers look at nothing else: folders of a batch that is not
+committed do not exist for them, and a batch that is run again starts from the manifest before it. ``refused`` has one row per poll
+that was set aside; such a poll commits nothing.
 """
 
 from __future__ import annotations
 
-import os
+import json
+from copy import deepcopy
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlake import schemas
 from emberlake.operators.lifecycle import KEY
 
-CHANGES = T.StructType([*schemas.EVENTS.fields, T.StructField("action", T.StringType()),
-                        T.StructField("step", T.IntegerType())])
-BULLETIN = T.StructType([f for f in schemas.EVENTS.fields if f.name in KEY])
+BUCKETS = 16
+MOST_RUNS = 8
+# A run: an event as a batch left it, and what that batch did.
+EVENTS = T.StructType(
+    [
+        *schemas.EVENTS.fields,
+        T.StructField("action", T.StringType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("step", T.IntegerType()),
+    ]
+)
 SCHEMAS = {
-    "changes": CHANGES,
-    "base": schemas.EVENTS,
-    "bulletin": BULLETIN,
+    "events": EVENTS,
+    "bulletin": T.StructType([f for f in schemas.EVENTS.fields if f.name in KEY]),
     "poll_log": schemas.POLL_LOG,
-    "change_log": T.StructType([f for f in schemas.CHANGE_LOG.fields if f.name != "batch_id"]),
-    "refused": T.StructType(
-        [T.StructField(n, T.StringType()) for n in ("poll_id", "source", "reason")]
-    ),
+    "change_log": schemas.CHANGE_LOG,
+    "refused": T.StructType([T.StructField(n, T.StringType()) for n in ("poll_id", "source", "reason")]),
 }
+ORDER = ["batch", "step"]
+
+
+@dataclass
+class Manifest:
+    """What the store holds after a batch. ``runs`` lists [folder, rows] per table and bucket, oldest first."""
+
+    batch: int = -1
+    previous: int | None = None
+    buckets: int = BUCKETS
+    runs: dict[str, dict[str, list[list]]] = field(default_factory=dict)
+    bulletin: str | None = None
+    polls: dict[str, dict] = field(default_factory=dict)
+    # runs, and sources and years, that no snapshot has yet
+    unsaved: list[str] = field(default_factory=list)
+    touched: list[list] = field(default_factory=list)
+    snapshot: int | None = None
+
+    def add(self, table: str, folder: str, rows: dict[str, int]) -> None:
+        for bucket, n in rows.items():
+            self.runs.setdefault(table, {}).setdefault(bucket, []).append([folder, n])
+
+
+# --- manifest files ----------------------------------------------------------------------------
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
-def _batches(spark: SparkSession, folder: str) -> list[int]:
-    """Completed batches of a table, oldest first."""
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write beside the file and put it in its place, so that readers see the old text or the new one."""
+    fs, p = _fs(spark, path)
     hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n.startswith("batch=") and fs.exists(hadoop.Path(path, f"{n}/_SUCCESS"))]
-    return sorted(int(n[len("batch="):]) for n in done)
+    beside = hadoop.Path(f"{path}.new")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(p), how)
 
 
-def committed(spark: SparkSession, root: str, table: str, before: int | None = None) -> list[int]:
-    """Batches of a table that readers may see, oldest first."""
-    done = [b for b in _batches(spark, os.path.join(root, table)) if before is None or b < before]
-    if table in ("poll_log", "refused") or not done:
-        return done
-    known = set(_batches(spark, os.path.join(root, "poll_log")))
-    return [b for b in done if b in known]
+def load(spark: SparkSession, root: str, before: int | None = None) -> Manifest | None:
+    """The newest committed manifest, or the newest of a batch below ``before``."""
+    text = _read_text(spark, f"{root}/manifest/current")
+    at = int(text) if text else None
+    while at is not None:
+        found = Manifest(**json.loads(_read_text(spark, f"{root}/manifest/batch={at}.json")))
+        if before is None or found.batch < before:
+            return found
+        at = found.previous
+    return None
 
 
-def write_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
-    rows.select(*SCHEMAS[table].fieldNames()).write.mode("overwrite").parquet(
-        os.path.join(root, table, f"batch={batch_id}")
-    )
+def begin(spark: SparkSession, root: str, batch_id: int, buckets: int = BUCKETS) -> Manifest:
+    """The manifest a batch builds on: a copy of the one before, or an empty one with ``buckets`` buckets."""
+    known = load(spark, root, before=batch_id)
+    if known is None:
+        return Manifest(batch=batch_id, buckets=buckets)
+    new = deepcopy(known)
+    new.batch, new.previous = batch_id, known.batch
+    return new
 
 
-def read_table(
-    spark: SparkSession, root: str, table: str, after: int = -1, before: int | None = None
-) -> DataFrame:
-    """Rows of the committed batches in (after, before), with their ``batch``."""
-    folder = os.path.join(root, table)
-    schema = T.StructType([*SCHEMAS[table].fields, T.StructField("batch", T.LongType())])
-    chosen = [b for b in committed(spark, root, table, before) if b > after]
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    return (
-        spark.read.schema(schema)
-        .option("basePath", folder)
-        .parquet(*[os.path.join(folder, f"batch={b}") for b in chosen])
-    )
+def commit(spark: SparkSession, root: str, manifest: Manifest) -> None:
+    _write_text(spark, f"{root}/manifest/batch={manifest.batch}.json", json.dumps(asdict(manifest)))
+    _write_text(spark, f"{root}/manifest/current", str(manifest.batch))
 
 
 def last_committed(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    done = committed(spark, root, "poll_log", before)
-    return done[-1] if done else None
+    known = load(spark, root, before)
+    return None if known is None else known.batch
+
+
+# --- runs --------------------------------------------------------------------------------------
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+
+
+def write_folder(rows: DataFrame, root: str, table: str, name: str) -> str:
+    """Write rows as ``<table>/<name>``, a plain folder, and return its name below the root."""
+    rows.select(*SCHEMAS[table].fieldNames()).write.mode("overwrite").parquet(f"{root}/{table}/{name}")
+    return f"{table}/{name}"
+
+
+def write_events(rows: DataFrame, root: str, name: str, buckets: int) -> tuple[str, dict[str, int]]:
+    """Write a run of events by bucket; return its folder and the rows per bucket.
+
+    Rows of a bucket come to one task, unless they are many: then the rebalance hint splits them.
+    """
+    target = f"{root}/events/{name}"
+    placed = rows.select(*EVENTS.fieldNames(), bucket_of(buckets).alias("bucket")).hint("rebalance", "bucket")
+    placed.sortWithinPartitions("bucket", *KEY).write.mode("overwrite").partitionBy("bucket").parquet(target)
+    return f"events/{name}", _rows_per_bucket(rows.sparkSession, target)
+
+
+def _rows_per_bucket(spark: SparkSession, target: str) -> dict[str, int]:
+    stored = spark.read.schema("action string, bucket int").parquet(target)
+    return {str(r["bucket"]): r["count"] for r in stored.groupBy("bucket").count().collect()}
+
+
+def _empty(spark: SparkSession, table: str) -> DataFrame:
+    return spark.createDataFrame([], SCHEMAS[table])
+
+
+def read_runs(
+    spark: SparkSession, root: str, manifest: Manifest | None, table: str, buckets: list[str] | None = None
+) -> DataFrame:
+    """All rows of the runs of a table, or of some of its buckets: only their folders are named to the scan."""
+    runs = manifest.runs.get(table, {}) if manifest else {}
+    chosen = sorted(runs) if buckets is None else [b for b in buckets if b in runs]
+    if table == "events":
+        folders = [f"{root}/{folder}/bucket={b}" for b in chosen for folder, _ in runs[b]]
+    else:
+        folders = [f"{root}/{folder}" for b in chosen for folder, _ in runs[b]]
+    if not folders:
+        return _empty(spark, table)
+    return spark.read.schema(SCHEMAS[table]).parquet(*sorted(set(folders)))
+
+
+def read_table(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
+    """Committed rows of a log, or of ``refused``."""
+    if table == "refused":
+        fs, p = _fs(spark, f"{root}/refused")
+        return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/refused/*") if fs.exists(p) else _empty(spark, table)
+    manifest = load(spark, root, before)
+    if table == "bulletin":
+        folder = manifest.bulletin if manifest else None
+        return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{folder}") if folder else _empty(spark, table)
+    return read_runs(spark, root, manifest, table)
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The last row of each key."""
+    rest = [c for c in rows.columns if c not in KEY]
+    latest = F.max_by(F.struct(*rest), F.struct(*ORDER)).alias("v")
+    return rows.groupBy(*KEY).agg(latest).select(*KEY, "v.*")
 
 
 def read_state(
     spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None
 ) -> DataFrame:
-    """The event table after all committed batches before ``before``: the newest base and later changes.
+    """The event table after all committed batches below ``before``.
 
-    With ``keys`` only those events are read; a small key set is broadcast and filters both scans
-    before anything is shuffled.
+    With ``keys`` only those events are read: from their buckets alone, of which there are at most as many as the
+    driver's manifest names, and filtered by key before anything is shuffled.
     """
-    bases = committed(spark, root, "base", before)
-    since = bases[-1] if bases else -1
-    columns = schemas.EVENTS.fieldNames()
-    later = read_table(spark, root, "changes", after=since, before=before).select(
-        F.struct("batch", "step").alias("_at"), *columns
-    )
-    if bases:
-        base = read_table(spark, root, "base", after=since - 1, before=since + 1).select(
-            F.struct(F.lit(-1).cast("bigint").alias("batch"), F.lit(0).alias("step")).alias("_at"),
-            *columns,
-        )
-        later = base.unionByName(later)
+    manifest = load(spark, root, before)
+    buckets = None
+    if keys is not None and manifest is not None:
+        numbers = keys.select(bucket_of(manifest.buckets).alias("b")).distinct().collect()
+        buckets = sorted(str(r["b"]) for r in numbers)
+    rows = read_runs(spark, root, manifest, "events", buckets)
     if keys is not None:
-        later = later.join(keys.select(*KEY).distinct(), KEY, "left_semi")
-    rest = [c for c in columns if c not in KEY]
-    return (
-        later.groupBy(*KEY)
-        .agg(F.max_by(F.struct(*rest), F.col("_at")).alias("v"))
-        .select(*KEY, "v.*")
-        .select(*columns)
-    )
-
-
-def compact(spark: SparkSession, root: str, batch_id: int) -> None:
-    """Write the whole table as of ``batch_id``, so later reads start from it."""
-    write_batch(read_state(spark, root, before=batch_id + 1), root, "base", batch_id)
+        rows = rows.join(keys.select(*KEY).distinct(), KEY, "left_semi")
+    return newest(rows).select(*schemas.EVENTS.fieldNames())
+
+
+def merge_from(runs: list[list], most: int = MOST_RUNS) -> int | None:
+    """From which run on a list is to be merged, if at all.
+
+    A run joins in while it has at most twice the rows of those after it; the list must come down to ``most``.
+    """
+    if len(runs) <= most:
+        return None
+    start, total = len(runs) - 1, runs[-1][1]
+    while start and (runs[start - 1][1] <= 2 * total or start >= most):
+        start -= 1
+        total += runs[start][1]
+    return start
+
+
+def merge_runs(spark: SparkSession, root: str, manifest: Manifest, most: int = MOST_RUNS) -> bool:
+    """Merge the runs of all buckets and logs that have too many, note it in the manifest and tell whether there were any."""
+    merged = False
+    for table, by_bucket in manifest.runs.items():
+        due = {b: at for b, runs in by_bucket.items() if (at := merge_from(runs, most)) is not None}
+        if not due:
+            continue
+        parts = Manifest(runs={table: {b: by_bucket[b][at:] for b, at in due.items()}}, buckets=manifest.buckets)
+        rows = read_runs(spark, root, parts, table)
+        name = f"merge={manifest.batch}"
+        if table == "events":
+            folder, sizes = write_events(newest(rows), root, name, manifest.buckets)
+        else:
+            folder, sizes = write_folder(rows.coalesce(1), root, table, name), {"0": sum(n for _, n in by_bucket["0"][due["0"]:])}
+        for b, at in due.items():
+            by_bucket[b][at:] = [[folder, sizes[b]]]
+        merged = True
+    return merged
+
+
+def expire(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete manifests but the newest ``keep``, and runs and bulletins that these do not name; return how many folders went."""
+    known, at = [], load(spark, root)
+    while at is not None:
+        known.append(at)
+        at = load(spark, root, before=at.batch) if len(known) < max(1, keep) else None
+    used = {m.bulletin for m in known} | {f for m in known for t in m.runs.values() for r in t.values() for f, _ in r}
+    used |= {f for m in known for f in m.unsaved}
+    fs, _ = _fs(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    for table in ("events", "bulletin", "poll_log", "change_log"):
+        for name in _names(spark, f"{root}/{table}"):
+            # a batch that is still being written has a higher number
+            if f"{table}/{name}" not in used and int(name.split("=")[1]) <= known[0].batch:
+                gone += bool(fs.delete(path(f"{root}/{table}/{name}"), True))
+    for name in _names(spark, f"{root}/manifest"):
+        number = name.removeprefix("batch=").removesuffix(".json")
+        if number.isdigit() and int(number) < known[-1].batch:
+            fs.delete(path(f"{root}/manifest/{name}"), True)
+    return gone
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _fs(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from emberlake import schemas
 from emberlake.functions import values
 from emberlake.operators import lifecycle
 from emberlake.operators.lifecycle import KEY
@@ -26,6 +27,8 @@ from emberlake.streaming import store
 logger = logging.getLogger(__name__)
 
 DOCUMENTS = "poll_id string, doc_id string, layer string, payload string"
+# Longest error text kept in the sync state.
+MAX_ERROR = 500
 MARKER = "poll_id string, poll_ts timestamp, documents string, err string"
 
 
@@ -105,59 +108,79 @@ READERS: dict[str, Callable[..., Bulletin]] = {
 }
 
 
-def _poll_row(spark, poll_id, source, at, ok, err=None, cursor=None) -> DataFrame:
-    return spark.createDataFrame([(poll_id, source, at, ok, err, cursor)], store.SCHEMAS["poll_log"])
-
-
 def reconcile_poll(
     spark: SparkSession,
     marker: Row,
     batch_id: int,
     root: str,
     source: str,
-    compact_every: int = 16,
+    most_runs: int = store.MOST_RUNS,
     snapshot_every: int = 1,
     skip_refused: bool = False,
+    buckets: int = store.BUCKETS,
     **limits: int,
 ) -> tuple[int, int, int] | None:
     """Apply one poll to the store and return (inserted, updated, closed).
 
     A failed fetch is logged and changes nothing. A refused poll is set aside in ``refused`` with its
     reason, changes nothing and leaves no log row. It stops the stream, unless ``skip_refused`` says to go on
-    with the next poll.
+    with the next poll. ``buckets`` counts when the store is begun and holds for its life.
     """
     try:
-        _in_order(spark, root, marker, batch_id)
-        return _apply_poll(spark, marker, batch_id, root, source, compact_every, snapshot_every, **limits)
+        manifest = store.begin(spark, root, batch_id, buckets)
+        _in_order(manifest, marker, source)
+        counts = _apply_poll(spark, marker, manifest, root, source, **limits)
     except RefusedPoll as problem:
         logger.warning("%s poll %s not applied: %s", source, marker["poll_id"], problem)
         row = spark.createDataFrame([(marker["poll_id"], source, str(problem))], store.SCHEMAS["refused"])
-        store.write_batch(row, root, "refused", batch_id)
+        store.write_folder(row, root, "refused", f"batch={batch_id}")
         if not skip_refused:
             raise
         return None
+    store.commit(spark, root, manifest)
+    # what follows is upkeep of a committed state; a batch that is lost here is caught up by the next
+    kept = bool(snapshot_every) and _refresh_snapshot(spark, root, manifest, snapshot_every)
+    if store.merge_runs(spark, root, manifest, most_runs) or kept:
+        store.commit(spark, root, manifest)
+    return counts
 
 
-def _in_order(spark: SparkSession, root: str, marker: Row, batch_id: int) -> None:
+def _in_order(manifest: store.Manifest, marker: Row, source: str) -> None:
     """Polls are full sets: one from before the last applied poll would undo it."""
-    last = store.read_table(spark, root, "poll_log", before=batch_id).agg(F.max("ts")).first()[0]
-    if last is not None and marker["poll_ts"] < last:
+    last = manifest.polls.get(source)
+    if last is not None and _instant(marker["poll_ts"]) < last["last_run_at"]:
         raise RefusedPoll("the poll is older than the last one")
 
 
+def _instant(moment: dt.datetime) -> str:
+    """UTC text of a moment that sorts like it. A row's moment without zone is one of the driver's zone."""
+    return moment.astimezone(dt.timezone.utc).isoformat(timespec="microseconds")
+
+
+def _log_poll(spark, root, manifest, source, marker, ok, err=None, cursor=None) -> None:
+    """Add the poll to the log, and to the fold of the log that the manifest carries."""
+    row = spark.createDataFrame(
+        [(marker["poll_id"], source, marker["poll_ts"], ok, err, cursor)], store.SCHEMAS["poll_log"]
+    )
+    manifest.add("poll_log", store.write_folder(row.coalesce(1), root, "poll_log", f"batch={manifest.batch}"), {"0": 1})
+    state = manifest.polls.setdefault(
+        source, {"last_success_at": None, "cursor": None, "last_error": None, "consecutive_failures": 0}
+    )
+    state["last_run_at"] = _instant(marker["poll_ts"])
+    if ok:
+        state |= {"last_success_at": state["last_run_at"], "last_error": None, "consecutive_failures": 0}
+        state["cursor"] = state["cursor"] if cursor is None else cursor
+    else:
+        state["consecutive_failures"] += 1
+        state["last_error"] = (err or "")[:MAX_ERROR]
+
+
 def _apply_poll(
-    spark: SparkSession,
-    marker: Row,
-    batch_id: int,
-    root: str,
-    source: str,
-    compact_every: int,
-    snapshot_every: int,
-    **limits: int,
+    spark: SparkSession, marker: Row, manifest: store.Manifest, root: str, source: str, **limits: int
 ) -> tuple[int, int, int] | None:
+    batch_id = manifest.batch
     if marker["err"] is not None:
-        row = _poll_row(spark, marker["poll_id"], source, marker["poll_ts"], False, marker["err"])
-        store.write_batch(row, root, "poll_log", batch_id)
+        _log_poll(spark, root, manifest, source, marker, False, marker["err"])
         return None
     documents = spark.read.schema(DOCUMENTS).parquet(marker["documents"])
     bulletin = READERS[source](documents, **limits)
@@ -167,17 +190,17 @@ def _apply_poll(
     wanted = rows.select(*KEY)
     if bulletin.watched is not None:
         watched = materialised(bulletin.watched, "watched")
-        previous = _previous_bulletin(spark, root, batch_id)
+        previous = store.read_table(spark, root, "bulletin", before=batch_id)
         wanted = wanted.unionByName(previous)
     messages = None
     if bulletin.messages is not None:
         messages = materialised(bulletin.messages, "messages")
         wanted = wanted.unionByName(lifecycle.superseded(messages).select(*KEY))
     # The events this poll can touch at all; the steps below run on them alone.
-    state = materialised(store.read_state(spark, root, before=batch_id, keys=wanted), "state")
+    known = materialised(store.read_state(spark, root, before=batch_id, keys=wanted), "state")
 
-    steps = [lifecycle.reconcile(state, rows, at).withColumn("closings", F.lit(1))]
-    state = lifecycle.apply_changes(state, steps[0])
+    steps = [lifecycle.reconcile(known, rows, at).withColumn("closings", F.lit(1))]
+    state = lifecycle.apply_changes(known, steps[0])
     if messages is not None:
         state = materialised(state, "state")
         steps.append(lifecycle.close_superseded(state, messages, at))
@@ -188,46 +211,44 @@ def _apply_poll(
         steps.append(gone.withColumn("closings", F.lit(1)))
     changes = None
     for number, step in enumerate(steps):
-        step = step.withColumn("step", F.lit(number))
+        step = step.withColumn("step", F.lit(number)).withColumn("batch", F.lit(batch_id).cast("bigint"))
         changes = step if changes is None else changes.unionByName(step)
     changes = materialised(changes, "changes")
     counted = lifecycle.change_counts(changes).first()
     counts = (counted["inserted"], counted["updated"], counted["closed"]) if counted else (0, 0, 0)
 
     if bulletin.watched is not None:
-        store.write_batch(watched, root, "bulletin", batch_id)
+        manifest.bulletin = store.write_folder(watched, root, "bulletin", f"batch={batch_id}")
     if any(counts):
-        store.write_batch(changes, root, "changes", batch_id)
-        entry = spark.createDataFrame([(source, *counts)], store.SCHEMAS["change_log"])
-        store.write_batch(entry, root, "change_log", batch_id)
-    row = _poll_row(
-        spark, marker["poll_id"], source, marker["poll_ts"], True, cursor=bulletin.cursor
-    )
-    store.write_batch(row, root, "poll_log", batch_id)
-    if snapshot_every:
-        _refresh_snapshot(spark, root, batch_id, snapshot_every)
-    if batch_id and batch_id % compact_every == 0:
-        store.compact(spark, root, batch_id)
+        folder, sizes = store.write_events(changes, root, f"batch={batch_id}", manifest.buckets)
+        manifest.add("events", folder, sizes)
+        manifest.unsaved.append(folder)
+        manifest.touched = sorted({*map(tuple, manifest.touched), *_places(known, changes)})
+        entry = spark.createDataFrame([(batch_id, source, *counts)], store.SCHEMAS["change_log"])
+        manifest.add("change_log", store.write_folder(entry, root, "change_log", f"batch={batch_id}"), {"0": 1})
+    _log_poll(spark, root, manifest, source, marker, True, cursor=bulletin.cursor)
     return counts
 
 
-def _refresh_snapshot(spark: SparkSession, root: str, batch_id: int, every: int) -> None:
-    """Write the committed state if it changed since the last snapshot and that is old enough."""
-    done = [v for v in snapshot.versions(spark, f"{root}/snapshot") if v < batch_id]
-    changed = store.committed(spark, root, "changes", before=batch_id + 1)
-    since = done[-1] if done else None
-    if not changed or (since is not None and (changed[-1] <= since or batch_id - since < every)):
-        return
-    state = store.read_state(spark, root, before=batch_id + 1)
-    snapshot.write_snapshot(
-        state.select(*snapshot.schemas.SNAPSHOT.fieldNames()), f"{root}/snapshot", version=batch_id
-    )
+def _places(known: DataFrame, changes: DataFrame) -> list[tuple[str, int]]:
+    """Sources and years the changed events were in before; at most one row per source and year."""
+    were = known.join(changes.select(*KEY), KEY, "left_semi").select("source", F.year("starts_at").alias("year"))
+    return [(r["source"], r["year"]) for r in were.distinct().collect()]
+
 
+def _refresh_snapshot(spark: SparkSession, root: str, manifest: store.Manifest, every: int) -> bool:
+    """Write what changed since the last snapshot as a new version, if that is old enough; tell whether one was written.
 
-def _previous_bulletin(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    earlier = store.committed(spark, root, "bulletin", before=batch_id)
-    last = earlier[-1] if earlier else batch_id
-    return store.read_table(spark, root, "bulletin", after=last - 1, before=batch_id).select(*KEY)
+    Only the sources and years of changed events are rewritten.
+    """
+    if not manifest.unsaved or (manifest.snapshot is not None and manifest.batch - manifest.snapshot < every):
+        return False
+    rows = spark.read.schema(store.EVENTS).parquet(*[f"{root}/{folder}" for folder in manifest.unsaved])
+    changed = materialised(store.newest(rows).select(*snapshot.schemas.SNAPSHOT.fieldNames()), "changed")
+    touched = [tuple(t) for t in manifest.touched]
+    snapshot.update_snapshot(changed, touched, f"{root}/snapshot", version=manifest.batch)
+    manifest.snapshot, manifest.unsaved, manifest.touched = manifest.batch, [], []
+    return True
 
 
 def start_sync(
@@ -286,16 +307,27 @@ def land_poll(
 
 
 def change_log(spark: SparkSession, root: str) -> DataFrame:
-    rows = store.read_table(spark, root, "change_log")
-    return rows.select(F.col("batch").alias("batch_id"), "source", "inserted", "updated", "closed")
+    return store.read_table(spark, root, "change_log")
 
 
 def poll_log(spark: SparkSession, root: str) -> DataFrame:
-    return store.read_table(spark, root, "poll_log").drop("batch")
+    return store.read_table(spark, root, "poll_log")
+
+
+def sync_state(spark: SparkSession, root: str) -> DataFrame:
+    """Last run, last success, cursor, error and failures per source, from the fold in the manifest: no log is read."""
+    manifest = store.load(spark, root)
+    fields = schemas.SYNC_STATE.fieldNames()
+    moments = ("last_run_at", "last_success_at")
+    rows = []
+    for source, state in (manifest.polls if manifest else {}).items():
+        given = {k: dt.datetime.fromisoformat(v) if k in moments and v else v for k, v in state.items()}
+        rows.append(tuple((given | {"source": source})[f] for f in fields))
+    return spark.createDataFrame(rows, schemas.SYNC_STATE)
 
 
 def refused_polls(spark: SparkSession, root: str) -> DataFrame:
-    return store.read_table(spark, root, "refused").drop("batch")
+    return store.read_table(spark, root, "refused")
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:

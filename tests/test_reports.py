@@ -110,7 +110,7 @@ def test_missing_snapshot_is_empty(spark, areas):
 def test_unfinished_version_is_ignored(spark, fires, tmp_path):
     root = str(tmp_path / "snap")
     snapshot.write_snapshot(fires.select(*schemas.SNAPSHOT.fieldNames()), root, version=1)
-    (tmp_path / "snap" / "v=2").mkdir()
+    (tmp_path / "snap" / "files" / "v=2").mkdir()
     assert snapshot.versions(spark, root) == [1]
     assert snapshot.read_snapshot(spark, root).count() == 6
     assert snapshot.read_snapshot(spark, root, years=(2025, 2025)).count() == 1
@@ -315,6 +315,48 @@ def test_plans_have_no_cartesian_or_nested_loop_joins(spark, fires, areas):
         assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
 
 
+@pytest.fixture(scope="module")
+def spread(spark, tmp_path_factory):
+    """Three years of events all over a 40 x 40 degree field, and the snapshot that stores them."""
+    rnd = random.Random(3)
+    rows = [
+        event(f"e{i}", point(rnd.uniform(-20, 20), rnd.uniform(20, 60)), starts_at=at(1 + i % 12, 2023 + i % 3, 1 + i % 28))
+        for i in range(900)
+    ]
+    df = events_frame(spark, rows).select(*schemas.SNAPSHOT.fieldNames()).cache()
+    root = str(tmp_path_factory.mktemp("spread") / "snap")
+    snapshot.write_snapshot(df, root, version=0, files=72)
+    return df, root
+
+
+def test_a_box_opens_only_the_files_around_it(spark, spread):
+    df, root = spread
+    files = snapshot.files_of(spark, root, 0).count()
+    for box in ((3, 40, 4, 41), (-20, 20, 20, 60), (100, 0, 101, 1)):
+        got = snapshot.read_snapshot(spark, root, bbox=box)
+        assert {r["id"] for r in got.collect()} == {r["id"] for r in filters.filter_bbox(df, box).collect()}
+    opened = len(snapshot.read_snapshot(spark, root, bbox=(3, 40, 4, 41)).inputFiles())
+    assert files >= 60 and 0 < opened <= files // 4
+    only = snapshot.read_snapshot(spark, root, bbox=(3, 40, 4, 41), years=(2024, 2024)).inputFiles()
+    assert len(only) <= files // 8 and all("year=2024" in f for f in only)
+
+
+def test_a_page_opens_one_year_when_that_fills_it(spark, spread):
+    df, root = spread
+    key, seen = None, []
+    page = snapshot.read_page(spark, root, limit=100)
+    assert {f.split("year=")[1][:4] for f in page.inputFiles()} == {"2025"}
+    while True:
+        got = snapshot.read_page(spark, root, limit=100, after=key).select("starts_at", "id").collect()
+        key = filters.next_key(got, 100)
+        seen += [r["id"] for r in got[:100]]
+        if key is None:
+            break
+    want = df.orderBy(F.desc("starts_at"), F.desc("id")).select("id").collect()
+    assert seen == [r["id"] for r in want]
+    assert snapshot.read_page(spark, root + "-none").count() == 0
+
+
 def test_filters_reach_the_scan(spark, fires, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     root = str(tmp_path / "scan")
@@ -324,7 +366,7 @@ def test_filters_reach_the_scan(spark, fires, tmp_path):
     pushed = text[text.index("PushedFilters"):]
     for piece in ("LessThanOrEqual(geom.minx,1.0)", "GreaterThanOrEqual(geom.maxy,0.0)", "severity,2", "starts_at"):
         assert piece in pushed
-    year = plan(reports.quake_frequency(snapshot.read_snapshot(spark, root, source="ign", years=(2026, 2026)), year=2026))
+    year = plan(reports.quake_frequency(snapshot.read_snapshot(spark, root, source="effis", years=(2026, 2026)), year=2026))
     assert "PartitionFilters: [isnotnull(source" in year and "attrs:string" in year and "geom" not in year
 
 

@@ -49,7 +49,7 @@ def test_fires_close_reopen_and_survive_failures(spark, tmp_path):
     land(spark, landed, 2, None, err="timeout" * 100)
     land(spark, landed, 3, {"hotspots": [none], "burnt_areas": [collection(area(fire_id=None))]})
     land(spark, landed, 4, {"hotspots": [none], "burnt_areas": [collection(area(), area(fire_id="78"))]})
-    sync.sync_wildfires(spark, landed, root, compact_every=2, skip_refused=True)
+    sync.sync_wildfires(spark, landed, root, most_runs=1, skip_refused=True)
     # One file holds everything that happened; the unreadable poll closed nothing.
     assert log(spark, root) == {0: (2, 0, 0), 1: (0, 0, 1), 4: (0, 1, 0)}
     assert ends(spark, root) == {"ba-77": None, "ba-78": None}
@@ -62,7 +62,7 @@ def test_fires_close_reopen_and_survive_failures(spark, tmp_path):
 
     # A later empty poll closes everything; the stream goes on from its checkpoint.
     land(spark, landed, 5, {"hotspots": [none], "burnt_areas": [none]})
-    sync.sync_wildfires(spark, landed, root, compact_every=2)
+    sync.sync_wildfires(spark, landed, root, most_runs=1)
     assert log(spark, root)[5] == (0, 0, 2)
     assert ends(spark, root) == {"ba-77": text(5), "ba-78": text(5)}
     assert snapshot.read_snapshot(spark, f"{root}/snapshot").where("ends_at is null").count() == 0
@@ -139,14 +139,99 @@ def test_readers_see_committed_batches_only(spark, tmp_path):
     landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
     land(spark, landed, 0, {"hotspots": [collection()], "burnt_areas": [collection(area())]})
     sync.sync_wildfires(spark, landed, root)
-    rows = store.read_table(spark, root, "changes")
-    planted = rows.withColumn("external_id", F.lit("planted"))
-    for table in ("changes", "base", "bulletin"):
-        columns = store.SCHEMAS[table].fieldNames()
-        store.write_batch(planted.select(*columns), root, table, 99)
+    kept = store.load(spark, root)
+    planted = store.read_runs(spark, root, kept, "events").withColumn("external_id", F.lit("planted"))
+    store.write_events(planted, root, "batch=99", kept.buckets)
+    store.write_folder(planted, root, "bulletin", "batch=99")
     assert set(ends(spark, root)) == {"ba-77"}
-    assert store.read_table(spark, root, "bulletin").count() == 1
-    assert sync._previous_bulletin(spark, root, 100).first()["external_id"] == "ba-77"
+    assert store.read_table(spark, root, "bulletin").first()["external_id"] == "ba-77"
+    # a manifest without the pointer to it is no commit either
+    late = store.begin(spark, root, 99)
+    late.add("events", "events/batch=99", {str(b): 1 for b in range(late.buckets)})
+    store._write_text(spark, f"{root}/manifest/batch=99.json", json.dumps(store.asdict(late)))
+    assert set(ends(spark, root)) == {"ba-77"} and store.last_committed(spark, root) == 0
+
+
+def fires(n, **more):
+    return collection(*[area(fire_id=str(i), **more) for i in range(n)])
+
+
+def test_a_poll_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    land(spark, landed, 0, {"hotspots": [collection()], "burnt_areas": [fires(60)]})
+    sync.sync_wildfires(spark, landed, root)
+    manifest = store.load(spark, root)
+    assert len(manifest.runs["events"]) > 10
+    keys = spark.createDataFrame([("effis", "ba-7"), ("effis", "ba-none")], "source string, external_id string")
+    state = store.read_state(spark, root, keys=keys)
+    wanted = {f"bucket={r[0]}" for r in keys.select(store.bucket_of(manifest.buckets)).collect()}
+    read = {part for f in state.inputFiles() for part in f.split("/") if part.startswith("bucket=")}
+    assert read and read <= wanted and [r["external_id"] for r in state.collect()] == ["ba-7"]
+
+
+def test_bytes_written_follow_the_poll(spark, tmp_path):
+    """Forty polls that each revise one fire of sixty: merges rewrite small runs, and the first run stays."""
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    land(spark, landed, 0, {"hotspots": [collection()], "burnt_areas": [fires(60)]})
+    sync.sync_wildfires(spark, landed, root, snapshot_every=0)
+    state = store.read_state(spark, root).cache()
+    written = 0
+    for n in range(1, 40):
+        manifest = store.begin(spark, root, n)
+        row = state.where(F.col("external_id") == f"ba-{n % 3}").withColumn("severity", F.lit(1).cast("short"))
+        row = row.withColumns({"action": F.lit("updated"), "batch": F.lit(n).cast("bigint"), "step": F.lit(0)})
+        folder, sizes = store.write_events(row, root, f"batch={n}", manifest.buckets)
+        manifest.add("events", folder, sizes)
+        before = {f for b in manifest.runs["events"].values() for f, _ in b}
+        store.merge_runs(spark, root, manifest, most=4)
+        store.commit(spark, root, manifest)
+        merged = [(f, k) for b in manifest.runs["events"].values() for f, k in b if f not in before]
+        written += sum(k for _, k in merged) + 1
+    runs = store.load(spark, root).runs["events"]
+    assert all(len(r) <= 4 for r in runs.values()) and any(r[0][0] == "events/batch=0" for r in runs.values())
+    assert written < 39 * 8
+    got = {r["external_id"]: r["severity"] for r in store.read_state(spark, root).collect()}
+    assert len(got) == 60 and {got[f"ba-{i}"] for i in range(3)} == {1} and got["ba-5"] != 1
+    assert store.expire(spark, root, keep=1) > 20
+    assert store.read_state(spark, root).count() == 60
+
+
+def test_merge_keeps_sizes_apart():
+    assert store.merge_from([["a", 9], ["b", 1]], 2) is None
+    assert store.merge_from([["a", 1000], ["b", 10], ["c", 1], ["d", 1]], 3) == 2
+    assert store.merge_from([["a", 1000], ["b", 3], ["c", 1], ["d", 1]], 3) == 1
+    assert store.merge_from([["a", 1], ["b", 1], ["c", 1]], 2) == 0
+    assert store.merge_from([["a", 10**6], ["b", 10**4], ["c", 100], ["d", 1]], 2) == 1
+
+
+def test_sync_state_is_the_fold_of_the_log(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    none = collection()
+    for n, layers in enumerate([None, {"hotspots": [none], "burnt_areas": [collection(area())]}, None, None]):
+        land(spark, landed, n, layers, err="timeout" if layers is None else None)
+        sync.sync_wildfires(spark, landed, root, most_runs=2)
+        assert sync.sync_state(spark, root).collect() == status.sync_state(sync.poll_log(spark, root)).collect()
+    assert sync.sync_state(spark, root).first()["consecutive_failures"] == 2
+    assert len(store.load(spark, root).runs["poll_log"]["0"]) <= 2 and sync.poll_log(spark, root).count() == 4
+
+
+def test_a_one_event_poll_rewrites_one_year_of_the_snapshot(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    dated = [area(fire_id=str(y), initialdate=f"{y}-03-01 00:00:00") for y in range(2015, 2025)]
+    land(spark, landed, 0, {"hotspots": [collection()], "burnt_areas": [collection(*dated)]})
+    dated[4] = area(fire_id="2019", initialdate="2021-03-02 00:00:00")
+    land(spark, landed, 1, {"hotspots": [collection()], "burnt_areas": [collection(*dated)]})
+    sync.sync_wildfires(spark, landed, root)
+    folder = f"{root}/snapshot"
+    assert snapshot.versions(spark, folder) == [0, 1]
+    first, second = ({r["path"] for r in snapshot.files_of(spark, folder, v).collect()} for v in (0, 1))
+    assert len(first) == 10 and {p.split("/")[2] for p in second - first} == {"year=2021"}
+    assert {p.split("/")[2] for p in first - second} == {"year=2019", "year=2021"}
+    rows = {r["external_id"]: r["y"] for r in snapshot.read_snapshot(spark, folder).selectExpr("external_id", "year(starts_at) y").collect()}
+    assert len(rows) == 10 and rows["ba-2019"] == 2021 and rows["ba-2021"] == 2021
+    old = {r["external_id"]: r["y"] for r in snapshot.read_snapshot(spark, folder, version=0).selectExpr("external_id", "year(starts_at) y").collect()}
+    assert old["ba-2019"] == 2019
+    assert snapshot.expire(spark, folder, keep=1) == 2 and snapshot.read_snapshot(spark, folder).count() == 10
 
 
 def test_snapshot_follows_later_changes(spark, tmp_path):
