@@ -72,25 +72,30 @@ def _documents(rows, head: str, glue: str, tail: str):
 
 
 def quake_documents(spark, d):
-    """GeoRSS feeds of a third of the orders; the order's moment is the local time."""
+    """GeoRSS feeds of all orders; the order's moment is the local time. Wordings vary: words repeated elsewhere, line breaks,
+    regions that hold the words around them."""
     k = F.col("key")
-    odd = F.floor(k / 3) % 40
+    odd, way = F.floor(k / 3) % 40, k % 5
     magnitude = F.concat(F.floor((10 + (k * 13) % 60) / 10).cast("string"), F.lit("."),
-                         ((10 + (k * 13) % 60) % 10).cast("string"))
+                         ((10 + (k * 13) % 60) % 10).cast("string"), F.when(odd == 6, F.lit(".4")).otherwise(""))
     page = F.lit("http://www.example.org/web/quake/detail")
     link = F.concat(page, F.when(odd != 0, F.concat(F.lit("?evid=es"), k.cast("string"))).otherwise(""))
     text = F.concat(
-        F.lit("Se ha producido un terremoto de "),
-        F.when(odd == 3, "intensidad").otherwise("magnitud"), F.lit(" "), magnitude,
-        F.lit(" en COMARCA "), (k % 7).cast("string"), F.lit(" NORTE en la fecha "),
-        F.date_format("at", "dd/MM/yyyy H:mm:ss"), F.lit(" en la siguiente localización"),
+        F.when(way == 1, "aviso: magnitud revisada en la fecha de hoy. ").otherwise("Registrado un "),
+        F.lit("terremoto de "),
+        F.when(odd == 3, "intensidad").otherwise("magnitud"), F.when(way == 2, "\n").otherwise(" "), magnitude,
+        F.when(way == 3, "\t en\n").otherwise(" en "), _quake_region(k),
+        F.when(way == 2, "\u00a0en la fecha\n").otherwise(" en la fecha "),
+        F.date_format("at", "dd/MM/yyyy"), F.when(way == 3, "\n").otherwise(" "),
+        F.date_format("at", "H:mm"), F.when(odd == 7, "").otherwise(F.date_format("at", ":ss")),
+        F.lit(" en la siguiente localización"),
     )
     lat = F.when(odd == 1, F.lit("96.5")).otherwise(_degrees(_lat(k)))
     lon = F.when(odd == 2, F.lit("nan")).when(odd == 5, F.lit("1e999")).otherwise(_degrees(_lon(k)))
     item = _element(
         "item",
         F.concat(
-            _element("title", F.lit("-Info.terremoto")),
+            _element("title", F.lit("Parte de prueba")),
             _element("link", link),
             _element("description", text),
             F.when(odd != 4, _element("guid", link)).otherwise(""),
@@ -98,7 +103,7 @@ def quake_documents(spark, d):
             _element("geo:long", lon),
         ),
     )
-    rows = _orders(spark, d).where(k % 3 == 1).select("key", item.alias("piece"))
+    rows = _orders(spark, d).select("key", item.alias("piece"))
     return _documents(
         rows,
         '<?xml version="1.0" encoding="UTF-8"?><rss xmlns:geo="http://www.w3.org/2003/01/geo/wgs84_pos#" '
@@ -108,6 +113,11 @@ def quake_documents(spark, d):
     )
 
 
+def _quake_region(k: Column) -> Column:
+    extra = F.when(k % 5 == 4, " en la fecha prevista").otherwise("")
+    return F.concat(F.lit("COMARCA "), (k % 7).cast("string"), extra, F.lit(" NORTE"))
+
+
 def ingest_quakes(spark, d):
     good, _, _ = feeds.split_malformed(feeds.ingest_quakes(quake_documents(spark, d)))
     return good.select(
@@ -148,16 +158,17 @@ SUMMER = (
 
 QUAKES_SQL = f"""WITH {ORD}
 SELECT CAST(doc AS VARCHAR) AS poll_id, 'es' || key AS external_id,
-  (10 + (key * 13) % 60) / 10.0::DOUBLE AS magnitude, 'COMARCA ' || (key % 7) || ' NORTE' AS region,
+  (10 + (key * 13) % 60) / 10.0::DOUBLE AS magnitude, 
+  'COMARCA ' || (key % 7) || CASE WHEN key % 5 = 4 THEN ' en la fecha prevista' ELSE '' END || ' NORTE' AS region,
   strftime(t0, '%d/%m/%Y ') || hour(t0) || strftime(t0, ':%M:%S') AS raw_local_moment,
   t0 - CASE WHEN {SUMMER} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS occurred_at,
   lat_m, lon_m
-FROM o WHERE key % 3 = 1 AND {READABLE} AND (key // 3) % 40 NOT IN (0, 1, 2, 3, 5)"""
+FROM o WHERE {READABLE} AND (key // 3) % 40 NOT IN (0, 1, 2, 3, 5, 6, 7)"""
 
-GATE_SQL = f"""WITH {ORD}, q AS (SELECT *, (key // 3) % 40 AS odd FROM o WHERE key % 3 = 1),
+GATE_SQL = f"""WITH {ORD}, q AS (SELECT *, (key // 3) % 40 AS odd FROM o),
 g AS (SELECT doc, CASE WHEN doc % {BROKEN} = 0 THEN 1 WHEN doc % {EMPTY} = 0 THEN 0
                        ELSE count(*) END AS units,
-  CASE WHEN {READABLE} THEN count(*) FILTER (odd NOT IN (0, 1, 2, 3, 5)) ELSE 0 END AS good
+  CASE WHEN {READABLE} THEN count(*) FILTER (odd NOT IN (0, 1, 2, 3, 5, 6, 7)) ELSE 0 END AS good
   FROM q GROUP BY doc)
 SELECT CAST(doc AS VARCHAR) AS poll_id, units, good,
   CASE WHEN units = 0 THEN 'empty' WHEN good = 0 THEN 'failed' ELSE 'ok' END AS verdict FROM g"""
@@ -188,7 +199,7 @@ def hotspot_documents(spark, d):
     pair = F.concat(F.lit("["), lat, F.lit(","), _degrees(_lon(k)), F.lit("]"))
     coordinates = F.when(odd == 4, F.lit("[]")).otherwise(pair)
     kind = F.when(odd == 5, "LineString").otherwise("Point")
-    rows = _orders(spark, d).where(k % 6 == 0).select(
+    rows = _orders(spark, d).select(
         "key", _feature(properties, kind, coordinates).alias("piece")
     )
     return _documents(rows, *COLLECTION)
@@ -208,7 +219,7 @@ SELECT CAST(doc AS VARCHAR) AS poll_id, 'hs-' || key AS external_id, t0 AS obser
   '{{"product":"all.hs","class":"' || CASE WHEN (key // 6) % 30 = 2 THEN '' ELSE '7DAYS_N' END
     || '","raw_acquired_at":"' || strftime(t0, '%Y-%m-%d %H:%M:%S') || '","kind":"hotspot"}}' AS attrs,
   lon_m, lat_m
-FROM o WHERE key % 6 = 0 AND {READABLE} AND (key // 6) % 30 NOT IN (0, 1, 3, 4, 5)"""
+FROM o WHERE {READABLE} AND (key // 6) % 30 NOT IN (0, 1, 3, 4, 5)"""
 
 
 def burnt_area_documents(spark, d):
@@ -243,7 +254,7 @@ def burnt_area_documents(spark, d):
         .otherwise(F.concat(F.lit("["), ring(x), F.lit("]")))
     )
     kind = F.when(odd == 8, "Point").when(twin, "MultiPolygon").otherwise("Polygon")
-    rows = _orders(spark, d).where(k % 6 == 3).select(
+    rows = _orders(spark, d).select(
         "key", _feature(properties, kind, coordinates).alias("piece")
     )
     return _documents(rows, *COLLECTION)
@@ -270,7 +281,7 @@ SELECT CAST(doc AS VARCHAR) AS poll_id, 'ba-' || key AS external_id, t0 AS obser
   lon_m - 1 - key % 20 AS west_m,
   lon_m + (1 + key % 20) * CASE WHEN key % 12 = 9 THEN 5 ELSE 1 END AS east_m,
   lat_m + 1 + key % 20 AS north_m
-FROM o WHERE key % 6 = 3 AND {READABLE} AND (key // 6) % 30 NOT IN (0, 2, 3, 4, 5, 6, 7, 8)"""
+FROM o WHERE {READABLE} AND (key // 6) % 30 NOT IN (0, 2, 3, 4, 5, 6, 7, 8)"""
 
 
 def _named_value(tag: str, name: str, value: Column) -> Column:
@@ -343,7 +354,7 @@ def warning_documents(spark, d):
         body,
         F.when(odd == 2, F.lit("")).otherwise("</alert>"),
     )
-    return _orders(spark, d).where(k % 3 == 2).select(
+    return _orders(spark, d).select(
         F.floor(k / 300).cast("string").alias("poll_id"),
         F.concat(F.lit("cap-"), F.lpad(k.cast("string"), 12, "0")).alias("doc_id"),
         payload.alias("payload"),
@@ -360,7 +371,7 @@ def ingest_warnings(spark, d):
     )
 
 
-WARNINGS = f"""{ORD}, w AS (SELECT *, key // 3 AS n, (key // 3) % 50 AS odd FROM o WHERE key % 3 = 2),
+WARNINGS = f"""{ORD}, w AS (SELECT *, key // 3 AS n, (key // 3) % 50 AS odd FROM o),
 m AS (SELECT *, CASE WHEN odd % 10 = 9 THEN 'Cancel' WHEN odd % 10 = 4 THEN 'Update'
                      ELSE 'Alert' END AS msg_type FROM w),
 r AS (SELECT CAST(key // 300 AS VARCHAR) AS poll_id, 'cap-' || key AS external_id, msg_type,

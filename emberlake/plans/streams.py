@@ -210,7 +210,7 @@ def _quake_documents(spark, d, poll: int):
             _element("geo:long", (-9 + k % 11).cast("string")),
         ),
     )
-    rows = table(spark, d, "orders").where((k % 3 == 1) & ((k % 4 == poll) | again))
+    rows = table(spark, d, "orders").where((k % 4 == poll) | again)
     return (
         rows.select(F.floor(k / 600).alias("chunk"), F.struct(k.alias("k"), item.alias("text")).alias("piece"))
         .groupBy("chunk")
@@ -255,8 +255,7 @@ QUAKES_SQL = f"""WITH q AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS revise
           last_day(make_date(CAST(year(o_orderdate) AS INTEGER), 3, 1))) AS INTEGER) AS s,
         last_day(make_date(CAST(year(o_orderdate) AS INTEGER), m, 1)) - CAST(dayofweek(
           last_day(make_date(CAST(year(o_orderdate) AS INTEGER), m, 1))) AS INTEGER) AS e
-        FROM (SELECT *, CASE WHEN year(o_orderdate) = 1995 THEN 9 ELSE 10 END AS m FROM orders))
-  WHERE o_orderkey % 3 = 1)
+        FROM (SELECT *, CASE WHEN year(o_orderdate) = 1995 THEN 9 ELSE 10 END AS m FROM orders)))
 SELECT 'es' || k AS external_id, CAST(CASE WHEN tenths >= 55 THEN 4 WHEN tenths >= 40 THEN 3
     WHEN tenths >= 30 THEN 2 ELSE 1 END AS SMALLINT) AS severity,
   t AS starts_at, t AS ends_at, tenths / 10.0::DOUBLE AS magnitude,

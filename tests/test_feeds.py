@@ -44,6 +44,34 @@ def test_quake_item(spark):
     assert row["severity"] == 2 and row["starts_at"] == row["ends_at"]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("aviso: magnitud revisada. terremoto de magnitud 3.2 en A en la fecha 14/03/2025 9:41:05 en", ("3.2", "A")),
+        ("magnitud\n3.2 en A en la fecha 14/03/2025 9:41:05", ("3.2", "A")),
+        ("magnitud 3 en A en la fecha\n14/03/2025\t09:41:05.", ("3", "A")),
+        ("magnitud 3.2 en  GOLFO  DE en  la\u00a0en la fecha 14/03/2025 9:41:05", ("3.2", "GOLFO  DE en  la")),
+        ("magnitud 2.1 en A en la fecha de ayer en la fecha 14/03/2025 9:41:05", ("2.1", "A en la fecha de ayer")),
+        ("magnitud 9 en A en la fecha. magnitud 1.5 en B en la fecha 14/03/2025 9:41:05", ("9", "A en la fecha. magnitud 1.5 en B")),
+        ("magnitud 1.2.3 en A en la fecha 14/03/2025 9:41:05", None),
+        ("magnitud . en A en la fecha 14/03/2025 9:41:05", None),
+        ("magnitud 3.2 en A en la fecha 14/03/2025 9:41", None),
+        ("magnitud 3.2 en en la fecha 14/03/2025 9:41:05", None),
+        ("", None),
+    ],
+)
+def test_quake_wordings(spark, text, want):
+    item = ITEM.replace(ITEM.split("<description>")[1].split("</description>")[0], text)
+    rows = feeds.ingest_quakes(documents(spark, [rss(item)])).select(
+        "parse_ok", "magnitude", "region", F.col("occurred_at").cast("string").alias("t"), "raw_local_moment"
+    ).collect()
+    assert [r["parse_ok"] for r in rows] == [want is not None]
+    if want:
+        r = rows[0]
+        assert (r["magnitude"], r["region"]) == (float(want[0]), want[1])
+        assert r["t"] == "2025-03-14 08:41:05" and r["raw_local_moment"].split(" ")[0] == "14/03/2025"
+
+
 def test_malformed_quake_items_are_skipped_and_bad_feeds_told_apart(spark):
     bad = [
         ITEM.replace("?evid=es2025tq7", ""),
@@ -74,23 +102,23 @@ def collection(*features):
 
 
 def area(geometry=None, **props):
-    base = {"id": "1", "fire_id": "77", "initialdate": "2025-08-11 06:30:00",
+    base = {"id": "9", "fire_id": "501", "initialdate": "2025-08-11 06:30:00",
             "finaldate": "2025-08-12 18:45:00", "area": "52"}
     base.update(props)
     base = {k: v for k, v in base.items() if v is not None}
-    ring = [[42.0, -4.0], [42.1, -4.0], [42.1, -4.1], [42.0, -4.0]]
+    ring = [[39.2, -2.5], [39.3, -2.5], [39.25, -2.3], [39.2, -2.5]]
     return {"type": "Feature", "properties": base,
             "geometry": geometry or {"type": "Polygon", "coordinates": [ring]}}
 
 
 def test_burnt_area(spark):
     multi = {"type": "MultiPolygon", "coordinates": [area()["geometry"]["coordinates"]] * 2}
-    docs = documents(spark, [collection(area(), area(multi, fire_id="78", area=12.5))])
+    docs = documents(spark, [collection(area(), area(multi, fire_id="502", area=12.5))])
     good, _, _ = feeds.split_malformed(feeds.ingest_burnt_areas(docs))
     a, b = good.orderBy("external_id").collect()
-    assert (a["external_id"], a["area_ha"], a["geom"]["kind"]) == ("ba-77", 52.0, "Polygon")
-    assert tuple(a["geom"]["parts"][0][0][0]) == (-4.0, 42.0)
-    assert (b["external_id"], b["area_ha"], len(b["geom"]["parts"])) == ("ba-78", 12.5, 2)
+    assert (a["external_id"], a["area_ha"], a["geom"]["kind"]) == ("ba-501", 52.0, "Polygon")
+    assert tuple(a["geom"]["parts"][0][0][0]) == (-2.5, 39.2)
+    assert (b["external_id"], b["area_ha"], len(b["geom"]["parts"])) == ("ba-502", 12.5, 2)
     attrs = json.loads(a["attrs"])
     assert attrs["kind"] == "burnt_area" and attrs["raw_finaldate"] == "2025-08-12 18:45:00"
 
@@ -118,7 +146,7 @@ def test_malformed_burnt_areas(spark):
         assert got[f"p{i}"] == (2, 1, "ok"), bad[i]
     n = len(bad)
     assert [got[f"p{n + i}"][2] for i in range(4)] == ["failed", "empty", "failed", "failed"]
-    assert {r["external_id"] for r in good.collect()} == {"ba-77"}
+    assert {r["external_id"] for r in good.collect()} == {"ba-501"}
 
 
 def test_hotspot(spark):

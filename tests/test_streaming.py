@@ -44,15 +44,15 @@ def text(n):
 def test_fires_close_reopen_and_survive_failures(spark, tmp_path):
     landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
     none = collection()
-    land(spark, landed, 0, {"hotspots": [none], "burnt_areas": [collection(area(), area(fire_id="78"))]})
+    land(spark, landed, 0, {"hotspots": [none], "burnt_areas": [collection(area(), area(fire_id="502"))]})
     land(spark, landed, 1, {"hotspots": [none], "burnt_areas": [collection(area())]})
     land(spark, landed, 2, None, err="timeout" * 100)
     land(spark, landed, 3, {"hotspots": [none], "burnt_areas": [collection(area(fire_id=None))]})
-    land(spark, landed, 4, {"hotspots": [none], "burnt_areas": [collection(area(), area(fire_id="78"))]})
+    land(spark, landed, 4, {"hotspots": [none], "burnt_areas": [collection(area(), area(fire_id="502"))]})
     sync.sync_wildfires(spark, landed, root, most_runs=1, skip_refused=True)
     # One file holds everything that happened; the unreadable poll closed nothing.
     assert log(spark, root) == {0: (2, 0, 0), 1: (0, 0, 1), 4: (0, 1, 0)}
-    assert ends(spark, root) == {"ba-77": None, "ba-78": None}
+    assert ends(spark, root) == {"ba-501": None, "ba-502": None}
     polls = sync.poll_log(spark, root).collect()
     assert sorted((r["poll_id"], r["ok"]) for r in polls) == [
         ("poll-0", True), ("poll-1", True), ("poll-2", False), ("poll-4", True)
@@ -64,7 +64,7 @@ def test_fires_close_reopen_and_survive_failures(spark, tmp_path):
     land(spark, landed, 5, {"hotspots": [none], "burnt_areas": [none]})
     sync.sync_wildfires(spark, landed, root, most_runs=1)
     assert log(spark, root)[5] == (0, 0, 2)
-    assert ends(spark, root) == {"ba-77": text(5), "ba-78": text(5)}
+    assert ends(spark, root) == {"ba-501": text(5), "ba-502": text(5)}
     assert snapshot.read_snapshot(spark, f"{root}/snapshot").where("ends_at is null").count() == 0
 
     # Replaying the last batch leaves the same result.
@@ -113,7 +113,7 @@ def test_oversized_bulletin_is_refused(spark, tmp_path, limit):
 
 def test_a_broken_document_or_layer_closes_nothing(spark, tmp_path):
     landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
-    none, one, two = collection(), collection(area()), collection(area(fire_id="78"))
+    none, one, two = collection(), collection(area()), collection(area(fire_id="502"))
     land(spark, landed, 0, {"hotspots": [none], "burnt_areas": [one, two]})
     land(spark, landed, 1, {"hotspots": [none], "burnt_areas": [one, two[:-9]]})
     land(spark, landed, 2, {"hotspots": [none]})
@@ -143,13 +143,13 @@ def test_readers_see_committed_batches_only(spark, tmp_path):
     planted = store.read_runs(spark, root, kept, "events").withColumn("external_id", F.lit("planted"))
     store.write_events(planted, root, "batch=99", kept.buckets)
     store.write_folder(planted, root, "bulletin", "batch=99")
-    assert set(ends(spark, root)) == {"ba-77"}
-    assert store.read_table(spark, root, "bulletin").first()["external_id"] == "ba-77"
+    assert set(ends(spark, root)) == {"ba-501"}
+    assert store.read_table(spark, root, "bulletin").first()["external_id"] == "ba-501"
     # a manifest without the pointer to it is no commit either
     late = store.begin(spark, root, 99)
     late.add("events", "events/batch=99", {str(b): 1 for b in range(late.buckets)})
     store._write_text(spark, f"{root}/manifest/batch=99.json", json.dumps(store.asdict(late)))
-    assert set(ends(spark, root)) == {"ba-77"} and store.last_committed(spark, root) == 0
+    assert set(ends(spark, root)) == {"ba-501"} and store.last_committed(spark, root) == 0
 
 
 def fires(n, **more):
@@ -236,7 +236,7 @@ def test_a_one_event_poll_rewrites_one_year_of_the_snapshot(spark, tmp_path):
 
 def test_snapshot_follows_later_changes(spark, tmp_path):
     landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
-    for n, fires in enumerate([[area()], [area(), area(fire_id="78")], [area(), area(fire_id="78")]]):
+    for n, fires in enumerate([[area()], [area(), area(fire_id="502")], [area(), area(fire_id="502")]]):
         land(spark, landed, n, {"hotspots": [collection()], "burnt_areas": [collection(*fires)]})
     sync.sync_wildfires(spark, landed, root, snapshot_every=2)
     # the change of batch 1 is in the snapshot of batch 2, which changed nothing itself
