@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlake.functions import geometry, values
+from emberlake.operators import grid
 from emberlake.operators.filters import ingestible_warnings as fit_warnings
 from emberlake.plans.carriers import POLLS_SQL, polls, table
 from emberlake.sources import feeds
@@ -298,10 +299,17 @@ def warning_documents(spark, d):
     odd = n % 50
     level = F.element_at(F.array(*[F.lit(x) for x in LEVELS]), (n % 4 + 1).cast("int"))
     x, y = _lon(k), _lat(k)
-    pairs = [
-        F.concat(_degrees(y + b), F.lit(","), _degrees(x + a))
-        for a, b in ((0, 0), (100, 0), (100, 100), (0, 100), (0, 0))
-    ]
+
+    def outline(*corners):
+        pairs = [F.concat(_degrees(y + b), F.lit(","), _degrees(x + a)) for a, b in (*corners, corners[0])]
+        return F.concat_ws(" ", *pairs)
+
+    # squares, every seventh twisted into two unequal lobes, every eleventh without an area
+    polygon = (
+        F.when(k % 7 == 0, outline((0, 0), (100, 0), (20, 100), (80, 100)))
+        .when(k % 11 == 0, outline((0, 0), (100, 0), (50, 0)))
+        .otherwise(outline((0, 0), (100, 0), (100, 100), (0, 100)))
+    )
 
     def moment(c):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
@@ -329,7 +337,7 @@ def warning_documents(spark, d):
                     "area",
                     F.concat(
                         _element("areaDesc", F.concat(F.lit("Zona "), (n % 9).cast("string"))),
-                        F.when(odd != 8, _element("polygon", F.concat_ws(" ", *pairs))).otherwise(""),
+                        F.when(odd != 8, _element("polygon", polygon)).otherwise(""),
                         _named_value("geocode", feeds.NAME_ZONE, F.lpad((n % 9).cast("string"), 6, "7")),
                     ),
                 ),
@@ -376,7 +384,7 @@ m AS (SELECT *, CASE WHEN odd % 10 = 9 THEN 'Cancel' WHEN odd % 10 = 4 THEN 'Upd
                      ELSE 'Alert' END AS msg_type FROM w),
 r AS (SELECT CAST(key // 300 AS VARCHAR) AS poll_id, 'cap-' || key AS external_id, msg_type,
   t0 AS sent, CASE WHEN msg_type <> 'Alert' THEN 'cap-' || (key - 3) || ' cap-' || (key - 6)
-                   ELSE '' END AS refs, msg_type <> 'Cancel' AS has_info, key, n, odd, t0
+                   ELSE '' END AS refs, msg_type <> 'Cancel' AS has_info, key, n, odd, t0, lon_m, lat_m
   FROM m WHERE odd NOT IN (1, 2, 5)),
 f AS (SELECT poll_id, external_id, msg_type, sent, refs, odd,
   CASE WHEN has_info THEN 'Aviso de viento' END AS event,
@@ -386,7 +394,7 @@ f AS (SELECT poll_id, external_id, msg_type, sent, refs, odd,
   CASE WHEN has_info THEN t0 + to_hours(CAST(key % 48 + 1 AS INTEGER)) END AS expires,
   CASE WHEN has_info THEN lpad(CAST(n % 9 AS VARCHAR), 6, '7') END AS zone,
   CASE WHEN has_info THEN 'Zona ' || (n % 9) END AS area_desc,
-  CASE WHEN has_info THEN '40%-70%' END AS probability FROM r)"""
+  CASE WHEN has_info THEN '40%-70%' END AS probability, key, lon_m, lat_m FROM r)"""
 
 
 def ingestible_warnings(spark, d):
@@ -395,20 +403,33 @@ def ingestible_warnings(spark, d):
 
 
 def warning_events(spark, d):
-    """Event rows of the ingestible warnings."""
+    """Event rows of the ingestible warnings, with the middle of their areas in thousandths of a milli-degree."""
     good, _, _ = feeds.split_malformed(feeds.ingest_warnings(warning_documents(spark, d)))
     rows, _ = feeds.warning_events(good)
-    return rows.select("external_id", "severity", "starts_at", "ends_at", "attrs")
+    placed = grid.computed(rows, c=geometry.centroid(F.col("geom")))
+    return placed.select(
+        "external_id", "severity", "starts_at", "ends_at", "attrs", F.size("geom.parts").alias("lobes"),
+        F.round(F.col("c.x") * 1000, 3).alias("mid_x"), F.round(F.col("c.y") * 1000, 3).alias("mid_y"),
+    )
+
+
+def warnings_aside(spark, d):
+    """Ingestible warnings put aside because their area encloses nothing."""
+    good, _, _ = feeds.split_malformed(feeds.ingest_warnings(warning_documents(spark, d)))
+    return feeds.warning_events(good)[1].select("external_id", "level")
 
 
 FIT = "level IS NOT NULL AND level <> 'verde' AND onset IS NOT NULL AND odd <> 8 AND msg_type <> 'Cancel'"
+FLAT = "(key % 7 <> 0 AND key % 11 = 0)"
 WARNING_EVENTS_SQL = f"""WITH {WARNINGS}
 SELECT external_id, CAST(CASE level WHEN 'amarillo' THEN 2 WHEN ' Naranja ' THEN 3 ELSE 4 END AS SMALLINT)
     AS severity, onset AS starts_at, expires AS ends_at,
   '{{"event":"Aviso de viento","phenomenon":"VI;Viento","level":"' || level || '","zone":"' || zone
   || '","area_desc":"' || area_desc
-  || '","headline":"Aviso de viento","cap_severity":"Severe","probability":"40%-70%"}}' AS attrs
-FROM f WHERE {FIT}"""
+  || '","headline":"Aviso de viento","cap_severity":"Severe","probability":"40%-70%"}}' AS attrs,
+  CAST(CASE WHEN key % 7 = 0 THEN 2 ELSE 1 END AS INTEGER) AS lobes, CAST(lon_m + 50 AS DOUBLE) AS mid_x,
+  round(lat_m + CASE WHEN key % 7 = 0 THEN (3125 * 62.5 / 3 + 1125 * 87.5) / 4250 ELSE 50 END, 3)::DOUBLE AS mid_y
+FROM f WHERE {FIT} AND NOT {FLAT}"""
 
 
 GUARD_DOCUMENTS, GUARD_BYTES = 600, 980
@@ -475,6 +496,7 @@ QUERIES = {
     "ingest_warnings": ingest_warnings,
     "ingestible_warnings": ingestible_warnings,
     "warning_events": warning_events,
+    "warnings_aside": warnings_aside,
     "bulletin_guard": bulletin_guard,
     "coords_ok": coords_ok,
     "content_hash": content_hash,
@@ -485,9 +507,10 @@ ORACLES = {
     "split_malformed": GATE_SQL,
     "ingest_hotspots": HOTSPOTS_SQL,
     "ingest_burnt_areas": AREAS_SQL,
-    "ingest_warnings": f"WITH {WARNINGS} SELECT * EXCLUDE (odd) FROM f",
+    "ingest_warnings": f"WITH {WARNINGS} SELECT * EXCLUDE (odd, key, lon_m, lat_m) FROM f",
     "ingestible_warnings": f"WITH {WARNINGS} SELECT external_id, msg_type, level FROM f WHERE {FIT}",
     "warning_events": WARNING_EVENTS_SQL,
+    "warnings_aside": f"WITH {WARNINGS} SELECT external_id, level FROM f WHERE {FIT} AND {FLAT}",
     "bulletin_guard": GUARD_SQL,
     "coords_ok": "SELECT o_orderkey, o_orderkey % 9 IN (0, 6, 8) AS ok FROM orders",
     "content_hash": HASH_SQL,
