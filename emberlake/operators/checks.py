@@ -3,13 +3,37 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, replace
 
-# Accepted parameter ranges.
-MAX_RADIUS_M = 200_000
-MAX_MIN_POINTS = 1000
-MAX_LIMIT = 1000
-YEARS = (2000, 2100)
-MAGNITUDES = (0, 10)
+
+@dataclass(frozen=True)
+class Limits:
+    """Ceilings of the arguments. The defaults are fixed values; ``overridden`` sets others."""
+
+    max_radius_m: float = 200_000
+    max_min_points: int = 1000
+    max_limit: int = 1000
+    years: tuple[int, int] = (2000, 2100)
+    magnitudes: tuple[float, float] = (0, 10)
+
+
+_limits: ContextVar[Limits] = ContextVar("limits", default=Limits())
+
+
+@contextmanager
+def overridden(**ceilings) -> Iterator[Limits]:
+    """Other ceilings for the operators built inside the block, for larger jobs or older data."""
+    token = _limits.set(replace(_limits.get(), **ceilings))
+    try:
+        yield _limits.get()
+    finally:
+        _limits.reset(token)
+
+
+# Forms of codes.
 PROVINCE_PATTERN = r"\d{2}"
 PHENOMENON_PATTERN = r"[A-Z]{2}"
 
@@ -32,15 +56,18 @@ def centre(lon: float, lat: float) -> None:
 
 
 def metres(value: float, name: str) -> None:
-    _require(0 < value <= MAX_RADIUS_M, f"{name} must be in (0, {MAX_RADIUS_M}]")
+    most = _limits.get().max_radius_m
+    _require(0 < value <= most, f"{name} must be in (0, {most}]")
 
 
 def min_points(value: int) -> None:
-    _require(1 <= value <= MAX_MIN_POINTS, f"min_points must be in 1..{MAX_MIN_POINTS}")
+    most = _limits.get().max_min_points
+    _require(1 <= value <= most, f"min_points must be in 1..{most}")
 
 
 def limit(value: int) -> None:
-    _require(1 <= value <= MAX_LIMIT, f"limit must be in 1..{MAX_LIMIT}")
+    most = _limits.get().max_limit
+    _require(1 <= value <= most, f"limit must be in 1..{most}")
 
 
 def severity(value: int) -> None:
@@ -48,14 +75,13 @@ def severity(value: int) -> None:
 
 
 def year(value: int) -> None:
-    _require(YEARS[0] <= value <= YEARS[1], f"year must be in {YEARS[0]}..{YEARS[1]}")
+    first, last = _limits.get().years
+    _require(first <= value <= last, f"year must be in {first}..{last}")
 
 
 def min_magnitude(value: float | None) -> None:
-    _require(
-        value is None or MAGNITUDES[0] <= value <= MAGNITUDES[1],
-        f"minimum magnitude must be in {MAGNITUDES[0]}..{MAGNITUDES[1]}",
-    )
+    least, most = _limits.get().magnitudes
+    _require(value is None or least <= value <= most, f"minimum magnitude must be in {least}..{most}")
 
 
 def province_code(value: str | None) -> None:

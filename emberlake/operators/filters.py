@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberlake import schemas
 from emberlake.functions import geometry, values
 from emberlake.operators import checks
+from emberlake.session import materialised
 
 
 def is_active(as_of: dt.datetime) -> Column:
@@ -92,12 +93,10 @@ def next_key(page_rows: list, limit: int) -> tuple[dt.datetime, str] | None:
 
 
 def events_by_ids(events: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events found, ids missing) for a frame of ids."""
+    """(events found, ids missing) for a frame of ids. One pass over the events; its result is written once and split."""
     wanted = ids.select("id").distinct()
-    return (
-        events.join(wanted, "id", "left_semi"),
-        wanted.join(events.select("id"), "id", "left_anti"),
-    )
+    met = materialised(wanted.join(events.withColumn("_found", F.lit(True)), "id", "left"), "lookup")
+    return met.where("_found").select(*events.columns), met.where(F.col("_found").isNull()).select("id")
 
 
 def domain_problem() -> Column:

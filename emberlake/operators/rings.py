@@ -10,6 +10,8 @@ from emberlake.operators import grid
 
 # Rings of up to this many segments are judged within their row, longer ones by a grid join.
 SHORT_RING = 24
+# Share of its extent squared below which an area is rounding alone.
+FLAT = 1e-14
 
 
 def _sound_edges(ring: Column) -> Column:
@@ -180,12 +182,15 @@ def audit_rings(rings: DataFrame) -> DataFrame:
     )
     crossing = F.col("crossings") > 0
     region = F.when(crossing, _even_odd_moments(F.col("segs"), levels)).otherwise(plain)
-    return grid.computed(judged, m=region).select(
+    flat = F.coalesce(F.col("m.a") <= F.lit(FLAT) * F.col("extent") * F.col("extent"), F.lit(True))
+    xs, ys = F.transform("segs", lambda e: e["x1"]), F.transform("segs", lambda e: e["y1"])
+    extent = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+    return grid.computed(judged, m=region, extent=extent).select(
         "key",
         "crossings",
         crossing.alias("crossing"),
         F.col("m.a").alias("area"),
-        F.try_divide("m.mx", "m.a").alias("x"),
-        F.try_divide("m.my", "m.a").alias("y"),
-        (F.col("m.a") <= 0).alias("empty"),
+        F.when(~flat, F.try_divide("m.mx", "m.a")).alias("x"),
+        F.when(~flat, F.try_divide("m.my", "m.a")).alias("y"),
+        flat.alias("empty"),
     )

@@ -378,19 +378,24 @@ def _rings_sql() -> str:
             f"(x{b} - x{a}) * (x{c} - x{b}) + (y{b} - y{a}) * (y{c} - y{b}) < 0)"
         )
 
-    def lobes(a, b, c, d):
+    def lobes(a, b, c, d, axis=None):
         den = f"((x{b} - x{a}) * (y{d} - y{c}) - (y{b} - y{a}) * (x{d} - x{c}))"
         t = f"((x{c} - x{a}) * (y{d} - y{c}) - (y{c} - y{a}) * (x{d} - x{c})) / CAST({den} AS DOUBLE)"
         px, py = f"(x{a} + {t} * (x{b} - x{a}))", f"(y{a} + {t} * (y{b} - y{a}))"
 
         def tri(i, j):
-            return (
-                f"abs((x{i} - {px}) * (y{j} - {py}) - (y{i} - {py}) * (x{j} - {px})) / 2"
-            )
+            size = f"abs((x{i} - {px}) * (y{j} - {py}) - (y{i} - {py}) * (x{j} - {px})) / 2"
+            return size if axis is None else f"{size} * ({axis}{i} + {axis}{j} + {px if axis == 'x' else py}) / 3"
 
         return f"CASE WHEN {den} = 0 THEN 0 ELSE {tri(b, c)} + {tri(d, a)} END"
 
     shoelace = " + ".join(f"x{i} * y{j} - x{j} * y{i}" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)))
+    def moment(axis):
+        turns = ((0, 1), (1, 2), (2, 3), (3, 0))
+        plain = " + ".join(f"({axis}{i} + {axis}{j}) * (x{i} * y{j} - x{j} * y{i})" for i, j in turns)
+        return f"""CASE WHEN m1 THEN {lobes(0, 1, 2, 3, axis)} WHEN m2 THEN {lobes(1, 2, 3, 0, axis)}
+       ELSE sign({shoelace}) * ({plain}) / 6.0 END"""
+
     first, second = meet(0, 1, 2, 3), meet(1, 2, 3, 0)
     folds = " + ".join(f"CAST({fold(*k)} AS INTEGER)" for k in ((0, 1, 2), (1, 2, 3), (2, 3, 0), (3, 0, 1)))
     return f"""WITH k AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber,
@@ -400,8 +405,31 @@ c AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_line
 f AS (SELECT *, {first} AS m1, {second} AS m2, {folds} AS nf FROM c),
 g AS (SELECT key, CAST(m1 AS INTEGER) + CAST(m2 AS INTEGER) + nf AS crossings,
   CASE WHEN m1 THEN {lobes(0, 1, 2, 3)} WHEN m2 THEN {lobes(1, 2, 3, 0)}
-       ELSE abs({shoelace}) / 2.0 END AS area FROM f)
-SELECT key, crossings, crossings > 0 AS crossing, round(area + 1.3e-7, 6) AS area FROM g"""
+       ELSE abs({shoelace}) / 2.0 END AS area, {moment("x")} AS mx, {moment("y")} AS my FROM f)
+SELECT key, crossings, crossings > 0 AS crossing, round(area + 1.3e-7, 6) AS area, area < 1e-9 AS empty,
+  CASE WHEN area >= 1e-9 THEN round(mx / area + 1.3e-7, 6) END AS x,
+  CASE WHEN area >= 1e-9 THEN round(my / area + 1.3e-7, 6) END AS y FROM g"""
+
+
+def derive_long_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One closed ring of 28 to 68 corners per customer: a zigzag out and its mirror image back, which cross between all corners."""
+    k = F.col("c_custkey")
+    m, wide, high = 13 + k % 21, 1 + k % 5, 2 + k % 3
+
+    def way(steps, turn):
+        return F.transform(
+            steps, lambda i: geometry.vertex(k % 100 + wide * i, k % 70 + high * F.when(i % 2 == turn, 1).otherwise(0))
+        )
+
+    out = way(F.sequence(F.lit(0).cast("bigint"), m), 1)
+    back = way(F.sequence(m, F.lit(0).cast("bigint")), 0)
+    ring = F.concat(out, back, F.slice(out, 1, 1))
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("key"), ring.alias("ring"))
+
 
+LONG_RINGS_SQL = """WITH k AS (SELECT c_custkey AS k, 13 + c_custkey % 21 AS m, 1 + c_custkey % 5 AS wide, 2 + c_custkey % 3 AS high
+  FROM customer)
+SELECT CAST(k AS VARCHAR) AS key, m AS crossings, true AS crossing, round(m * wide * high / 2.0::DOUBLE, 6) AS area, false AS empty,
+  round(k % 100 + m * wide / 2.0::DOUBLE, 6) AS x, round(k % 70 + high / 2.0::DOUBLE, 6) AS y FROM k"""
 
 RINGS_SQL = _rings_sql()

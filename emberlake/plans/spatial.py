@@ -12,10 +12,12 @@ from emberlake.operators.export import cluster_feature_rows, to_feature_rows
 from emberlake.plans.carriers import (
     PROVINCES_SQL,
     WITHIN_SQL,
+    derive_long_rings,
     derive_rings,
     hazards,
     hazards_sql,
     national_areas,
+    LONG_RINGS_SQL,
     RINGS_SQL,
     table,
 )
@@ -327,13 +329,21 @@ FROM ({NEAR_SQL.replace('SELECT id, hazard_type, round(dm, 1)', 'SELECT id, haza
 
 
 def audit_rings(spark, d):
-    """Crossings of four-cornered rings, some of which are twisted or flat."""
+    """Crossings, area and centre of four-cornered rings, some of which are twisted or flat."""
+    # The shift keeps exact halves of the last digit from rounding either way.
+    shift = F.lit(1.3e-7)
     return rings.audit_rings(derive_rings(spark, d)).select(
-        "key",
-        "crossings",
-        "crossing",
-        # The shift keeps exact halves of the last digit from rounding either way.
-        F.round(F.col("area") + F.lit(1.3e-7), 6).alias("area"),
+        "key", "crossings", "crossing", F.round(F.col("area") + shift, 6).alias("area"), "empty",
+        F.round(F.col("x") + shift, 6).alias("x"), F.round(F.col("y") + shift, 6).alias("y"),
+    )
+
+
+def audit_long_rings(spark, d):
+    """The same of rings too long to be judged pair by pair."""
+    found = rings.audit_rings(derive_long_rings(spark, d))
+    return found.select(
+        "key", "crossings", "crossing", F.round("area", 6).alias("area"), "empty",
+        F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
     )
 
 
@@ -347,6 +357,7 @@ QUERIES = {
     "cluster_features": cluster_features,
     "near_features": near_features,
     "audit_rings": audit_rings,
+    "audit_long_rings": audit_long_rings,
 }
 
 ORACLES = {
@@ -359,4 +370,5 @@ ORACLES = {
     "cluster_features": CLUSTER_FEATURES_SQL,
     "near_features": NEAR_FEATURES_SQL,
     "audit_rings": RINGS_SQL,
+    "audit_long_rings": LONG_RINGS_SQL,
 }

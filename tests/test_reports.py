@@ -9,7 +9,7 @@ from helpers import BASE, distance, event, events_frame, point, polygon, square
 from pyspark.sql import functions as F
 
 from emberlake import schemas
-from emberlake.operators import export, filters, grid, near, reports, spatial_join
+from emberlake.operators import checks, export, filters, grid, near, reports, spatial_join
 from emberlake.sources import provinces, snapshot
 from emberlake.session import shared_folder
 
@@ -137,6 +137,23 @@ def test_arguments_are_checked_before_any_job(fires, areas, call):
         call(fires, areas)
 
 
+def test_ceilings_can_be_raised(spark, fires):
+    with checks.overridden(max_limit=5000, years=(1900, 2100), max_radius_m=1e6):
+        assert filters.page_after(fires, limit=2000).count() == 6
+        assert rows(reports.quake_frequency(fires, year=1995)) == []
+        with pytest.raises(ValueError):
+            filters.page_after(fires, limit=6000)
+    with pytest.raises(ValueError):
+        filters.page_after(fires, limit=2000)
+
+
+def test_lookup_reads_the_events_once(spark, fires):
+    ids = spark.createDataFrame([(r["id"],) for r in fires.select("id").limit(2).collect()] * 2 + [("none",)], "id string")
+    found, missing = filters.events_by_ids(fires, ids)
+    assert found.count() == 2 and found.columns == fires.columns
+    assert [r["id"] for r in missing.collect()] == ["none"]
+
+
 def test_active_windows(spark):
     now = BASE
     hour = dt.timedelta(hours=1)
