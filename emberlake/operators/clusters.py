@@ -217,16 +217,16 @@ def _around_cover(
 ) -> DataFrame:
     """Weight of point sites within ``eps`` of each outline, by cell.
 
-    Only cells of the outline's cover (site, cx, cy) and those around them can hold such sites.
+    Only cells of the outline's cover (num, cx, cy) and those around them can hold such sites.
     """
     asked = (
-        _around(cells_of.select(F.col("site").alias("lid"), "cx", "cy"), own=True)
+        _around(cells_of.select(F.col("num").alias("lid"), "cx", "cy"), own=True)
         .select("lid", F.col("cx").alias("kx"), F.col("cy").alias("ky"))
         .distinct()
     )
     pairs = (
         asked.join(cells, ["kx", "ky"])
-        .join(outlines.select(F.col("site").alias("lid"), "segs"), "lid")
+        .join(outlines.select(F.col("num").alias("lid"), "segs"), "lid")
         .withColumn("cx", F.col("kx"))
         .withColumn("cy", F.col("ky"))
     )
@@ -262,16 +262,16 @@ LEFT_ENDS = [f"l{c}" for c in cover.ENDS]
 
 
 def _close_pieces(left: DataFrame, pieces: DataFrame, eps: float) -> DataFrame:
-    """(lid, ox, oy, site, w): pieces of outlines within ``eps`` of a left piece of another cell.
+    """(lid, ox, oy, num, w): pieces of outlines within ``eps`` of a left piece of another cell.
 
     Both sides are (cx, cy, x1, y1, x2, y2) rows, the left ones with a ``lid``. Callers keep one side thin, so a row
     meets fewer than ``min_points`` others per cell around it.
     """
     asked = _around(left.select("lid", "cx", "cy", *[F.col(c).alias(f"l{c}") for c in cover.ENDS]))
     met = grid.spread_join(
-        pieces.select("site", "w", "cx", "cy", *cover.ENDS), asked, ["cx", "cy"], F.struct("site", *cover.ENDS)
+        pieces.select("num", "w", "cx", "cy", *cover.ENDS), asked, ["cx", "cy"], F.struct("num", *cover.ENDS)
     )
-    return met.where(_gap2(LEFT_ENDS, cover.ENDS) <= F.lit(eps * eps)).select("lid", "ox", "oy", "site", "w")
+    return met.where(_gap2(LEFT_ENDS, cover.ENDS) <= F.lit(eps * eps)).select("lid", "ox", "oy", "num", "w")
 
 
 def _as_pieces(points: DataFrame, *extra) -> DataFrame:
@@ -501,6 +501,8 @@ def _shape_sites(events: DataFrame) -> DataFrame:
         miny=F.array_min(ys),
         maxx=F.array_max(xs),
         maxy=F.array_max(ys),
+        # written right away, so a number stays with its outline
+        num=F.monotonically_increasing_id(),
     ).drop("mparts")
 
 
@@ -513,41 +515,47 @@ def _bounded(filters: dict) -> None:
 
 
 class _Outlines:
-    """The outlines of a run on the grid: their pieces per cell and their cover."""
+    """The outlines of a run on the grid, by number: their pieces per cell and their cover."""
 
     def __init__(self, shapes: DataFrame, cells: DataFrame, side: float):
-        segments = shapes.select("site", "w", F.inline("segs"))
+        segments = shapes.select("num", "w", F.inline("segs"))
         self.pieces = materialised(cover.cut(segments, side), "pieces")
-        met = self.pieces.select("site", "w", "cx", "cy").distinct()
+        met = materialised(self.pieces.select("num", "w", "cx", "cy").distinct(), "met")
         points = cells.select(F.col("kx").alias("cx"), F.col("ky").alias("cy"))
         occupied = materialised(points.unionByName(met.select("cx", "cy")).distinct(), "occupied")
-        filled = cover.full_cells(segments, occupied, side, ["site", "w"])
+        filled = cover.full_cells(segments, occupied, side, ["num", "w"])
         self.cover = materialised(met.unionByName(filled).distinct(), "cover")
 
-    def of(self, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pieces, cover) of some sites."""
-        return tuple(f.join(sites.select("site"), "site", "left_semi") for f in (self.pieces, self.cover))
+    def of(self, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pieces, cover) of some outlines."""
+        return tuple(f.join(some.select("num"), "num", "left_semi") for f in (self.pieces, self.cover))
 
 
 def _others(near: DataFrame) -> DataFrame:
-    """(site, n): weight of the distinct outlines near each left object."""
-    return (
-        near.select("lid", "site", "w").distinct().groupBy("lid").agg(F.sum("w").alias("n"))
-        .select(F.col("lid").alias("site"), "n")
-    )
+    """(lid, n): weight of the distinct outlines near each left object."""
+    return near.select("lid", "num", "w").distinct().groupBy("lid").agg(F.sum("w").alias("n"))
 
 
 def _shape_weights(
     outlines: _Outlines, thin: DataFrame, points: DataFrame, cells: DataFrame, eps: float
 ) -> DataFrame:
-    """(site, n): weight near each outline without a crowded cell, its own not included."""
+    """(num, n): weight near each outline without a crowded cell, its own not included."""
     pieces, covered = outlines.of(thin)
-    by_points = _around_cover(covered, thin, points, cells, eps).select(F.col("lid").alias("site"), "n")
+    by_points = _around_cover(covered, thin, points, cells, eps).select("lid", "n")
     # every cell of a thin outline has fewer than min_points members
-    sharing = covered.select(F.col("site").alias("lid"), "cx", "cy").join(outlines.cover, ["cx", "cy"])
-    near = _close_pieces(pieces.withColumn("lid", F.col("site")), outlines.pieces, eps)
-    both = sharing.select("lid", "site", "w").unionByName(near.select("lid", "site", "w"))
-    return by_points.unionByName(_others(both.where(F.col("lid") != F.col("site"))))
+    sharing = covered.select(F.col("num").alias("lid"), "cx", "cy").join(outlines.cover, ["cx", "cy"])
+    near = _close_pieces(pieces.withColumn("lid", F.col("num")), outlines.pieces, eps)
+    both = sharing.select("lid", "num", "w").unionByName(near.select("lid", "num", "w"))
+    both = by_points.unionByName(_others(both.where(F.col("lid") != F.col("num"))))
+    return both.groupBy(F.col("lid").alias("num")).agg(F.sum("n").alias("others"))
+
+
+# Cells are numbered below zero, outlines from zero on.
+_HALF_GRID = 1 << 30
+
+
+def _cell_node(cx: Column, cy: Column) -> Column:
+    return -((cx + _HALF_GRID) * (2 * _HALF_GRID) + (cy + _HALF_GRID)) - 1
 
 
 def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[DataFrame, DataFrame]:
@@ -574,8 +582,9 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
     if outlines:
         # outlines over the point's own cell are in its weight already
         near = _close_pieces(_as_pieces(thin, F.col("site").alias("lid")), outlines.pieces, eps)
-        own = outlines.cover.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), "site")
-        neighbours = neighbours.unionByName(_others(near.join(own, ["ox", "oy", "site"], "left_anti")))
+        own = outlines.cover.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), "num")
+        beside = _others(near.join(own, ["ox", "oy", "num"], "left_anti"))
+        neighbours = neighbours.unionByName(beside.select(F.col("lid").alias("site"), "n"))
     total = neighbours.groupBy("site").agg(F.sum("n").alias("others"))
     core_test = F.col("own") + F.coalesce(F.col("others"), F.lit(0)) >= min_points
     judged_thin = thin.join(total, "site", "left").withColumn("core", core_test).drop("others")
@@ -589,48 +598,44 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
     core = judged.where("core")
     loose = judged.where(~F.col("core"))
     core_cells = materialised(_boxes(core, 0), "cells")
-    members = core.select("cx", "cy", "site")
+    own_node = _cell_node(F.col("cx"), F.col("cy"))
+    cells_of_core = core_cells.select(F.col("kx").alias("cx"), F.col("ky").alias("cy"))
+    edges = _cell_links(core, core_cells, eps).select(
+        _cell_node(F.col("ax"), F.col("ay")).alias("u"), _cell_node(F.col("bx"), F.col("by")).alias("v")
+    )
+    loose_shapes = None
     if outlines:
         heavy = outlines.cover.join(crowd.where(F.col("own") >= min_points), ["cx", "cy"], "left_semi")
-        heavy = materialised(heavy.select("site").distinct(), "heavy")
-        thin_shapes = shapes.join(heavy, "site", "left_anti")
-        weights = _shape_weights(outlines, thin_shapes, points, cells, eps)
-        total = weights.groupBy("site").agg(F.sum("n").alias("others"))
-        core_test = F.col("w") + F.coalesce(F.col("others"), F.lit(0)) >= min_points
-        counted = thin_shapes.select("site", "w").join(total, "site", "left").where(core_test)
-        core_ids = materialised(heavy.unionByName(counted.select("site")), "core")
-        core_pieces, core_cover = (materialised(f, "core") for f in outlines.of(core_ids))
-        members = members.unionByName(core_cover.select("cx", "cy", "site"))
-    seeds = materialised(members.groupBy("cx", "cy").agg(F.min("site").alias("seed")), "seeds")
-
-    def seed(px, py, name):
-        return seeds.select(F.col("cx").alias(px), F.col("cy").alias(py), F.col("seed").alias(name))
-
-    edges = [
-        _cell_links(core, core_cells, eps)
-        .join(seed("ax", "ay", "u"), ["ax", "ay"])
-        .join(seed("bx", "by", "v"), ["bx", "by"])
-        .select("u", "v")
-    ]
-    nodes = [seeds.select(F.col("seed").alias("node"))]
-    if outlines:
+        sure = materialised(heavy.select("num").distinct(), "heavy")
+        thin_shapes = materialised(shapes.join(sure, "num", "left_anti"), "thin")
+        core_pieces, core_cover, core_shapes = outlines.pieces, outlines.cover, shapes
+        # without thin outlines all are core, and there is nothing to count
+        if not thin_shapes.isEmpty():
+            weights = _shape_weights(outlines, thin_shapes, points, cells, eps)
+            core_test = F.col("w") + F.coalesce(F.col("others"), F.lit(0)) >= min_points
+            counted = thin_shapes.join(weights, "num", "left")
+            loose_shapes = materialised(counted.where(~core_test).drop("others"), "loose")
+            core_shapes = shapes.join(loose_shapes, "num", "left_anti")
+            core_pieces, core_cover = (materialised(f, "core") for f in outlines.of(core_shapes))
+        cells_of_core = cells_of_core.unionByName(core_cover.select("cx", "cy")).distinct()
         # one outline over several cells makes them one
-        edges.append(core_cover.join(seeds, ["cx", "cy"]).select(F.col("site").alias("u"), F.col("seed").alias("v")))
-        nodes.append(core_ids.select(F.col("site").alias("node")))
-    linked = components(_union(edges))
-    labels = materialised(
-        _union(nodes).distinct()
-        .join(linked, "node", "left")
-        .select("node", F.coalesce("label", "node").alias("label")),
-        "labels",
-    )
-
-    def by_cell(labels):
-        return seeds.join(labels.withColumnRenamed("node", "seed"), "seed").select("cx", "cy", "label")
-
+        edges = edges.unionByName(core_cover.select(F.col("num").alias("u"), own_node.alias("v")))
+    linked = components(edges, write_halves=True)
+    cells_of_core = cells_of_core.withColumn("node", own_node)
+    groups = cells_of_core.join(linked, "node", "left").select("cx", "cy", F.coalesce("label", "node").alias("piece"))
+    groups = materialised(groups, "groups")
+    if outlines:
+        groups = _joined_over_gaps(groups, core, core_pieces, eps, side)
+    # a cluster is named by the smallest id of its core members
+    named = grid.spread_join(core.select("cx", "cy", "site"), groups, ["cx", "cy"], F.col("site")).select("piece", "site")
     if outlines:
-        labels = _joined_over_gaps(labels, by_cell(labels), core, core_pieces, eps, side)
-    cell_label = by_cell(labels)
+        # any cell of an outline tells its cluster
+        first = core_cover.groupBy("num").agg(F.min_by(F.struct("cx", "cy"), F.struct("cx", "cy")).alias("at"))
+        placed = first.select("num", "at.*").join(groups, ["cx", "cy"]).join(core_shapes.select("num", "site"), "num")
+        placed = materialised(placed.select("num", "site", "piece"), "placed")
+        named = named.unionByName(placed.select("piece", "site"))
+    names = materialised(named.groupBy("piece").agg(F.min("site").alias("label")), "names")
+    cell_label = materialised(groups.join(names, "piece").select("cx", "cy", "label"), "labels")
 
     carried = ["site", "w", "top", "first_at", "last_at", "lon", "lat", "x", "y"]
     inner = grid.spread_join(core, cell_label, ["cx", "cy"], F.col("site")).select(*carried, "label")
@@ -643,26 +648,24 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
     ]
     shape_members = None
     if outlines:
-        shape_label = labels.join(core_ids.withColumnRenamed("site", "node"), "node", "left_semi")
-        shape_label = shape_label.withColumnRenamed("node", "site")
+        shape_label = placed.join(names, "piece").select("num", "label")
 
         def home(near):
-            return near.join(shape_label, "site").select(F.col("lid").alias("site"), "label")
-
-        homes.append(home(_close_pieces(_as_pieces(loose, F.col("site").alias("lid")), core_pieces, eps)))
-        loose_shapes = shapes.join(core_ids, "site", "left_anti")
-        pieces, covered = outlines.of(loose_shapes)
-        reached = _around_cover(covered, loose_shapes, core, core_cells, eps).select(
-            F.col("lid").alias("site"), "cx", "cy"
-        )
-        shape_homes = [
-            shape_label,
-            reached.unionByName(covered.select("site", "cx", "cy")).join(cell_label, ["cx", "cy"]).select("site", "label"),
-            home(_close_pieces(pieces.withColumn("lid", F.col("site")), core_pieces, eps)),
-        ]
-        shape_members = shapes.drop("segs").join(
-            _union(shape_homes).groupBy("site").agg(F.min("label").alias("label")), "site"
-        )
+            return near.join(shape_label, "num").select("lid", "label")
+
+        near = _close_pieces(_as_pieces(loose, F.col("site").alias("lid")), core_pieces, eps)
+        homes.append(home(near).select(F.col("lid").alias("site"), "label"))
+        shape_homes = shape_label
+        if loose_shapes is not None:
+            pieces, covered = outlines.of(loose_shapes)
+            reached = _around_cover(covered, loose_shapes, core, core_cells, eps).select(
+                F.col("lid").alias("num"), "cx", "cy"
+            )
+            by_cell = reached.unionByName(covered.select("num", "cx", "cy")).join(cell_label, ["cx", "cy"])
+            by_piece = home(_close_pieces(pieces.withColumn("lid", F.col("num")), core_pieces, eps))
+            found = by_cell.select("num", "label").unionByName(by_piece.select(F.col("lid").alias("num"), "label"))
+            shape_homes = shape_homes.unionByName(found.groupBy("num").agg(F.min("label").alias("label")))
+        shape_members = shapes.drop("segs").join(shape_homes, "num")
     border = loose.join(
         _union(homes).groupBy("site").agg(F.min("label").alias("label")), "site"
     ).select(*carried, "label")
@@ -670,33 +673,33 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
 
 
 def _joined_over_gaps(
-    labels: DataFrame, cell_label: DataFrame, core: DataFrame, core_pieces: DataFrame, eps: float, side: float
+    groups: DataFrame, core: DataFrame, core_pieces: DataFrame, eps: float, side: float
 ) -> DataFrame:
-    """Labels after joining clusters whose outlines come within ``eps`` of other cells' members.
+    """Groups of cells after joining those whose outlines come within ``eps`` of other cells' members.
 
-    Only cells around a piece whose label differs from its own are looked at.
+    Only cells around a piece whose group differs from its own are looked at.
     """
-    cell_label = materialised(cell_label, "labels")
-    edged = core_pieces.select("cx", "cy").distinct().join(cell_label, ["cx", "cy"])
+    edged = core_pieces.select("cx", "cy").distinct().join(groups, ["cx", "cy"])
     pairs = (
-        _around(edged.withColumnRenamed("label", "u"))
-        .join(cell_label.withColumnRenamed("label", "v"), ["cx", "cy"])
+        _around(edged.withColumnRenamed("piece", "u"))
+        .join(groups.withColumnRenamed("piece", "v"), ["cx", "cy"])
         .where(F.col("u") != F.col("v"))
         .select("u", "v", F.col("ox").alias("ax"), F.col("oy").alias("ay"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
     )
     pairs = materialised(pairs, "pairs")
     if pairs.isEmpty():
-        return labels
+        return groups
     wanted = pairs.select(F.col("ax").alias("cx"), F.col("ay").alias("cy")).unionByName(
         pairs.select(F.col("bx").alias("cx"), F.col("by").alias("cy"))
     ).distinct()
     items = _as_pieces(core).unionByName(core_pieces.select("cx", "cy", *cover.ENDS))
     items = materialised(items.join(wanted, ["cx", "cy"], "left_semi"), "items")
     links = _piece_links(pairs, items, eps, side)
-    renamed = components(links).select(F.col("node").alias("label"), F.col("label").alias("_whole"))
-    return materialised(
-        labels.join(renamed, "label", "left").select("node", F.coalesce("_whole", "label").alias("label")), "labels"
-    )
+    if links.isEmpty():
+        return groups
+    renamed = components(links).select(F.col("node").alias("piece"), F.col("label").alias("_whole"))
+    joined = groups.join(renamed, "piece", "left").select("cx", "cy", F.coalesce("_whole", "piece").alias("piece"))
+    return materialised(joined, "groups")
 
 
 def _checked(events: DataFrame, eps_m: float, min_points: int, filters: dict) -> DataFrame:

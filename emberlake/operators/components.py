@@ -45,12 +45,13 @@ def _mark(edges: DataFrame):
     ).first()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, write_halves: bool = False) -> DataFrame:
     """(node, label) for every node with an edge; the label is the component's smallest node.
 
     ``edges(u, v)`` is undirected. Minima are aggregates, so a node with very many neighbours is
     combined before its shuffle; no neighbour list is ever gathered. The number of rounds grows
-    with the logarithm of the component size, and each round's edges are written out.
+    with the logarithm of the component size, and each round's edges are written out. With ``write_halves`` its first half is
+    written too, which pays where edges are too many to be broadcast: the second half reads them three times.
     """
     down = edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
@@ -58,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialised(down, "edges")
     mark = _mark(current)
     while True:
-        nxt = materialised(_small_star(_large_star(current)), "edges")
+        half = _large_star(current)
+        nxt = materialised(_small_star(materialised(half, "half") if write_halves else half), "edges")
         nxt_mark = _mark(nxt)
         if nxt_mark == mark:
             break
