@@ -210,7 +210,7 @@ def _like(glob: str) -> str:
 
 
 SQL = """WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host,
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
 r(name, rhost, rpath, rverdict) AS (VALUES {values}),
 f AS (SELECT page_id, name, rverdict, row_number() OVER (PARTITION BY page_id ORDER BY length(name) DESC, length(rhost) DESC, name) AS k
