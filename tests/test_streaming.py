@@ -170,29 +170,29 @@ def test_a_poll_reads_the_buckets_of_its_keys_only(spark, tmp_path):
 
 
 def test_bytes_written_follow_the_poll(spark, tmp_path):
-    """Forty polls that each revise one fire of sixty: merges rewrite small runs, and the first run stays."""
+    """Eighteen polls that each revise one fire of sixty: merges rewrite small runs, and the first run stays."""
     landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
     land(spark, landed, 0, {"hotspots": [collection()], "burnt_areas": [fires(60)]})
     sync.sync_wildfires(spark, landed, root, snapshot_every=0)
     state = store.read_state(spark, root).cache()
     written = 0
-    for n in range(1, 40):
+    for n in range(1, 19):
         manifest = store.begin(spark, root, n)
         row = state.where(F.col("external_id") == f"ba-{n % 3}").withColumn("severity", F.lit(1).cast("short"))
         row = row.withColumns({"action": F.lit("updated"), "batch": F.lit(n).cast("bigint"), "step": F.lit(0)})
         folder, sizes = store.write_events(row, root, f"batch={n}", manifest.buckets)
         manifest.add("events", folder, sizes)
         before = {f for b in manifest.runs["events"].values() for f, _ in b}
-        store.merge_runs(spark, root, manifest, most=4)
+        store.merge_runs(spark, root, manifest, most=3)
         store.commit(spark, root, manifest)
         merged = [(f, k) for b in manifest.runs["events"].values() for f, k in b if f not in before]
         written += sum(k for _, k in merged) + 1
     runs = store.load(spark, root).runs["events"]
-    assert all(len(r) <= 4 for r in runs.values()) and any(r[0][0] == "events/batch=0" for r in runs.values())
-    assert written < 39 * 8
+    assert all(len(r) <= 3 for r in runs.values()) and any(r[0][0] == "events/batch=0" for r in runs.values())
+    assert written < 18 * 8
     got = {r["external_id"]: r["severity"] for r in store.read_state(spark, root).collect()}
     assert len(got) == 60 and {got[f"ba-{i}"] for i in range(3)} == {1} and got["ba-5"] != 1
-    assert store.expire(spark, root, keep=1) > 20
+    assert store.expire(spark, root, keep=1) > 10
     assert store.read_state(spark, root).count() == 60
 
 
