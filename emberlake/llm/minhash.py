@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -300,17 +300,27 @@ def _crowded_pairs(members: DataFrame, edges: DataFrame, sets: DataFrame, percen
     least = found.where(~F.col("light")).groupBy("h").agg(F.min("e").alias("er"))
     found = found.join(least, "h").select("h", "nid", "label", "e", "d", "em", "er", "light")
 
-    def prefix(rows: DataFrame, other: str, name: str) -> DataFrame:
-        need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col(other)) / 2 - slack).cast("int"))
+    def prefix(other: Column, name: str) -> DataFrame:
+        """The differences that can be the first one shared with a member of excess ``other`` or more; ``r``: how many are left from there on."""
+        need = F.greatest(F.lit(1), F.ceil((F.col("e") + other) / 2 - slack).cast("int"))
         size = F.greatest(F.lit(0), F.size("d") - need + 1)
-        return rows.select(
-            "h", F.explode(F.slice("d", F.lit(1), size)).alias("t"), F.col("nid").alias(name), F.col("label").alias(f"l{name}")
-        )
-
-    light, heavy = found.where("light"), found.where(~F.col("light"))
-    mixed = prefix(heavy, "em", "x").join(prefix(light, "er", "y"), ["h", "t"]).where("lx <> ly").select("x", "y")
-    among = prefix(heavy, "er", "x").join(prefix(heavy, "er", "y"), ["h", "t"]).where("x < y and lx <> ly").select("x", "y")
-    pairs = stars.unionByName(mixed).unionByName(among)
+        return found.withColumn("n", F.size("d")).select(
+            "h",
+            F.posexplode(F.slice("d", F.lit(1), size)).alias("at", "t"),
+            *(F.col(c).alias(f"{c}{name}") for c in ("nid", "label", "e", "light")),
+            (F.col("n") - F.col("at")).alias(f"r{name}"),
+        ).drop("at")
+
+    # Of two members the one with the larger excess (x) looks up the other (y), which so needs to share at least its own excess.
+    asking = prefix(F.when(F.col("light"), F.col("er")).otherwise(F.col("em")), "x")
+    asked = prefix(F.col("e"), "y")
+    met = asking.join(asked, ["h", "t"]).where(
+        (F.struct("ey", "nidy") < F.struct("ex", "nidx"))
+        & (F.col("labelx") != F.col("labely"))
+        & ~(F.col("lightx") & F.col("lighty"))
+        & (F.col("ex") + F.col("ey") <= 2 * F.least("rx", "ry") + slack)
+    )
+    pairs = stars.unionByName(met.select(F.col("nidx").alias("x"), F.col("nidy").alias("y")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
