@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -298,6 +299,32 @@ def test_join_without_broadcast_salts_a_crowded_cell(spark, fires, areas, monkey
     assert len(got) == 5 and len(set(got)) == 5
 
 
+def test_a_long_outline_is_cut_from_strips_to_cells(spark):
+    rnd = random.Random(5)
+    corners = 4000
+    ring = []
+    for i in range(corners):
+        turn, reach = 2 * math.pi * i / corners, rnd.uniform(5.0, 9.0)
+        ring.append((reach * math.cos(turn), 40 + reach * math.sin(turn)))
+    coast = spark.createDataFrame([("01", "Coast", polygon(*ring))], schemas.PROVINCES)
+    spots = [(rnd.uniform(-9, 9), rnd.uniform(31, 49)) for _ in range(300)]
+    events = events_frame(spark, [event(f"p{i}", point(*p)) for i, p in enumerate(spots)])
+
+    def odd(x, y):
+        inside = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (y1 > y) != (y2 > y) and x < x1 + (x2 - x1) * (y - y1) / (y2 - y1):
+                inside = not inside
+        return inside
+
+    placed = events.select("id", F.col("external_id").alias("name")).join(spatial_join.join_within(events, coast), "id")
+    got = {r["name"] for r in placed.collect()}
+    assert got == {f"p{i}" for i, p in enumerate(spots) if odd(*p)} and 0 < len(got) < 300
+    cells = spatial_join.area_cells(coast, ["province_code"])
+    assert cells.count() == cells.select("cx", "cy").distinct().count()
+    assert cells.where("near_edges is null").count() > 0
+
+
 def test_prepare_provinces(spark):
     g = square(0, 0, 1)
     raw = spark.createDataFrame(
