@@ -15,7 +15,8 @@ other link shows up among the first elements of D and E (the prefix filter), rar
 link between components is lost, and members that only share what all share never meet.
 
 Documents without words are linked with nothing. Rows without an id are not linked: their
-component is null and they are kept. Rows that share an id are one document: they stay or go together.
+component is null and they are kept. Rows that share an id are one document: they stay or go together. Other columns of any
+name do not matter to ``linked``; ``kept_rows`` returns the input's own columns.
 """
 
 from __future__ import annotations
@@ -312,7 +313,9 @@ def _crowded_pairs(members: DataFrame, edges: DataFrame, sets: DataFrame, percen
         ).drop("at")
 
     # Of two members the one with the larger excess (x) looks up the other (y), which so needs to share at least its own excess.
-    asking = prefix(F.when(F.col("light"), F.col("er")).otherwise(F.col("em")), "x")
+    # The other's set is at most 100 / percent times as large, and of n shingles with excess e it has e + kappa n to share.
+    most = (F.size("d") - F.col("e")) * 100 / percent
+    asking = prefix(F.greatest(F.when(F.col("light"), F.col("er")).otherwise(F.col("em")), F.col("e") - 2 * most), "x")
     asked = prefix(F.col("e"), "y")
     met = asking.join(asked, ["h", "t"]).where(
         (F.struct("ey", "nidy") < F.struct("ex", "nidx"))
