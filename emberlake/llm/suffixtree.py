@@ -18,6 +18,7 @@ the chunk dictionaries of ``chunks``.
 
 Words are cut at ASCII white space and A-Z is lower-cased; every text ends with one end token. Null and empty texts
 are the end token alone. Rows without an id are never held out. Repeated rows are scored and counted one by one.
+Other columns of the input do not matter, whatever their names.
 """
 
 from __future__ import annotations

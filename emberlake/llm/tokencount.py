@@ -8,7 +8,7 @@ holds one batch and a store of finished pre-tokens of bounded size.
 Scores: the vocabulary is a public rank file and is not trained. By Zipf's law a piece of rank r weighs
 ``-ln(r + 2)``, less the log of the sum of all weights. The best segmentation has the largest sum; on ties the
 fewest pieces. A byte that no piece covers counts as one token and scores like the last rank.
-Null and empty texts have no tokens.
+Null and empty texts have no tokens. Repeated rows are counted one by one.
 """
 
 from __future__ import annotations
