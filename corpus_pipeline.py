@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
 ``documents``; the last adds the ids of each text and the bytes they decode to.
+
+A null text reads as an empty one, and an empty text has too few words to pass the first stage. Rows that repeat an id share its
+fate in near_dedup and are judged one by one elsewhere; of equal texts the smallest id stays, of equal lines those of the
+largest id. Rows without an id are never near-duplicates. Empty tables give empty results, and no items reject nothing.
 """
 
 from __future__ import annotations
