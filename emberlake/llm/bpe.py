@@ -1,14 +1,13 @@
 """Byte-level BPE in Spark's higher-order functions.
 
-Encoding: the distinct pre-tokens of the corpus are arrays of bytes, each given by its rank, and an aggregate over the
-array folds the merges, lowest rank first and leftmost among equals. What two neighbours make together is looked up in
-a literal map from pairs of ranks to ranks that is part of the plan. A pre-token that is itself in the vocabulary is
-one id. The ids come back to the documents through the chunk dictionaries of ``chunks``. Decoding looks up the bytes
-of each id in a literal array and concatenates them.
+Encoding: the distinct pre-tokens of the corpus are arrays of bytes (as hex), and an aggregate over the array folds the
+merges, lowest rank first and leftmost among equals, looking ranks up in a literal map that is part of the plan. A
+pre-token that is itself in the vocabulary is one id. The ids come back to the documents through the chunk
+dictionaries of ``chunks``. Decoding looks up the bytes of each id in a literal array and concatenates them.
 
 The vocabulary is a ``.tiktoken`` rank file; its path is a parameter and it must hold all single bytes. Null and empty
-texts have no ids. Special tokens are ordinary text. Repeated rows are encoded one by one. The result has the id's column and
-``ids`` alone, so other columns of any name do not matter. A pre-token longer than ``FOLD_BYTES`` would make the fold
+texts have no ids. Special tokens are ordinary text. Repeated rows are encoded one by one; the result has
+the id's column and ``ids`` alone, so other columns of any name do not matter. A pre-token longer than ``FOLD_BYTES`` would make the fold
 quadratic; its merges run over a heap instead, with the same result.
 """
 
@@ -32,41 +31,20 @@ from emberlake.llm.common import text_of
 from emberlake.llm.tokencount import rank_table
 
 MAP_BUCKETS = 8192
-# a prime, so that keys spread; a pair of ranks is one number to the base
-PAIR_BUCKETS = 40_009
-PAIR_BASE = 1 << 31
 FOLD_BYTES = 256
 CHUNK_CHARS = 20_000_000
 # chunks whose dictionaries share one encoding of a word; bounds the list kept per word
 CHUNK_BLOCK = 256
 
 
-def _as_literal(table: dict, bucket, buckets: int) -> str:
-    """A table as JSON: an array of small maps, one for each value of ``bucket(key)``."""
-    maps: list[dict] = [{} for _ in range(buckets)]
-    for key, value in table.items():
-        maps[bucket(key)][key] = value
-    return json.dumps(maps, separators=(",", ":"))
-
-
 @functools.lru_cache(maxsize=4)
 def _hex_ranks(vocabulary: str) -> str:
-    """The ranks of whole pieces, by the CRC of the piece in hex."""
-    ranks = {piece.hex().upper(): rank for piece, rank in rank_table(vocabulary).items()}
-    return _as_literal(ranks, lambda key: zlib.crc32(key.encode()) % MAP_BUCKETS, MAP_BUCKETS)
-
-
-@functools.lru_cache(maxsize=4)
-def _pair_ranks(vocabulary: str) -> str:
-    """The ranks of all pieces that two others make, by the ranks of these two."""
-    ranks = rank_table(vocabulary)
-    pairs = {}
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                pairs[left * PAIR_BASE + right] = rank
-    return _as_literal(pairs, lambda key: key % PAIR_BUCKETS, PAIR_BUCKETS)
+    """The rank map as JSON: an array of small maps, chosen by the CRC of the key."""
+    buckets: list[dict[str, int]] = [{} for _ in range(MAP_BUCKETS)]
+    for piece, rank in rank_table(vocabulary).items():
+        key = piece.hex().upper()
+        buckets[zlib.crc32(key.encode()) % MAP_BUCKETS][key] = rank
+    return json.dumps(buckets, separators=(",", ":"))
 
 
 @functools.lru_cache(maxsize=4)
@@ -79,79 +57,74 @@ def _hex_pieces(vocabulary: str) -> str:
 
 
 def rank_map(vocabulary: str) -> Column:
-    """The ranks of pieces as one literal; the optimizer folds the parsing away."""
+    """The ranks as one literal; the optimizer folds the parsing away."""
     return F.from_json(F.lit(_hex_ranks(vocabulary)), "array<map<string,int>>")
 
 
-def pair_map(vocabulary: str) -> Column:
-    """The ranks of merged pairs as one literal."""
-    return F.from_json(F.lit(_pair_ranks(vocabulary)), "array<map<string,int>>").cast("array<map<bigint,int>>")
-
-
 def rank_of(key: Column, ranks: Column) -> Column:
     """The rank of a byte string given as hex, or null."""
     return F.get(ranks, (F.crc32(key.cast("binary")) % MAP_BUCKETS).cast("int"))[key]
 
 
-def merge_of(left: Column, right: Column, pairs: Column) -> Column:
-    """The rank of what two pieces make together, or null; null, too, beside either end of the word."""
-    return _let(
-        left.cast("bigint") * PAIR_BASE + right, lambda key: F.get(pairs, (key % PAIR_BUCKETS).cast("int"))[key]
-    )
-
-
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _start(word: Column, ranks: Column, pairs: Column) -> Column:
-    """The ranks of the single bytes, and of what each makes with its right neighbour."""
+def _start(word: Column, ranks: Column) -> Column:
+    """Single bytes and the rank of each with its right neighbour."""
     single = F.transform(
-        F.sequence(F.lit(1), (F.length(word) / 2).cast("int")), lambda i: rank_of(F.substring(word, i * 2 - 1, 2), ranks)
+        F.sequence(F.lit(1), (F.length(word) / 2).cast("int")), lambda i: F.substring(word, i * 2 - 1, 2)
     )
     return _let(
         single,
-        lambda p: F.struct(p.alias("p"), F.transform(p, lambda x, i: merge_of(x, F.get(p, i + 1), pairs)).alias("r")),
+        lambda p: F.struct(
+            p.alias("p"), F.transform(p, lambda x, i: rank_of(F.concat(x, F.get(p, i + 1)), ranks)).alias("r")
+        ),
     )
 
 
-def _merged(acc: Column, k: Column, low: Column, pairs: Column) -> Column:
-    """The pair at 0-based place k as the one piece of rank ``low``, and what it makes with its new neighbours."""
+def _merged(acc: Column, k: Column, ranks: Column) -> Column:
+    """The pieces with the pair at 0-based place k made one, and the ranks of its new neighbours."""
     p, r = acc["p"], acc["r"]
-    left = F.when(k > 0, F.array(merge_of(F.get(p, k - 1), low, pairs))).otherwise(F.array().cast("array<int>"))
-    right = F.array(merge_of(low, F.get(p, k + 2), pairs))
-    before = F.slice(r, 1, F.greatest(k - 1, F.lit(0)))
-    return F.struct(
-        F.concat(F.slice(p, 1, k), F.array(low), F.slice(p, k + 3, F.size(p))).alias("p"),
-        F.concat(before, left, right, F.slice(r, k + 3, F.size(r))).alias("r"),
-    )
+
+    def with_piece(piece: Column) -> Column:
+        left = F.when(k > 0, F.array(rank_of(F.concat(F.get(p, k - 1), piece), ranks))).otherwise(
+            F.array().cast("array<int>")
+        )
+        right = F.array(rank_of(F.concat(piece, F.get(p, k + 2)), ranks))
+        before = F.slice(r, 1, F.greatest(k - 1, F.lit(0)))
+        return F.struct(
+            F.concat(F.slice(p, 1, k), F.array(piece), F.slice(p, k + 3, F.size(p))).alias("p"),
+            F.concat(before, left, right, F.slice(r, k + 3, F.size(r))).alias("r"),
+        )
+
+    return _let(F.concat(F.get(p, k), F.get(p, k + 1)), with_piece)
 
 
 def folded(word: Column, vocabulary: str) -> Column:
     """The ids of a pre-token, natively."""
 
-    def fold(h: Column, ranks: Column, pairs: Column) -> Column:
+    def fold(h: Column, ranks: Column) -> Column:
         def step(acc: Column, _: Column) -> Column:
             return _let(
                 F.array_min(acc["r"]),
                 lambda low: F.when(low.isNull(), acc).otherwise(
-                    _let((F.array_position(acc["r"], low) - 1).cast("int"), lambda k: _merged(acc, k, low, pairs))
+                    _let((F.array_position(acc["r"], low) - 1).cast("int"), lambda k: _merged(acc, k, ranks))
                 ),
             )
 
         rounds = F.sequence(F.lit(1), F.greatest((F.length(h) / 2).cast("int") - 1, F.lit(1)))
-        return F.aggregate(rounds, _start(h, ranks, pairs), step, lambda acc: acc["p"])
+        return F.aggregate(
+            rounds, _start(h, ranks), step, lambda acc: F.transform(acc["p"], lambda x: rank_of(x, ranks))
+        )
 
-    def ids(h: Column, ranks: Column, pairs: Column) -> Column:
+    def ids(h: Column, ranks: Column) -> Column:
         return _let(
-            rank_of(h, ranks), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(h, ranks, pairs))
+            rank_of(h, ranks), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(h, ranks))
         )
 
-    def with_pairs(h: Column, ranks: Column) -> Column:
-        return _let(pair_map(vocabulary), lambda pairs: ids(h, ranks, pairs))
-
-    return _let(F.hex(F.encode(word, "utf-8")), lambda h: _let(rank_map(vocabulary), lambda ranks: with_pairs(h, ranks)))
+    return _let(F.hex(F.encode(word, "utf-8")), lambda h: _let(rank_map(vocabulary), lambda ranks: ids(h, ranks)))
 
 
 def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
