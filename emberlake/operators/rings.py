@@ -84,19 +84,20 @@ def _long_crossings(shapes: DataFrame) -> DataFrame:
     filed = (
         placed.withColumn("cx", F.explode(F.sequence("lx", "hx")))
         .withColumn("cy", F.explode(F.sequence("ly", "hy")))
-        .select("key", "n", "i", "e", "lx", "ly", "cx", "cy")
+        .groupBy("key", "cx", "cy")
+        .agg(F.collect_list(F.struct("n", "i", "e", "lx", "ly")).alias("met"))
+        # a join of the cells with themselves would be broadcast: the planner cannot know their number
+        .where(F.col("key").isNotNull() & (F.size("met") > 1))
     )
-    other = filed.select(
-        "key", "cx", "cy", F.col("i").alias("j"), F.col("e").alias("f"),
-        F.col("lx").alias("fx"), F.col("ly").alias("fy"),
-    )
-    pairs = filed.join(other, ["key", "cx", "cy"]).where(
-        (F.col("i") < F.col("j"))
-        & (F.col("cx") == F.greatest("lx", "fx"))
-        & (F.col("cy") == F.greatest("ly", "fy"))
+    pairs = (
+        filed.withColumn("p", F.explode("met")).withColumn("q", F.explode("met")).where(
+            (F.col("p.i") < F.col("q.i"))
+            & (F.col("cx") == F.greatest("p.lx", "q.lx"))
+            & (F.col("cy") == F.greatest("p.ly", "q.ly"))
+        )
     )
-    a, b = F.col("e"), F.col("f")
-    return pairs.where(_conflict(a, b, F.col("i"), F.col("j"), F.col("n"))).select(
+    a, b = F.col("p.e"), F.col("q.e")
+    return pairs.where(_conflict(a, b, F.col("p.i"), F.col("q.i"), F.col("p.n"))).select(
         "key", _height(a, b).alias("y")
     )
 
@@ -155,10 +156,13 @@ def audit_rings(rings: DataFrame) -> DataFrame:
     its slabs; a sound ring takes the ordinary formula. ``empty`` marks rings that enclose nothing
     and belong in quarantine.
     """
-    shapes = grid.computed(rings.select("key", "ring"), segs=_sound_edges(F.col("ring")))
+    keyed = rings.select("key", "ring")
+    shapes = grid.computed(keyed, segs=_sound_edges(F.col("ring")))
     is_short = F.size("segs") <= SHORT_RING
     short = grid.computed(shapes.where(is_short), found=_short_crossings(F.col("segs")))
-    long = shapes.where(~is_short)
+    # few corners are few segments, so the segments of most rings are not needed a second time
+    many = grid.computed(keyed.where(F.size("ring") > SHORT_RING), segs=_sound_edges(F.col("ring")))
+    long = many.where(~is_short)
     crossed = _long_crossings(long).groupBy("key").agg(
         F.count("*").alias("crossings"), F.collect_set("y").alias("heights")
     )
@@ -166,14 +170,11 @@ def audit_rings(rings: DataFrame) -> DataFrame:
         "key", "ring", "segs", F.size("found").cast("bigint").alias("crossings"),
         F.array_compact("found").alias("heights"),
     ).unionByName(
-        long.join(crossed, "key", "left").select(
+        long.join(crossed.hint("merge"), "key", "left").select(
             "key", "ring", "segs", F.coalesce("crossings", F.lit(0)).alias("crossings"),
             F.coalesce("heights", F.array().cast("array<double>")).alias("heights"),
         )
     )
-    levels = F.sort_array(
-        F.array_distinct(F.concat(F.transform("segs", lambda e: e["y1"]), F.col("heights")))
-    )
     plain = geometry.let(
         geometry.moments_of_parts(F.array(F.array(F.col("ring")))),
         lambda m: F.struct(
@@ -181,7 +182,12 @@ def audit_rings(rings: DataFrame) -> DataFrame:
         ),
     )
     crossing = F.col("crossings") > 0
-    region = F.when(crossing, _even_odd_moments(F.col("segs"), levels)).otherwise(plain)
+    levels = F.sort_array(
+        F.array_distinct(F.concat(F.transform("segs", lambda e: e["y1"]), F.col("heights")))
+    )
+    # named four times below
+    judged = grid.computed(judged, levels=F.when(crossing, levels))
+    region = F.when(crossing, _even_odd_moments(F.col("segs"), F.col("levels"))).otherwise(plain)
     flat = F.coalesce(F.col("m.a") <= F.lit(FLAT) * F.col("extent") * F.col("extent"), F.lit(True))
     xs, ys = F.transform("segs", lambda e: e["x1"]), F.transform("segs", lambda e: e["y1"])
     extent = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))

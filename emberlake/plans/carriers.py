@@ -424,7 +424,9 @@ def derive_long_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = way(F.sequence(F.lit(0).cast("bigint"), m), 1)
     back = way(F.sequence(m, F.lit(0).cast("bigint")), 0)
     ring = F.concat(out, back, F.slice(out, 1, 1))
-    return table(spark, sf_dir, "customer").select(k.cast("string").alias("key"), ring.alias("ring"))
+    # a file of short rows makes few tasks, and the rings are many times as long
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition("c_custkey")
+    return keys.select(k.cast("string").alias("key"), ring.alias("ring"))
 
 
 LONG_RINGS_SQL = """WITH k AS (SELECT c_custkey AS k, 13 + c_custkey % 21 AS m, 1 + c_custkey % 5 AS wide, 2 + c_custkey % 3 AS high

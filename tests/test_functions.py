@@ -213,3 +213,15 @@ def test_long_ring_crossing_is_found_once(spark):
     df = spark.createDataFrame([("w", _ring(*wave, *back))], "key string, ring array<struct<x:double,y:double>>")
     row = rings.audit_rings(df).first()
     assert row["crossings"] == 2 and row["area"] > 0
+
+
+def test_long_rings_are_not_broadcast(spark):
+    """The planner takes segments filed by cell for a small table, however many they are."""
+    corners = [(i, i % 2) for i in range(20)] + [(i, 1 - i % 2) for i in reversed(range(20))]
+    ring = [{"x": float(x), "y": float(y)} for x, y in [*corners, corners[0]]]
+    df = spark.createDataFrame([("a", ring), ("b", ring)], "key string, ring array<struct<x: double, y: double>>")
+    found = rings.audit_rings(df)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["key"], r["crossings"], r["area"]) for r in found.orderBy("key").collect()] == [
+        ("a", 19, pytest.approx(9.5)), ("b", 19, pytest.approx(9.5))
+    ]
