@@ -174,14 +174,29 @@ def _ring_moments(ring: Column, weight: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
     base = ring[0]
 
-    def step(acc, e):
-        x1, y1 = e["x1"] - base["x"], e["y1"] - base["y"]
-        x2, y2 = e["x2"] - base["x"], e["y2"] - base["y"]
-        cross = x1 * y2 - x2 * y1
+    def moved(e):
         return F.struct(
-            (acc["a"] + cross).alias("a"),
-            (acc["mx"] + (x1 + x2) * cross).alias("mx"),
-            (acc["my"] + (y1 + y2) * cross).alias("my"),
+            (e["x1"] - base["x"]).alias("x1"),
+            (e["y1"] - base["y"]).alias("y1"),
+            (e["x2"] - base["x"]).alias("x2"),
+            (e["y2"] - base["y"]).alias("y2"),
+        )
+
+    # what the sums name several times is an element of its own, so that it is computed once
+    turns = F.transform(
+        F.transform(_ring_edges(ring), moved),
+        lambda e: F.struct(
+            (e["x1"] * e["y2"] - e["x2"] * e["y1"]).alias("cross"),
+            (e["x1"] + e["x2"]).alias("x"),
+            (e["y1"] + e["y2"]).alias("y"),
+        ),
+    )
+
+    def step(acc, t):
+        return F.struct(
+            (acc["a"] + t["cross"]).alias("a"),
+            (acc["mx"] + t["x"] * t["cross"]).alias("mx"),
+            (acc["my"] + t["y"] * t["cross"]).alias("my"),
         )
 
     def finish(acc):
@@ -192,7 +207,7 @@ def _ring_moments(ring: Column, weight: Column) -> Column:
             (acc["my"] * sign / 3 + base["y"] * acc["a"] * sign).alias("my"),
         )
 
-    return F.aggregate(_ring_edges(ring), zero, step, finish)
+    return F.aggregate(turns, zero, step, finish)
 
 
 def moments_of_parts(parts: Column) -> Column:

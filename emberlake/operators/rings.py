@@ -56,8 +56,7 @@ def _long_crossings(shapes: DataFrame) -> DataFrame:
     Segments meet in the cells of a grid laid over their own ring, sized to its segment count, so
     a long ring is spread over its cells and only near segments are compared.
     """
-    xs = F.transform("segs", lambda e: e["x1"])
-    ys = F.transform("segs", lambda e: e["y1"])
+    xs, ys = F.col("segs")["x1"], F.col("segs")["y1"]
     sized = grid.computed(
         shapes.select("key", "segs"),
         n=F.size("segs"),
@@ -183,13 +182,13 @@ def audit_rings(rings: DataFrame) -> DataFrame:
     )
     crossing = F.col("crossings") > 0
     levels = F.sort_array(
-        F.array_distinct(F.concat(F.transform("segs", lambda e: e["y1"]), F.col("heights")))
+        F.array_distinct(F.concat(F.col("segs")["y1"], F.col("heights")))
     )
     # named four times below
     judged = grid.computed(judged, levels=F.when(crossing, levels))
     region = F.when(crossing, _even_odd_moments(F.col("segs"), F.col("levels"))).otherwise(plain)
     flat = F.coalesce(F.col("m.a") <= F.lit(FLAT) * F.col("extent") * F.col("extent"), F.lit(True))
-    xs, ys = F.transform("segs", lambda e: e["x1"]), F.transform("segs", lambda e: e["y1"])
+    xs, ys = F.col("segs")["x1"], F.col("segs")["y1"]
     extent = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
     return grid.computed(judged, m=region, extent=extent).select(
         "key",
