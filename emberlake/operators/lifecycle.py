@@ -71,15 +71,19 @@ def close_events(state: DataFrame, closings: DataFrame, at: Column) -> DataFrame
 
     Only events open at that time are touched: no end, or a later one.
     """
-    earliest = closings.groupBy(*KEY).agg(F.min("ended_at").alias("_to"))
+    return _closed(state, closings.groupBy(*KEY).agg(F.min("ended_at").alias("_to")), at)
+
+
+def _closed(state: DataFrame, earliest: DataFrame, at: Column) -> DataFrame:
+    """Events ended at ``_to`` of their key, with the other columns that ``earliest`` has of it."""
+    extra = [c for c in earliest.columns if c not in (*KEY, "_to")]
     return (
-        _touched(state, earliest)
-        .join(earliest, KEY)
+        state.join(earliest, KEY)
         .where(F.col("ends_at").isNull() | (F.col("ends_at") > F.col("_to")))
         .withColumn("ends_at", F.col("_to"))
         .withColumn("updated_at", at)
         .withColumn("action", F.lit("closed"))
-        .select(*EVENT_COLUMNS, "action")
+        .select(*EVENT_COLUMNS, "action", *extra)
     )
 
 
@@ -123,23 +127,25 @@ def close_superseded(state: DataFrame, warnings: DataFrame, at: Column) -> DataF
     Several moments for one event end it at the earliest. ``closings`` counts how often it was
     closed on the way: each turn that lowers the end reached so far counts once.
     """
-    # read four times below
+    # written, as the planner cannot know how many references there are
     steps = materialised(superseded(warnings), "closings")
-    ends = _touched(state, steps).select(*KEY, F.col("ends_at").alias("_end"))
+    ends = state.select(*KEY, F.col("ends_at").alias("_end"))
     before = (
         Window.partitionBy(*KEY).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     )
     reached = F.least(F.min("ended_at").over(before), F.col("_end"))
+    # one pass for the earliest moment and the count, so that the events meet them once
     counted = (
         steps.join(ends, KEY)
         .withColumn("_reached", reached)
-        .where(F.col("_reached").isNull() | (F.col("_reached") > F.col("ended_at")))
         .groupBy(*KEY)
-        .agg(F.count("*").alias("closings"))
-    )
-    return close_events(state, steps, at).join(counted, KEY).select(
-        *EVENT_COLUMNS, "action", "closings"
+        .agg(
+            F.min("ended_at").alias("_to"),
+            F.count_if(F.col("_reached").isNull() | (F.col("_reached") > F.col("ended_at"))).alias("closings"),
+        )
+        .where(F.col("closings") > 0)
     )
+    return _closed(state, counted, at)
 
 
 def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:

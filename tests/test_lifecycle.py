@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlake import schemas
 from emberlake.operators import lifecycle, replay, status
+from emberlake.session import materialised
 
 UTC = dt.timezone.utc
 
@@ -99,6 +100,18 @@ def test_superseding_takes_the_earliest_moment_and_counts_steps(spark):
     assert counts(lifecycle.close_superseded(state, rising, at())) == (0, 0, 1)
 
 
+def test_superseded_events_meet_the_moments_twice(spark):
+    """Once for the ends reached on the way and once for the closing: every further join sorts the events in the same task."""
+    h = lambda n: BASE + dt.timedelta(hours=n)
+    rows = batch(spark, [event(n, point(0, 0), source="aemet", ends_at=h(e)) for n, e in (("x", 9), ("y", 1), ("z", 9))])
+    state = materialised(lifecycle.reconcile(empty(spark), rows, at(-3)).drop("action"))
+    sent = message(spark, [(1, "u", "Update", h(3), ["x", "y"]), (2, "c", "Cancel", h(2), ["x", "gone"])])
+    got = lifecycle.close_superseded(state, sent, at(5))
+    assert got._jdf.queryExecution().analyzed().toString().count("Join ") == 2
+    found = got.select("external_id", (F.col("ends_at") == at(2)).alias("first"), "closings", "action").collect()
+    assert [tuple(r) for r in found] == [("x", True, 2, "closed")]
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_replay_equals_the_poll_by_poll_fold(spark, monkeypatch, block):
     monkeypatch.setattr(replay, "BLOCK", block)
