@@ -70,8 +70,8 @@ def test_run_equals_the_stages(spark, sf_dir, stages):
 
 
 def test_registered():
-    assert "pipeline" in queries.QUERIES and len(queries.QUERIES) == 11
-    assert all(any(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11))
+    assert "pipeline" in queries.QUERIES and len(queries.QUERIES) == 14
+    assert all(any(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 14))
 
 
 def test_empty_and_odd_documents(spark, sf_dir):
