@@ -122,7 +122,7 @@ def refused_polls(spark, d):
 
 def sync_wildfires(spark, d):
     """Event table after the weekly fire polls."""
-    rows = sync.events(spark, _fire_store(spark, d))
+    rows = sync.events(spark, _fire_store(spark, d), ["severity", "starts_at", "ends_at", "attrs", "created_at"])
     attrs = F.col("attrs")
     return rows.select(
         "external_id", "severity", "starts_at", "ends_at",
@@ -211,8 +211,10 @@ def _quake_documents(spark, d, poll: int):
         ),
     )
     rows = table(spark, d, "orders").where((k % 4 == poll) | again)
+    # items are many times as long as their rows, so these meet before they are rendered
+    rows = rows.withColumn("chunk", F.floor(k / 600)).repartition("chunk")
     return (
-        rows.select(F.floor(k / 600).alias("chunk"), F.struct(k.alias("k"), item.alias("text")).alias("piece"))
+        rows.select("chunk", F.struct(k.alias("k"), item.alias("text")).alias("piece"))
         .groupBy("chunk")
         .agg(F.collect_list("piece").alias("pieces"))
         .select(

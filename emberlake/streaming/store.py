@@ -43,6 +43,7 @@ SCHEMAS = {
     "refused": T.StructType([T.StructField(n, T.StringType()) for n in ("poll_id", "source", "reason")]),
 }
 ORDER = ["batch", "step"]
+CLOSINGS = T.StructField("closings", T.LongType())
 
 
 @dataclass
@@ -139,21 +140,30 @@ def bucket_of(buckets: int) -> Column:
 
 def write_folder(rows: DataFrame, root: str, table: str, name: str) -> str:
     """Write rows as ``<table>/<name>``, a plain folder, and return its name below the root."""
-    rows.select(*SCHEMAS[table].fieldNames()).write.mode("overwrite").parquet(f"{root}/{table}/{name}")
+    written = rows.select(*SCHEMAS[table].fieldNames()).write.mode("overwrite")
+    written.option("compression", "zstd").parquet(f"{root}/{table}/{name}")
     return f"{table}/{name}"
 
 
 def write_events(rows: DataFrame, root: str, name: str, buckets: int) -> tuple[str, dict[str, int]]:
     """Write a run of events by bucket; return its folder and the rows per bucket.
 
-    Rows of a bucket come to one task, unless they are many: then the rebalance hint splits them.
+    Rows of a bucket come to one task, unless they are many: then the rebalance hint splits them. ``closings`` is kept beside
+    the event columns where rows have it, for ``written_changes``.
     """
     target = f"{root}/events/{name}"
-    placed = rows.select(*EVENTS.fieldNames(), bucket_of(buckets).alias("bucket")).hint("rebalance", "bucket")
-    placed.sortWithinPartitions("bucket", *KEY).write.mode("overwrite").partitionBy("bucket").parquet(target)
+    names = [*EVENTS.fieldNames(), *[c for c in rows.columns if c == "closings"]]
+    placed = rows.select(*names, bucket_of(buckets).alias("bucket")).hint("rebalance", "bucket")
+    writer = placed.sortWithinPartitions("bucket", *KEY).write.mode("overwrite").partitionBy("bucket")
+    writer.option("compression", "zstd").parquet(target)
     return f"events/{name}", _rows_per_bucket(rows.sparkSession, target)
 
 
+def written_changes(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """The rows of a run just written, with their ``closings``."""
+    return spark.read.schema(T.StructType([*EVENTS.fields, CLOSINGS])).parquet(f"{root}/{folder}")
+
+
 def _rows_per_bucket(spark: SparkSession, target: str) -> dict[str, int]:
     stored = spark.read.schema("action string, bucket int").parquet(target)
     return {str(r["bucket"]): r["count"] for r in stored.groupBy("bucket").count().collect()}
@@ -198,9 +208,13 @@ def newest(rows: DataFrame) -> DataFrame:
 
 
 def read_state(
-    spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None
+    spark: SparkSession,
+    root: str,
+    before: int | None = None,
+    keys: DataFrame | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """The event table after all committed batches below ``before``.
+    """The event table after all committed batches below ``before``, or its key and some ``columns``: no others are shuffled.
 
     With ``keys`` only those events are read: from their buckets alone, of which there are at most as many as the
     driver's manifest names, and filtered by key before anything is shuffled.
@@ -210,10 +224,11 @@ def read_state(
     if keys is not None and manifest is not None:
         numbers = keys.select(bucket_of(manifest.buckets).alias("b")).distinct().collect()
         buckets = sorted(str(r["b"]) for r in numbers)
-    rows = read_runs(spark, root, manifest, "events", buckets)
+    names = [n for n in schemas.EVENTS.fieldNames() if columns is None or n in (*KEY, *columns)]
+    rows = read_runs(spark, root, manifest, "events", buckets).select(*names, *ORDER)
     if keys is not None:
         rows = rows.join(keys.select(*KEY).distinct(), KEY, "left_semi")
-    return newest(rows).select(*schemas.EVENTS.fieldNames())
+    return newest(rows).select(*names)
 
 
 def merge_from(runs: list[list], most: int = MOST_RUNS) -> int | None:

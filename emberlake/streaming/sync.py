@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake import schemas
-from emberlake.functions import values
 from emberlake.operators import lifecycle
 from emberlake.operators.lifecycle import KEY
 from emberlake.session import materialised
@@ -29,6 +28,8 @@ logger = logging.getLogger(__name__)
 DOCUMENTS = "poll_id string, doc_id string, layer string, payload string"
 # Longest error text kept in the sync state.
 MAX_ERROR = 500
+# What a poll that closes nothing compares its rows with, and where they were.
+JUDGED = ["content_hash", "starts_at", "ends_at", "created_at"]
 MARKER = "poll_id string, poll_ts timestamp, documents string, err string"
 
 
@@ -69,14 +70,18 @@ def _accepted(records: DataFrame, whole: bool = False) -> DataFrame:
     return good
 
 
+def _last_records(records: DataFrame) -> DataFrame:
+    """The last record of each id, by its place in the poll: a record is narrower than the event row made of it."""
+    placed = records.drop("readable", "unit", "parse_ok").withColumn("ordinal", F.struct("doc_id", "position"))
+    return lifecycle.dedupe_last(placed, "ordinal", ["external_id"])
+
+
 def read_fires(documents: DataFrame) -> Bulletin:
-    """Both fire layers. Burnt areas missing from the next poll will be closed."""
-    rows = feeds.fire_events(
-        _accepted(feeds.ingest_hotspots(_layer(documents, "hotspots")), whole=True),
-        _accepted(feeds.ingest_burnt_areas(_layer(documents, "burnt_areas")), whole=True),
-    )
-    rows = lifecycle.dedupe_last(rows.drop("poll_id"), "ordinal")
-    watched = rows.where(values.attr(F.col("attrs"), "kind") == "burnt_area").select(*KEY)
+    """Both fire layers, whose ids differ by their prefix. Burnt areas missing from the next poll will be closed."""
+    hotspots = _accepted(feeds.ingest_hotspots(_layer(documents, "hotspots")), whole=True)
+    areas = _accepted(feeds.ingest_burnt_areas(_layer(documents, "burnt_areas")), whole=True)
+    rows = feeds.fire_events(_last_records(hotspots), _last_records(areas)).drop("poll_id", "ordinal")
+    watched = areas.select(F.lit("effis").alias("source"), "external_id").distinct()
     return Bulletin(rows, watched, None, None)
 
 
@@ -84,7 +89,7 @@ def read_quakes(documents: DataFrame) -> Bulletin:
     """The quake window. Nothing closes; the cursor is the latest event of a non-empty poll."""
     good = _accepted(feeds.ingest_quakes(_layer(documents, "quakes")), whole=True)
     latest = good.agg(F.max("occurred_at").cast("string").alias("t")).first()["t"]
-    rows = lifecycle.dedupe_last(feeds.quake_events(good).drop("poll_id"), "ordinal")
+    rows = feeds.quake_events(_last_records(good)).drop("poll_id", "ordinal")
     return Bulletin(rows, None, None, latest)
 
 
@@ -95,7 +100,8 @@ def read_warnings(documents: DataFrame, **limits: int) -> Bulletin:
         raise RefusedPoll("the bulletin exceeds its limits")
     good = _accepted(feeds.ingest_warnings(kept))
     rows, _ = feeds.warning_events(good)
-    rows = lifecycle.dedupe_last(rows.drop("poll_id"), "ordinal")
+    # written, as an event costs far more to make of its message than to read
+    rows = materialised(lifecycle.dedupe_last(rows.drop("poll_id"), "ordinal"), "poll")
     watched = rows.select(*KEY)
     messages = good.select("msg_type", "sent", "references", F.col("doc_id").alias("ordinal"))
     return Bulletin(rows, watched, messages, None)
@@ -185,7 +191,7 @@ def _apply_poll(
     documents = spark.read.schema(DOCUMENTS).parquet(marker["documents"])
     bulletin = READERS[source](documents, **limits)
     at = F.lit(marker["poll_ts"]).cast("timestamp")
-    rows = materialised(bulletin.rows, "poll")
+    rows = bulletin.rows
     previous = None
     wanted = rows.select(*KEY)
     if bulletin.watched is not None:
@@ -196,31 +202,37 @@ def _apply_poll(
     if bulletin.messages is not None:
         messages = materialised(bulletin.messages, "messages")
         wanted = wanted.unionByName(lifecycle.superseded(messages).select(*KEY))
-    # The events this poll can touch at all; the steps below run on them alone.
-    known = materialised(store.read_state(spark, root, before=batch_id, keys=wanted), "state")
+    # The events this poll can touch at all; the steps below run on them alone. Only what closes events needs them whole.
+    closes = previous is not None or messages is not None
+    columns = None if closes else JUDGED
+    known = materialised(store.read_state(spark, root, before=batch_id, keys=wanted, columns=columns), "state")
 
     steps = [lifecycle.reconcile(known, rows, at).withColumn("closings", F.lit(1))]
-    state = lifecycle.apply_changes(known, steps[0])
+    if closes:
+        # a step is written once: the run, and the state of the next step, hold its rows
+        steps[0] = materialised(steps[0], "upsert")
+        state = lifecycle.apply_changes(known, steps[0])
     if messages is not None:
         state = materialised(state, "state")
-        steps.append(lifecycle.close_superseded(state, messages, at))
+        steps.append(materialised(lifecycle.close_superseded(state, messages, at), "superseded"))
         state = lifecycle.apply_changes(state, steps[-1])
     if previous is not None:
-        state = materialised(state, "state")
         gone = lifecycle.close_vanished(state, previous, watched, at)
         steps.append(gone.withColumn("closings", F.lit(1)))
     changes = None
     for number, step in enumerate(steps):
         step = step.withColumn("step", F.lit(number)).withColumn("batch", F.lit(batch_id).cast("bigint"))
         changes = step if changes is None else changes.unionByName(step)
-    changes = materialised(changes, "changes")
+    # written as the run they become; a run that turns out empty is named by no manifest
+    changes = changes.withColumn("closings", F.col("closings").cast("bigint"))
+    folder, sizes = store.write_events(changes, root, f"batch={batch_id}", manifest.buckets)
+    changes = store.written_changes(spark, root, folder)
     counted = lifecycle.change_counts(changes).first()
     counts = (counted["inserted"], counted["updated"], counted["closed"]) if counted else (0, 0, 0)
 
     if bulletin.watched is not None:
         manifest.bulletin = store.write_folder(watched, root, "bulletin", f"batch={batch_id}")
     if any(counts):
-        folder, sizes = store.write_events(changes, root, f"batch={batch_id}", manifest.buckets)
         manifest.add("events", folder, sizes)
         manifest.unsaved.append(folder)
         manifest.touched = sorted({*map(tuple, manifest.touched), *_places(known, changes)})
@@ -244,7 +256,11 @@ def _refresh_snapshot(spark: SparkSession, root: str, manifest: store.Manifest,
     if not manifest.unsaved or (manifest.snapshot is not None and manifest.batch - manifest.snapshot < every):
         return False
     rows = spark.read.schema(store.EVENTS).parquet(*[f"{root}/{folder}" for folder in manifest.unsaved])
-    changed = materialised(store.newest(rows).select(*snapshot.schemas.SNAPSHOT.fieldNames()), "changed")
+    names = schemas.SNAPSHOT.fieldNames()
+    changed = rows.select(*names)
+    # a step has one row per key, so only runs of several steps hold a key twice
+    if len(rows.select(*store.ORDER).distinct().take(2)) > 1:
+        changed = materialised(store.newest(rows.select(*names, *store.ORDER)).select(*names), "changed")
     touched = [tuple(t) for t in manifest.touched]
     snapshot.update_snapshot(changed, touched, f"{root}/snapshot", version=manifest.batch)
     manifest.snapshot, manifest.unsaved, manifest.touched = manifest.batch, [], []
@@ -301,7 +317,7 @@ def land_poll(
         path = f"{landed}/documents/poll={poll_id}"
         documents.select(
             F.lit(poll_id).alias("poll_id"), "doc_id", "layer", "payload"
-        ).write.mode("overwrite").parquet(path)
+        ).write.mode("overwrite").option("compression", "zstd").parquet(path)
     marker = spark.createDataFrame([(poll_id, poll_ts, path, err)], MARKER)
     marker.coalesce(1).write.mode("append").parquet(f"{landed}/markers")
 
@@ -330,5 +346,6 @@ def refused_polls(spark: SparkSession, root: str) -> DataFrame:
     return store.read_table(spark, root, "refused")
 
 
-def events(spark: SparkSession, root: str) -> DataFrame:
-    return store.read_state(spark, root)
+def events(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
+    """The event table, or its key and some columns."""
+    return store.read_state(spark, root, columns=columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_feeds import area, cap, collection, info
 
 from emberlake.operators import status
+from emberlake.plans import streams
 from emberlake.sources import snapshot
 from emberlake.streaming import store, sync
 
@@ -242,3 +243,72 @@ def test_snapshot_follows_later_changes(spark, tmp_path):
     # the change of batch 1 is in the snapshot of batch 2, which changed nothing itself
     assert snapshot.versions(spark, f"{root}/snapshot") == [0, 2]
     assert snapshot.read_snapshot(spark, f"{root}/snapshot").count() == 2
+
+
+def noted(monkeypatch):
+    """Columns of every table a poll writes between its steps, by label."""
+    seen = {}
+    write = sync.materialised
+
+    def record(df, label="step"):
+        seen.setdefault(label, []).append(df.columns)
+        return write(df, label)
+
+    monkeypatch.setattr(sync, "materialised", record)
+    return seen
+
+
+def quakes(*found):
+    items = "".join(
+        f"<item><description>terremoto de magnitud {m} en MAR en la fecha 01/02/2026 12:00:00 en</description>"
+        f"<guid>http://www.example.org/x?evid={i}</guid><geo:lat>40</geo:lat><geo:long>-3</geo:long></item>"
+        for i, m in found
+    )
+    return f'<rss xmlns:geo="http://www.w3.org/2003/01/geo/wgs84_pos#"><channel>{items}</channel></rss>'
+
+
+def test_a_quake_poll_moves_no_more_columns_than_it_compares(spark, tmp_path, monkeypatch):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    seen = noted(monkeypatch)
+    land(spark, landed, 0, {"quakes": [quakes(("es1", 2.1), ("es2", 2.2)), quakes(("es1", 2.4))]})
+    land(spark, landed, 1, {"quakes": [quakes(("es1", 2.4), ("es2", 3.0), ("es3", 1.5))]})
+    sync.sync_quakes(spark, landed, root)
+    assert log(spark, root) == {0: (2, 0, 0), 1: (1, 1, 0)}
+    assert all("geom" not in c and "attrs" not in c for c in seen["state"]) and not {"poll", "changes", "changed"} & set(seen)
+    rows = store.read_state(spark, root, columns=["attrs"])
+    assert rows.columns == ["source", "external_id", "attrs"]
+    assert {r["external_id"]: json.loads(r["attrs"])["magnitude"] for r in rows.collect()} == {"es1": 2.4, "es2": 3.0, "es3": 1.5}
+    whole = {r["external_id"]: r["severity"] for r in sync.events(spark, root).collect()}
+    kept = {r["external_id"]: r["severity"] for r in snapshot.read_snapshot(spark, f"{root}/snapshot").collect()}
+    assert whole == kept and len(whole) == 3
+
+
+def test_a_fire_poll_writes_its_state_and_changes_once(spark, tmp_path, monkeypatch):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    none = collection()
+    land(spark, landed, 0, {"hotspots": [none], "burnt_areas": [collection(area(area="10"), area(fire_id="502")), collection(area(area="20"))]})
+    land(spark, landed, 1, {"hotspots": [none], "burnt_areas": [collection(area(area="20"))]})
+    land(spark, landed, 2, {"hotspots": [none], "burnt_areas": [collection(area(area="30"), area(fire_id="502"))]})
+    seen = noted(monkeypatch)
+    sync.sync_wildfires(spark, landed, root)
+    assert log(spark, root) == {0: (2, 0, 0), 1: (0, 0, 1), 2: (0, 2, 0)}
+    assert len(seen["state"]) == 3 and not {"poll", "changes"} & set(seen)
+    got = {r["external_id"]: json.loads(r["attrs"])["area_ha"] for r in sync.events(spark, root).collect()}
+    assert got["ba-501"] == 30.0 and set(got) == {"ba-501", "ba-502"}
+    assert set(ends(spark, root).values()) == {None}
+
+
+def test_a_run_of_two_steps_reaches_the_snapshot_by_its_last(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "store")
+    x, y = cap(info("es-ES", "x"), "x"), cap(info("es-ES", "y"), "y", "Update", "http://a,x,2026-07-01T02:03:04-00:00")
+    land(spark, landed, 0, {"warnings": [x, y]})
+    sync.sync_warnings(spark, landed, root)
+    assert log(spark, root)[0] == (2, 0, 1)
+    rows = snapshot.read_snapshot(spark, f"{root}/snapshot").selectExpr("external_id", "cast(ends_at as string) e").collect()
+    assert len(rows) == 2 and {r["external_id"]: r["e"] for r in rows} == ends(spark, root)
+
+
+def test_messages_and_reports_are_rendered_by_many_tasks(spark, sf_dir):
+    for documents in (streams._warning_documents, streams._fire_documents, streams._quake_documents):
+        plan = documents(spark, sf_dir, 0)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and plan.count("Exchange") == 1
