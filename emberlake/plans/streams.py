@@ -53,6 +53,8 @@ def _fire_documents(spark, d, week: int):
     """Both layers of one weekly poll. A fire is a (user, k % 20); ``k`` is its content, and a
     fire reported twice in a week comes last with its latest."""
     rows = polls(spark, d).where(F.floor(F.col("poll_no") / DAYS) == week)
+    # reports are many times as long as their rows, so these meet before they are rendered
+    rows = rows.withColumn("chunk", F.floor(F.col("ordinal") / PER_DOC)).repartition("chunk")
     user = F.substring("external_id", 4, 18).cast("bigint")
     r = F.col("k") % 20
     key = F.concat_ws("-", user.cast("string"), r.cast("string"))
@@ -75,7 +77,7 @@ def _fire_documents(spark, d, week: int):
     )
     hot = user % 3 == 0
     pieces = rows.select(
-        F.floor(F.col("ordinal") / PER_DOC).alias("chunk"),
+        "chunk",
         F.when(hot, "hotspots").otherwise("burnt_areas").alias("layer"),
         F.struct("ordinal", F.when(hot, spot).otherwise(area).alias("text")).alias("piece"),
     )
