@@ -243,7 +243,8 @@ def _quake_store(spark, d):
 
 def sync_quakes(spark, d):
     """Quake counts per change notice next to the final table, by strength."""
-    rows = sync.events(spark, _quake_store(spark, d))
+    kept = ["severity", "starts_at", "ends_at", "attrs", "created_at", "updated_at"]
+    rows = sync.events(spark, _quake_store(spark, d), kept)
     return rows.select(
         "external_id", "severity", "starts_at", "ends_at",
         values.attr_double(F.col("attrs"), "magnitude").alias("magnitude"),
@@ -320,7 +321,8 @@ def _warning_documents(spark, d, week: int):
         F.when(kind != "Alert", _element("references", refs)).otherwise(""),
         F.when(kind != "Cancel", info).otherwise(""),
     )
-    return e.where(served).select(
+    # a file of short rows makes few tasks, and the messages are many times as long
+    return e.where(served).repartition("event_id").select(
         F.lpad(i.cast("string"), 12, "0").alias("doc_id"),
         F.lit("warnings").alias("layer"),
         F.concat(F.lit('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), body, F.lit("</alert>")).alias(
@@ -337,7 +339,8 @@ def _land_warnings(spark, d, landed):
 def sync_warnings(spark, d):
     """Warning table after the weekly bulletins: windows cut by successors and by withdrawal."""
     root = _run(spark, d, "warnings", _land_warnings, sync.sync_warnings)
-    return sync.events(spark, root).select("external_id", "starts_at", "ends_at", "created_at")
+    kept = ["external_id", "starts_at", "ends_at", "created_at"]
+    return sync.events(spark, root, kept).select(*kept)
 
 
 WARNINGS_SQL = f"""WITH m AS (SELECT event_id AS i, event_type, date_trunc('hour', ts) AS sent,
