@@ -16,10 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake import schemas
+from emberlake import schemas, session
 from emberlake.operators import lifecycle
 from emberlake.operators.lifecycle import KEY
-from emberlake.session import materialised
 from emberlake.sources import feeds, snapshot
 from emberlake.streaming import store
 
@@ -33,6 +32,10 @@ JUDGED = ["content_hash", "starts_at", "ends_at", "created_at"]
 MARKER = "poll_id string, poll_ts timestamp, documents string, err string"
 
 
+def materialised(df: DataFrame, label: str = "step") -> DataFrame:
+    return session.materialised(df, label, codec="zstd")
+
+
 @dataclass(frozen=True)
 class Bulletin:
     """One poll, read: event rows, keys whose absence closes, and closing messages."""
