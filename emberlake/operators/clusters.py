@@ -481,12 +481,21 @@ def _point_sites(events: DataFrame, side: float) -> DataFrame:
     )
 
 
+# Sorting by a nested outline compares corner by corner; a hash before it settles all but equal ones.
+OUTLINE = ["_hash", "parts"]
+
+
+def _outline_key() -> list[Column]:
+    return [F.xxhash64("geom.parts").alias("_hash"), F.col("geom.parts").alias("parts")]
+
+
 def _shape_sites(events: DataFrame) -> DataFrame:
     outlines = (
         events.where(~geometry.is_point(F.col("geom")))
-        .select("id", "severity", "starts_at", F.col("geom.parts").alias("parts"))
-        .groupBy("parts")
+        .select("id", "severity", "starts_at", *_outline_key())
+        .groupBy(*OUTLINE)
         .agg(*_measures())
+        .drop("_hash")
     )
     placed = grid.computed(
         outlines, mparts=F.transform("parts", lambda p: F.transform(p, projection.ring_to_metres))
@@ -550,7 +559,7 @@ def _shape_weights(
     return both.groupBy(F.col("lid").alias("num")).agg(F.sum("n").alias("others"))
 
 
-# Cells are numbered below zero, outlines from zero on.
+# Cells are numbered below zero, against the order of (cx, cy).
 _HALF_GRID = 1 << 30
 
 
@@ -558,6 +567,25 @@ def _cell_node(cx: Column, cy: Column) -> Column:
     return -((cx + _HALF_GRID) * (2 * _HALF_GRID) + (cy + _HALF_GRID)) - 1
 
 
+def _cover_links(covered: DataFrame) -> DataFrame:
+    """Edges (u, v) between cells that join all cells of an outline: the next one in its row, the first one of its next row.
+
+    Outlines over the same ground give the same edges, so these grow with the cells, not with cells times outlines.
+    """
+    cells = covered.select("num", "cx", "cy")
+    along = Window.partitionBy("num", "cy").orderBy("cx")
+    beside = cells.select("cx", "cy", F.lead("cx").over(along).alias("dx"), F.col("cy").alias("dy"))
+    up = Window.partitionBy("num").orderBy("cy")
+    firsts = cells.groupBy("num", "cy").agg(F.min("cx").alias("cx"))
+    above = firsts.select("cx", "cy", F.lead("cx").over(up).alias("dx"), F.lead("cy").over(up).alias("dy"))
+    return (
+        beside.unionByName(above)
+        .where(F.col("dx").isNotNull())
+        .distinct()
+        .select(_cell_node(F.col("cx"), F.col("cy")).alias("u"), _cell_node(F.col("dx"), F.col("dy")).alias("v"))
+    )
+
+
 def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[DataFrame, DataFrame]:
     """(point sites, shape sites) that belong to a cluster, with its label."""
     eps = float(eps_m)
@@ -619,7 +647,7 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
             core_pieces, core_cover = (materialised(f, "core") for f in outlines.of(core_shapes))
         cells_of_core = cells_of_core.unionByName(core_cover.select("cx", "cy")).distinct()
         # one outline over several cells makes them one
-        edges = edges.unionByName(core_cover.select(F.col("num").alias("u"), own_node.alias("v")))
+        edges = edges.unionByName(_cover_links(core_cover))
     linked = components(edges, write_halves=True)
     cells_of_core = cells_of_core.withColumn("node", own_node)
     groups = cells_of_core.join(linked, "node", "left").select("cx", "cy", F.coalesce("label", "node").alias("piece"))
@@ -630,8 +658,8 @@ def _labelled_sites(events: DataFrame, eps_m: float, min_points: int) -> tuple[D
     named = grid.spread_join(core.select("cx", "cy", "site"), groups, ["cx", "cy"], F.col("site")).select("piece", "site")
     if outlines:
         # any cell of an outline tells its cluster
-        first = core_cover.groupBy("num").agg(F.min_by(F.struct("cx", "cy"), F.struct("cx", "cy")).alias("at"))
-        placed = first.select("num", "at.*").join(groups, ["cx", "cy"]).join(core_shapes.select("num", "site"), "num")
+        first = core_cover.groupBy("num").agg(F.max(own_node).alias("node"))
+        placed = first.join(groups.select(own_node.alias("node"), "piece"), "node").join(core_shapes.select("num", "site"), "num")
         placed = materialised(placed.select("num", "site", "piece"), "placed")
         named = named.unionByName(placed.select("piece", "site"))
     names = materialised(named.groupBy("piece").agg(F.min("site").alias("label")), "names")
@@ -726,13 +754,10 @@ def dbscan_labels(events: DataFrame, *, eps_m: float, min_points: int, **filters
     ).select("id", F.col("label").alias("cluster"))
     if shapes is None:
         return out
-    outlines = chosen.where(~geometry.is_point(F.col("geom"))).select(
-        "id", F.col("geom.parts").alias("parts")
-    )
+    outlines = chosen.where(~geometry.is_point(F.col("geom"))).select("id", *_outline_key())
+    labelled = shapes.select(F.xxhash64("parts").alias("_hash"), "parts", "label")
     return out.unionByName(
-        grid.spread_join(
-            outlines, shapes.select("parts", "label"), ["parts"], F.col("id")
-        ).select("id", F.col("label").alias("cluster"))
+        grid.spread_join(outlines, labelled, OUTLINE, F.col("id")).select("id", F.col("label").alias("cluster"))
     )
 
 

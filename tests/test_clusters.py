@@ -106,3 +106,42 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert len(got) == len(labels) == 61 + 80
     assert {labels[n] for n in labels if n[0] == "c"} == {"c000"}
     assert {labels[n] for n in labels if n[0] == "s"} == {"s000"}
+
+
+def _stack(n):
+    """Outlines over the same ground that differ by a fraction of a millimetre."""
+    return [event(f"o{i:02d}", square(-3.7, 40.4, 0.02 + i * 1e-9)) for i in range(n)]
+
+
+def _links_of(spark, rows):
+    shapes = clusters._shape_sites(events_frame(spark, rows)).cache()
+    none = spark.createDataFrame([], "kx long, ky long")
+    covered = clusters._Outlines(shapes, none, 700.0).cover.cache()
+    return covered, clusters._cover_links(covered).collect()
+
+
+def test_edges_between_cells_do_not_grow_with_the_outlines_over_them(spark):
+    covered, one = _links_of(spark, _stack(1))
+    cells = covered.select("cx", "cy").distinct().count()
+    assert covered.count() == cells == len(one) + 1
+    many_covered, many = _links_of(spark, _stack(12))
+    assert many_covered.count() == 12 * cells
+    assert set(many) == set(one) and len(many) == len(one)
+
+
+def test_cells_of_an_outline_are_one_piece_even_with_gaps(spark):
+    rows = [(1, 0, 0), (1, 7, 0), (1, 3, 5), (1, 4, 5), (1, -2, 9), (2, 100, 0), (2, 100, 1)]
+    covered = spark.createDataFrame([(n, 1, x, y) for n, x, y in rows], "num long, w long, cx long, cy long")
+    labels = {r["node"]: r["label"] for r in components.components(clusters._cover_links(covered)).collect()}
+    nodes = covered.select("num", clusters._cell_node(covered["cx"], covered["cy"]).alias("node")).collect()
+    assert len(labels) == len(rows)
+    for n in (1, 2):
+        assert {labels[r["node"]] for r in nodes if r["num"] == n} == {min(r["node"] for r in nodes if r["num"] == n)}
+
+
+def test_outlines_are_sorted_by_their_hash_and_equal_ones_are_one_site(spark):
+    rows = [event("a", square(0.0, 40.4, 0.01)), event("b", square(-0.0, 40.4, 0.01)), event("c", square(0.0, 40.4, 0.02))]
+    sites = clusters._shape_sites(events_frame(spark, rows))
+    plan = sites._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [_hash" in plan
+    assert sorted(r["w"] for r in sites.collect()) == [1, 2]
