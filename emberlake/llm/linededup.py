@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.llm.common import LOWER_BYTES, text_of, with_columns
+from emberlake.llm.common import LOWER_BYTES, pieces, text_of, with_columns
 from emberlake.session import materialised
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -126,10 +126,10 @@ def line_hashes(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFr
     )
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "t"):
             rows, h1, h2 = [], [], []
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                found = {line_hash(line, min_chars) for line in body.encode("utf-8").split(b"\n")} - {None}
+            for i, body in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                found = {line_hash(line, min_chars) for line in body.split(b"\n")} - {None}
                 rows += [i] * len(found)
                 h1 += [a for a, _ in found]
                 h2 += [b for _, b in found]
@@ -242,40 +242,40 @@ def deduplicated(
     """
     lost = losses(line_hashes(df, doc_id, text, min_chars), min_docs, **sizes)
     body = with_columns(df, n_lines=F.lit(0).cast("long"), n_dropped=F.lit(0).cast("long"))
-    body = body.withColumn("__body", text_of(f"`{text}`"))
-    joined = body.join(lost.select(F.col("doc").alias("__doc"), "lost").withColumnRenamed("lost", "__lost"),
-                       body[f"`{doc_id}`"] == F.col("__doc"), "left").drop("__doc")
-    out = [f for f in body.schema.fields if f.name not in (text, "n_lines", "n_dropped", "__body")]
+    out = [f for f in body.schema.fields if f.name not in (text, "n_lines", "n_dropped")]
+    order = [f.name for f in out]
+    # a text travels once, without the column it replaces
+    whole = body.select(*[F.col(f"`{n}`") for n in order], text_of(f"`{text}`").alias(text))
+    joined = whole.join(lost.select(F.col("doc").alias("__doc"), F.col("lost").alias("__lost")),
+                        whole[f"`{doc_id}`"] == F.col("__doc"), "left").drop("__doc")
     schema = T.StructType(
         out + [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     )
-    order = [f.name for f in out]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             kept, n_lines, n_dropped = [], [], []
-            bodies = batch.column(batch.schema.get_field_index("__body")).to_pylist()
-            losses_ = batch.column(batch.schema.get_field_index("__lost")).to_pylist()
-            for body, gone in zip(bodies, losses_, strict=True):
+            bodies = batch.column(text).cast(pa.binary()).to_pylist()
+            for body, gone in zip(bodies, batch.column("__lost").to_pylist(), strict=True):
                 if not gone:
                     kept.append(body)
-                    n_lines.append(body.count("\n") + 1)
+                    n_lines.append(body.count(b"\n") + 1)
                     n_dropped.append(0)
                     continue
                 gone = {(x["h1"], x["h2"]) for x in gone}
-                lines = body.encode("utf-8").split(b"\n")
+                lines = body.split(b"\n")
                 left = [x for x in lines if line_hash(x, min_chars) not in gone]
-                kept.append(b"\n".join(left).decode("utf-8"))
+                kept.append(b"\n".join(left))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
             yield pa.RecordBatch.from_arrays(
                 batch.select(order).columns
-                + [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+                + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                 order + [text, "n_lines", "n_dropped"],
             )
 
     done = joined.mapInArrow(rewrite, schema)
-    return done.select(*[F.col(f"`{f.name}`") for f in body.schema.fields if f.name != "__body"])
+    return done.select(*[F.col(f"`{f.name}`") for f in body.schema.fields])
 
 
 SQL = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

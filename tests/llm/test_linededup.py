@@ -1,8 +1,10 @@
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from emberlake.llm import linededup
+from emberlake.llm.common import pieces
 
 
 def test_perfect_hash_is_minimal_and_survives_writing():
@@ -41,3 +43,19 @@ def test_string_ids(spark):
     df = spark.createDataFrame([(f"d{i}", text) for i in range(6)], "doc_id string, text string")
     got = {r["doc_id"]: r["n_dropped"] for r in linededup.deduplicated(df).collect()}
     assert got == {f"d{i}": int(i < 5) for i in range(6)}
+
+
+def test_texts_are_handled_in_bounded_pieces():
+    texts = ["a" * 10, None, "é" * 10, "", "b" * 70, "c", "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"]).slice(1)
+    got = list(pieces(iter([batch, batch.slice(0, 0)]), "t", 30))
+    assert [p.column("i").to_pylist() for p in got] == [[1, 2, 3], [4], [5, 6]]
+    assert [x for p in got for x in p.column("t").to_pylist()] == texts[1:]
+
+
+def test_a_text_travels_once(spark):
+    df = spark.createDataFrame([(1, "x\ny", 3)], "doc_id long, text string, n_chars long")
+    plan = linededup.deduplicated(df)._jdf.queryExecution().optimizedPlan().toString()
+    rewrite = next(line for line in plan.splitlines() if "MapInArrow rewrite" in line)
+    sent = rewrite[rewrite.index("(") + 1 : rewrite.index(")")].split(", ")
+    assert [name.split("#")[0] for name in sent] == ["doc_id", "n_chars", "text", "__lost"]
