@@ -255,6 +255,22 @@ def _references(spokes: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFra
     return voters.join(sets, "nid").select("h", "set").groupBy("h").applyInArrow(vote, "h long, ref binary")
 
 
+def _merged(spokes: DataFrame, references: DataFrame, percent: int) -> DataFrame:
+    """The spokes with the hubs of a component dealt to its largest one, where their references are as close as linked sets.
+
+    Buckets of one crowd share most members, and any reference gives the same links, so a member is measured once
+    instead of once per bucket. All members of a bucket stay together.
+    """
+    hubs = spokes.groupBy("h").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("nid") == F.col("h"), F.col("label"))).alias("label")
+    )
+    largest = hubs.groupBy("label").agg(F.max_by("h", F.struct(F.col("n"), -F.col("h"))).alias("b"))
+    own, other = (references.select(F.col("h").alias(c), F.col("ref").alias(f"x{c}")) for c in "ab")
+    asked = hubs.join(largest, "label").where("h <> b").select(F.col("h").alias("a"), "b")
+    close = _confirmed(asked.join(own, "a").join(other, "b"), percent).withColumnsRenamed({"u": "h", "v": "into"})
+    return spokes.join(close, "h", "left").select(F.coalesce("into", "h").alias("h"), "nid", "label").distinct()
+
+
 def _differences(spokes: DataFrame, references: DataFrame, sets: DataFrame, kappa: float) -> DataFrame:
     """Spokes with the elements ``d`` in which they differ from the reference and their excess ``e``.
 
@@ -290,16 +306,21 @@ def _crowded_pairs(members: DataFrame, edges: DataFrame, sets: DataFrame, percen
     )
     spokes = members.join(hubs, "key").select("h", "nid", "label").distinct()
     spokes = materialised(spokes, "spokes")
-    found = _differences(spokes, _references(spokes, edges, sets), sets, kappa)
+    references = materialised(_references(spokes, edges, sets), "references")
+    spokes = materialised(_merged(spokes, references, percent), "spokes")
+    found = _differences(spokes, references, sets, kappa)
     # Two members are linked if they share at least (e + e') / 2 of their differences. The slack keeps rounding safe.
     slack = 1e-6
-    best = found.groupBy("h").agg(F.min_by(F.struct(F.col("nid").alias("m"), F.col("label").alias("lm"), F.col("e").alias("em")), F.struct("e", "nid")).alias("best"))
-    found = found.join(best, "h").select("h", "nid", "label", "e", "d", "best.*")
+    best = found.groupBy("h").agg(
+        F.min_by(F.struct(F.col("nid").alias("m"), F.col("label").alias("lm"), F.col("e").alias("em")), F.struct("e", "nid")).alias("best"),
+        F.max(F.size("d") - F.col("e")).alias("widest"),
+    )
+    found = found.join(best, "h").select("h", "nid", "label", "e", "d", "best.*", "widest")
     free = F.col("e") + F.col("em") <= slack
     found = found.withColumn("light", free | (F.col("label") == F.col("lm")))
     stars = found.where(free & (F.col("nid") != F.col("m")) & (F.col("label") != F.col("lm"))).select(F.col("nid").alias("x"), F.col("m").alias("y"))
     least = found.where(~F.col("light")).groupBy("h").agg(F.min("e").alias("er"))
-    found = found.join(least, "h").select("h", "nid", "label", "e", "d", "em", "er", "light")
+    found = found.join(least, "h").select("h", "nid", "label", "e", "d", "em", "er", "light", "widest")
 
     def prefix(other: Column, name: str) -> DataFrame:
         """The differences that can be the first one shared with a member of excess ``other`` or more; ``r``: how many are left from there on."""
@@ -313,8 +334,9 @@ def _crowded_pairs(members: DataFrame, edges: DataFrame, sets: DataFrame, percen
         ).drop("at")
 
     # Of two members the one with the larger excess (x) looks up the other (y), which so needs to share at least its own excess.
-    # The other's set is at most 100 / percent times as large, and of n shingles with excess e it has e + kappa n to share.
-    most = (F.size("d") - F.col("e")) * 100 / percent
+    # The other's set is at most 100 / percent times as large, and no larger than the hub's largest; of n shingles with excess e
+    # it has e + kappa n to share.
+    most = F.least((F.size("d") - F.col("e")) * 100 / percent, F.col("widest"))
     asking = prefix(F.greatest(F.when(F.col("light"), F.col("er")).otherwise(F.col("em")), F.col("e") - 2 * most), "x")
     asked = prefix(F.col("e"), "y")
     met = asking.join(asked, ["h", "t"]).where(

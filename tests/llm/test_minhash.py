@@ -77,3 +77,17 @@ def test_bounds():
     sets = minhash.shingle_sets(pa.array([["A", "b"], [], ["a", "b"], list("abcdef")]), 5)
     assert [len(s) for s in sets] == [1, 0, 1, 2] and sets[0] == sets[2]
     assert minhash.signatures([np.arange(1, 9, dtype=np.uint64) << np.uint64(32)], 12).shape == (1, 12)
+
+
+def test_hubs_of_one_crowd_are_measured_once(spark):
+    # hubs 1 and 2 are of one component and alike, 3 is of the component but unlike, 4 is alike but of another component
+    spokes = [(1, 1, 0), (1, 2, 0), (1, 5, 5), (2, 1, 0), (2, 2, 0), (2, 6, 6), (3, 3, 0), (3, 7, 7), (4, 4, 4), (4, 8, 8)]
+    like, unlike = np.arange(20, dtype=np.uint64), np.arange(90, 110, dtype=np.uint64)
+    references = [(1, like), (2, like[1:]), (3, unlike), (4, like)]
+    got = minhash._merged(
+        spark.createDataFrame(spokes, "h long, nid long, label long"),
+        spark.createDataFrame([(h, bytearray(r.tobytes())) for h, r in references], "h long, ref binary"),
+        85,
+    )
+    rows = sorted(tuple(r) for r in got.select("h", "nid", "label").collect())
+    assert rows == [(1, 1, 0), (1, 2, 0), (1, 5, 5), (1, 6, 6), (3, 3, 0), (3, 7, 7), (4, 4, 4), (4, 8, 8)]
