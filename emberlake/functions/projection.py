@@ -83,9 +83,9 @@ def inverse(m: ModuleType, east, north):
 
 
 def to_metres(lon: Column, lat: Column) -> Column:
-    """Struct<x, y> in metres."""
-    x, y = forward(F, lon, lat)
-    return F.struct(x.alias("x"), y.alias("y"))
+    """Struct<x, y> in metres, stage by stage: written out as one expression, the first stages stand in it dozens of times."""
+    at = F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y"))
+    return F.get(ring_to_metres(F.array(at)), F.lit(0))
 
 
 def to_degrees(x: Column, y: Column) -> Column:

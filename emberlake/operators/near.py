@@ -52,10 +52,11 @@ def _first_per_place(events: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` events per distinct geometry, smallest ids first.
 
     Equal geometries are equally far from any centre and ties go to the smaller id, so the others
-    can never be among the ``limit`` nearest. The rank filter runs per task before the shuffle.
+    can never be among the ``limit`` nearest. The rank filter runs per task before the shuffle. A place is
+    known by its text: sorting compares hashes, and texts where these are equal, but never nested arrays.
     """
     parts = F.col("geom")["parts"]
-    place = Window.partitionBy(F.xxhash64(parts), parts).orderBy("id")
+    place = Window.partitionBy(F.xxhash64(parts), parts.cast("string")).orderBy("id")
     return (
         events.select("id", "geom")
         .withColumn("_turn", F.row_number().over(place))
@@ -78,27 +79,28 @@ def _items(events: DataFrame, radius_m: float) -> DataFrame:
     """
     on_point = geometry.is_point(F.col("geom"))
     first = F.col("geom")["parts"][0][0][0]
-    points = grid.computed(
-        events.where(on_point).select("id", "geom"), m=projection.to_metres(first["x"], first["y"])
-    ).select(
-        "id", F.lit(POINTS).alias("cls"), F.lit(None).cast(SEGMENTS).alias("segs"),
-        F.col("m.x").alias("minx"), F.col("m.y").alias("miny"), F.col("m.x").alias("maxx"), F.col("m.y").alias("maxy"),
-    )
-    shapes = grid.computed(
-        events.where(~on_point).select("id", "geom"),
-        segs=geometry.edges_of_parts(geometry.metric_parts(F.col("geom"))),
+    # points and areas in one pass: what leads to the events is not computed once for each
+    measured = grid.computed(
+        events.select("id", "geom", on_point.alias("on_point")).where(F.col("on_point").isNotNull()),
+        m=F.when(F.col("on_point"), projection.to_metres(first["x"], first["y"])),
+        segs=F.when(~F.col("on_point"), geometry.edges_of_parts(geometry.metric_parts(F.col("geom")))),
     )
     xs = F.flatten(F.transform("segs", lambda e: F.array(e["x1"], e["x2"])))
     ys = F.flatten(F.transform("segs", lambda e: F.array(e["y1"], e["y2"])))
+
+    def of(position, corner):
+        return F.when(F.col("on_point"), position).otherwise(corner)
+
     boxed = grid.computed(
-        shapes.select("id", "segs"),
-        minx=F.array_min(xs), miny=F.array_min(ys), maxx=F.array_max(xs), maxy=F.array_max(ys),
+        measured.select("id", "on_point", "m", "segs"),
+        minx=of(F.col("m.x"), F.array_min(xs)), miny=of(F.col("m.y"), F.array_min(ys)),
+        maxx=of(F.col("m.x"), F.array_max(xs)), maxy=of(F.col("m.y"), F.array_max(ys)),
     )
     half = geometry.point_distance(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")) / 2
     cls = F.ceil(F.log2(F.greatest(half, F.lit(1.0)))).cast("int")
-    areas = boxed.select("id", cls.alias("cls"), F.col("segs").cast(SEGMENTS), *BOX)
+    items = boxed.select("id", of(F.lit(POINTS), cls).alias("cls"), F.col("segs").cast(SEGMENTS), *BOX)
     side = _side(radius_m)
-    return points.unionByName(areas).select(
+    return items.select(
         "*",
         ((F.col("minx") + F.col("maxx")) / 2 / side).alias("u"),
         ((F.col("miny") + F.col("maxy")) / 2 / side).alias("v"),

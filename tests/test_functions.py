@@ -225,3 +225,15 @@ def test_long_rings_are_not_broadcast(spark):
     assert [(r["key"], r["crossings"], r["area"]) for r in found.orderBy("key").collect()] == [
         ("a", 19, pytest.approx(9.5)), ("b", 19, pytest.approx(9.5))
     ]
+
+
+def test_metres_name_each_stage_once(spark):
+    df = spark.createDataFrame([(-3.70, 40.42), (-9.1, 36.2), (None, 40.0)], "lon double, lat double")
+    made = df.select("lon", "lat", projection.to_metres(F.col("lon"), F.col("lat")).alias("m"))
+    for r in made.collect():
+        if r["lon"] is None:
+            assert r["m"]["x"] is None
+        else:
+            x, y = projection.forward(math, r["lon"], r["lat"])
+            assert abs(r["m"]["x"] - x) < 1e-6 and abs(r["m"]["y"] - y) < 1e-6
+    assert made._jdf.queryExecution().analyzed().toString().lower().count("atanh(") <= 3

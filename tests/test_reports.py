@@ -252,6 +252,27 @@ def test_many_centres_agree_with_single_searches(spark):
         assert [x for _, x in sorted(got.get(i, []))] == single
 
 
+def test_places_are_found_once_and_without_sorting_nested_arrays(spark):
+    places = near._first_per_place(seeded(spark), 3)
+    executed = places._jdf.queryExecution().executedPlan()
+    sorts = [line for line in executed.toString().splitlines() if "Sort [" in line]
+    assert sorts and not any("parts" in line for line in sorts)
+    # the partition keys are a hash and a text
+    assert "cast(geom" in executed.toString() and "as string)" in executed.toString()
+    plan = near._items(places, 15_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in line for line in plan.splitlines()) == 1
+
+
+def test_equal_places_keep_their_smallest_ids(spark):
+    rows = [event(f"p{i}", point(-3.7, 40.4)) for i in range(5)] + [event(f"q{i}", point(-3.7, 40.4 + 1e-9)) for i in range(2)]
+    df = events_frame(spark, rows + [event(f"a{i}", square(-3.7, 40.4, 1e-3)) for i in range(4)])
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(str(r["geom"]["parts"]), []).append(r["id"])
+    kept = [r["id"] for r in near._first_per_place(df, 2).collect()]
+    assert len(groups) == 3 and sorted(kept) == sorted(i for ids in groups.values() for i in sorted(ids)[:2])
+
+
 def test_pairs_of_a_crowded_cell_are_bounded_by_the_limit(spark):
     """3,000 places and 40 areas within a hundred metres, centres among and beside them."""
     rnd = random.Random(11)
