@@ -518,11 +518,6 @@ def _shape_sites(events: DataFrame) -> DataFrame:
 # --- the operator ------------------------------------------------------------------------------
 
 
-def _bounded(filters: dict) -> None:
-    if filters.get("bbox") is None and filters.get("starts_after") is None:
-        raise ValueError("clusters need a bounding filter: bbox or starts_after")
-
-
 class _Outlines:
     """The outlines of a run on the grid, by number: their pieces per cell and their cover."""
 
@@ -733,7 +728,7 @@ def _joined_over_gaps(
 def _checked(events: DataFrame, eps_m: float, min_points: int, filters: dict) -> DataFrame:
     checks.metres(eps_m, "eps_m")
     checks.min_points(min_points)
-    _bounded(filters)
+    checks.cluster_bound(filters)
     return apply_filters(events, **filters).select("id", "geom", "severity", "starts_at")
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from emberlake.functions import geometry, projection
-from emberlake.operators import clusters, filters, grid, near as radius, rings, spatial_join
+from emberlake.operators import checks, clusters, filters, grid, near as radius, rings, spatial_join
 from emberlake.operators.export import cluster_feature_rows, to_feature_rows
 from emberlake.plans.carriers import (
     PROVINCES_SQL,
@@ -209,9 +209,9 @@ def dbscan_labels(spark, d):
 
 
 def cluster_summary(spark, d):
-    out = clusters.cluster_summary(
-        hazards(spark, d, clumped=True), eps_m=EPS_M, min_points=MIN_POINTS, starts_after=SINCE
-    )
+    """Summaries of the clusters of the whole clumped table, early and undated events included."""
+    with checks.overridden(unbounded_clusters=True):
+        out = clusters.cluster_summary(hazards(spark, d, clumped=True), eps_m=EPS_M, min_points=MIN_POINTS)
     return out.withColumn("lon", F.round("lon", 5)).withColumn("lat", F.round("lat", 5))
 
 

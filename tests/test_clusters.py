@@ -1,9 +1,14 @@
+import datetime as dt
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from helpers import brute_dbscan, event, events_frame, point, square
+from oracle import compare, connect
 
-from emberlake.operators import clusters, components, grid
+import __spark_entry__ as entry
+from emberlake.operators import checks, clusters, components, grid
 
 IBERIA = (-9.5, 36.0, 3.4, 43.8)
 
@@ -145,3 +150,32 @@ def test_outlines_are_sorted_by_their_hash_and_equal_ones_are_one_site(spark):
     plan = sites._jdf.queryExecution().executedPlan().toString()
     assert "Sort [_hash" in plan
     assert sorted(r["w"] for r in sites.collect()) == [1, 2]
+
+
+def test_features_hold_early_and_undated_events(spark, tmp_path):
+    early, late = dt.datetime(1987, 5, 4), dt.datetime(1999, 3, 2)
+    # equal remainders put quakes (1), burnt areas (3) and warnings (2) of a customer on one place
+    step = 120 * 101 * 97
+    mixed = [(1 + i * step, 3, day) for i, day in enumerate([early, None, late, None, early, late])]
+    areas = [(3 + i * step, 13, day) for i, day in enumerate([early, None, None, late])]
+    undated = [(7 + i * step, 17, None) for i in range(5)]
+    warnings = [(2 + i * step, 29, day) for i, day in enumerate([early, early, None, early, None, late, early])]
+    keys, customers, days = zip(*mixed, *areas, *undated, *warnings)
+    orders = pa.table(
+        {"o_orderkey": pa.array(keys, pa.int64()), "o_custkey": pa.array(customers, pa.int64()),
+         "o_orderdate": pa.array(days, pa.timestamp("us"))}
+    )
+    pq.write_table(orders, tmp_path / "orders.parquet")
+    found = entry.queries()["cluster_features"](spark, str(tmp_path)).orderBy("cluster_id").collect()
+    first = [r["first_starts_at"] and r["first_starts_at"][:4] for r in found]
+    assert [r["count"] for r in found] == [7, 6, 5, 4] and first == ["1987", "1987", None, "1987"]
+    assert compare(spark, connect(str(tmp_path)), str(tmp_path), "cluster_features") is None
+
+
+def test_unbounded_clusters_must_be_allowed(spark):
+    frame = events_frame(spark, [event(f"e{i}", point(-3.7, 40.4)) for i in range(3)])
+    with checks.overridden(unbounded_clusters=True):
+        got = clusters.dbscan_labels(frame, eps_m=500, min_points=3)
+    assert got.count() == 3
+    with pytest.raises(ValueError):
+        clusters.dbscan_labels(frame, eps_m=500, min_points=3)
